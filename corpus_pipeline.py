@@ -1,12 +1,61 @@
-"""From raw documents to token ids, stage by stage."""
+"""From raw documents to token ids: language, quality, near copies, benchmark leaks, tokens.
+
+Each stage takes ``(spark, docs, sf_dir)``; what it returns is written as Parquet and read again as the next one's ``docs``.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stradale.llm import decontaminate, language_id, quality_rules, sentencepiece
 from stradale.llm.near_dups import ngram_jaccard_join
+from stradale.plans.staging import materialize
+
+#: Ids of dropped documents that are broadcast at most; more of them are joined by a shuffle.
+MAX_BROADCAST = 500_000
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in some language; those without text or letters go."""
+    told = language_id.identify(docs, language_id.fit(docs))
+    return told.where("lang_pred <> 'und'").drop("lang_pred", "score")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail no rule of the policy."""
+    book = quality_rules.ledger(docs, keep=docs.columns)
+    return book.where(quality_rules.passes(quality_rules.POLICY)).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links, that with the smallest id. A row without id cannot be told apart and stays."""
+    gone = materialize(ngram_jaccard_join(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    if docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty() is False:
+        docs = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    return docs.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document, and whether they decode to its text."""
+    return sentencepiece.encode(docs, sentencepiece.load(), [c for c in docs.columns if c != "text"])
+
+
+STAGES = [("language", language), ("quality", quality), ("near_copies", near_copies), ("leaks", leaks), ("tokens", tokens)]
 
-STAGES = []
+#: Viterbi segmentation and learned languages are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = materialize(docs, name)
+    return docs
