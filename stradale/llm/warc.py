@@ -25,6 +25,8 @@ MAGIC = b"WARC/1.1\r\n"
 LEAST_REVISIT = 1000
 #: An archive is closed when it exceeds this; splits of this many bytes are read as a unit; the longest header read.
 ARCHIVE_BYTES, SPLIT_BYTES, HEADER_BYTES = 512 << 20, 16 << 20, 1 << 16
+#: Revisits (two numbers and a digest each) that are broadcast at most; more of them are joined by a shuffle of the pages.
+MAX_BROADCAST = 200_000
 DATE = "2024-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
 RECORDS = "path string, offset long, record_type string, page_id long, url string, refers_to long, digest string, length long, payload binary"
@@ -94,6 +96,8 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     marks = rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")).where(f"n >= {LEAST_REVISIT}").drop("n")
     copies = marks.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("rows")).where("rows > 1")
     again = marks.join(copies, "digest").where("page_id <> keep").select("page_id", "digest", F.col("keep").alias("refers_to")).distinct()
+    again = materialize(again, "revisits")
+    again = F.broadcast(again) if again.count() <= MAX_BROADCAST else again
     told = rows.withColumn("digest", F.sha1("payload")).join(again, ["page_id", "digest"], "left").select("page_id", "url", "payload", "refers_to")
     return materialize(told.mapInArrow(_writer(folder), "path string, bytes long, records long"), "archives")
 
@@ -192,11 +196,13 @@ def read_warc(archives: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES)
     """
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
     splits = archives.where("bytes > 0").select("path", "bytes", starts.alias("start"))
-    splits = splits.withColumn("end", F.least(F.col("start") + split_bytes, F.col("bytes"))).repartition("path", "start")
+    splits = splits.withColumn("end", F.least(F.col("start") + split_bytes, F.col("bytes")))
+    tasks = min(20_000, splits.count() + 1)  # rows are few and their work is not: they are not coalesced by size
+    splits = splits.repartition(tasks, "path", "start")
     own = F.col("offset") - F.col("offset") % F.lit(split_bytes)
     firsts = boundaries(splits, folder).groupBy("path", own.alias("start")).agg(F.min("offset").alias("offset"))
     todo = firsts.join(splits.select("path", "start", "end"), ["path", "start"]).where(F.col("offset") < F.col("end"))
-    return todo.select("path", "offset", "end").mapInArrow(_reader(folder), RECORDS)
+    return todo.select("path", "offset", "end").repartition(tasks, "path", "offset").mapInArrow(_reader(folder), RECORDS)
 
 
 def round_trip(pages: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
