@@ -102,11 +102,12 @@ def _prefixer(bits: int, num: int, den: int, kind: pa.DataType):
         codes = [_expand(x, np.uint8) for x in replies["codes"].to_pylist()]
         codes = np.concatenate([*(codes[i] for i in order), np.zeros(0, np.uint8)])
         freq = codes[np.searchsorted(keys, everything)] if len(keys) else codes
-        heads, bodies, sigs, names, at = [], [], [], [], 0
+        heads, bodies, sigs, names, known, at = [], [], [], [], [], 0
         for s in sets:
             n, f = len(s), freq[at : at + len(s)]
             at += n
             often = np.flatnonzero(f > 1)
+            known.append(len(often))
             take = prefix_length(n, num, den) - (n - len(often)) if n else 0
             if take > 0:
                 head = s[often[np.lexsort((s[often], f[often]))[:take]]]
@@ -118,7 +119,7 @@ def _prefixer(bits: int, num: int, den: int, kind: pa.DataType):
                 heads.append(None), bodies.append(None), sigs.append(None), names.append(None)
         rid = (docs["g"][0].as_py() << 32) + np.arange(docs.num_rows, dtype=np.int64) if docs.num_rows else []
         longs = pa.list_(pa.int64())
-        return pa.table({"rid": pa.array(rid, pa.int64()), "doc_id": docs["id"].cast(kind), "n": pa.array([len(s) for s in sets], pa.int64()), "sig": pa.array(sigs, pa.binary()), "name": pa.array(names, pa.binary()), "prefix": pa.array(heads, longs), "shingles": pa.array(bodies, longs)})
+        return pa.table({"rid": pa.array(rid, pa.int64()), "doc_id": docs["id"].cast(kind), "n": pa.array([len(s) for s in sets], pa.int64()), "m": pa.array(known, pa.int64()), "sig": pa.array(sigs, pa.binary()), "name": pa.array(names, pa.binary()), "prefix": pa.array(heads, longs), "shingles": pa.array(bodies, longs)})
 
     return prefixes
 
@@ -139,7 +140,7 @@ def shingle_prefixes(docs: DataFrame, id_col: str, text_col: str, num: int, den:
     kind = docs.schema[id_col].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    schema = f"rid long, doc_id {kind.simpleString()}, n long, sig binary, name binary, prefix array<long>, shingles array<long>"
+    schema = f"rid long, doc_id {kind.simpleString()}, n long, m long, sig binary, name binary, prefix array<long>, shingles array<long>"
     out = dealt.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_prefixer(bits, num, den, to_arrow_type(kind)), schema)
     return materialize(out, "prefixes")
 
@@ -153,8 +154,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(one, "a").join(two, "b").where(den * both >= num * union).select("a", "b")
 
 
-def _fits(n, m, num: int, den: int):
-    return (F.least(n, m) * den >= F.greatest(n, m) * num)
+def _fits(one: str, two: str, num: int, den: int):
+    """Sizes that allow a link, if this shingle is the first in common: then at most ``rest`` of ``n``, from it on, are."""
+    return (num + den) * F.least(f"{one}.rest", f"{two}.rest") >= num * (F.col(f"{one}.n") + F.col(f"{two}.n"))
 
 
 def _components(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -166,8 +168,8 @@ def _components(members: DataFrame, links: DataFrame) -> DataFrame:
 def _linked_components(sets: DataFrame, num: int, den: int) -> DataFrame:
     """``(sid, comp)`` of the distinct sets."""
     gids = sets.groupBy("name").agg(F.min("sid").alias("gid"))
-    members = materialize(sets.select("sid", "n", "name").join(gids, "name").drop("name").withColumn("comp", F.col("sid")), "members")
-    lists = sets.select("sid", "prefix").join(members.where("sid = gid").select("sid", "gid", "n"), "sid").select(F.explode("prefix").alias("key"), "gid", "n")
+    members = materialize(sets.select("sid", "n", "m", "name").join(gids, "name").drop("name").withColumn("comp", F.col("sid")), "members")
+    lists = sets.select("sid", "prefix").join(members.where("sid = gid").select("sid", "gid", "n", "m"), "sid").select(F.posexplode("prefix").alias("at", "key"), "gid", "n", "m").select("key", "gid", "n", (F.col("m") - F.col("at")).alias("rest"))
     shared = lists.groupBy("key").agg(F.count("*").alias("groups")).where("groups > 1").select("key")
     lists = materialize(lists.join(shared, "key"), "lists")
 
@@ -177,9 +179,9 @@ def _linked_components(sets: DataFrame, num: int, den: int) -> DataFrame:
     for turn in range(LEADER_ROUNDS):
         faces = members.groupBy("gid", "comp").agg(F.min("sid").alias("sid"))
         seen = lists.join(faces, "gid")
-        leader = seen.groupBy("key").agg(F.min_by(F.struct("sid", "comp", "n"), F.xxhash64("sid", F.lit(turn))).alias("lead"))
-        pairs = seen.join(leader, "key").where((F.col("comp") != F.col("lead.comp")) & _fits(F.col("n"), F.col("lead.n"), num, den))
-        pairs = pairs.select(F.least("sid", "lead.sid").alias("a"), F.greatest("sid", "lead.sid").alias("b")).distinct()
+        leader = seen.groupBy("key").agg(F.min_by(F.struct("sid", "comp", "n", "rest"), F.struct(F.col("n") - F.col("rest"), F.xxhash64("sid", F.lit(turn)))).alias("lead"))
+        pairs = seen.alias("s").join(leader, "key").where((F.col("comp") != F.col("lead.comp")) & _fits("s", "lead", num, den))
+        pairs = pairs.select(F.least("s.sid", "lead.sid").alias("a"), F.greatest("s.sid", "lead.sid").alias("b")).distinct()
         links.append(materialize(_verified(pairs, sets, num, den), "links"))
         if links[-1].isEmpty():
             break
@@ -188,14 +190,14 @@ def _linked_components(sets: DataFrame, num: int, den: int) -> DataFrame:
             every = every.unionByName(more)
         members = _components(members, every)
 
-    wide = members.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.first("n").alias("n"))
+    wide = members.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     apart = (F.col("l.low") != F.col("r.high")) | (F.col("l.high") != F.col("r.low"))
-    seen = lists.select("key", "gid").join(wide, "gid")
+    seen = lists.join(wide, "gid")
     open_keys = seen.groupBy("key").agg(F.min("low").alias("p"), F.max("high").alias("q")).where("p <> q").select("key")
     seen = seen.join(open_keys, "key")
-    pairs = seen.alias("l").join(seen.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.gid") < F.col("r.gid")) & apart & _fits(F.col("l.n"), F.col("r.n"), num, den))
+    pairs = seen.alias("l").join(seen.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.gid") < F.col("r.gid")) & apart & _fits("l", "r", num, den))
     pairs = pairs.select(F.col("l.gid").alias("g"), F.col("r.gid").alias("h")).distinct()
-    pairs = pairs.unionByName(wide.where("low <> high").select(F.col("gid").alias("g"), F.col("gid").alias("h")))
+    pairs = pairs.unionByName(wide.where(F.col("low") != F.col("high")).select(F.col("gid").alias("g"), F.col("gid").alias("h")))
     left = members.select(F.col("gid").alias("g"), F.col("sid").alias("s"), F.col("comp").alias("c"))
     right = members.select(F.col("gid").alias("h"), F.col("sid").alias("t"), F.col("comp").alias("d"))
     rest = pairs.join(left, "g").join(right, "h").where("c <> d and (g <> h or s < t)")
@@ -219,7 +221,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = shingle_prefixes(docs, id_col, text_col, num, den)
     release_shuffles(spark)
     possible = rows.where("sig is not null")
-    sets = possible.groupBy("sig").agg(F.min("rid").alias("sid"), F.first("n").alias("n"), F.first("name").alias("name"), F.first("prefix").alias("prefix"), F.first("shingles").alias("shingles"))
+    sets = possible.groupBy("sig").agg(F.min("rid").alias("sid"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("name").alias("name"), F.first("prefix").alias("prefix"), F.first("shingles").alias("shingles"))
     sets = materialize(sets, "sets")
     comps = _linked_components(sets.drop("sig"), num, den)
     named = possible.select("rid", "doc_id", "sig").join(sets.select("sig", "sid"), "sig").join(comps, "sid")
