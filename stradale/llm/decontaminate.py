@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from stradale.llm import words
+from stradale.llm.subwords import slices
 
 #: Bytes of item text sent to the executors at a time.
 BLOCK_BYTES = 4_000_000
@@ -97,7 +98,7 @@ def find_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_te
     for names, sketches in _blocks(items, item_id, item_text, num, den):
 
         def run(batches, names=names, sketches=sketches):
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole)):
                 found = list(sketches.value.search(batch.column(1).to_pylist()))
                 ids = batch.column(0).cast(kinds[0]).take(pa.array([d for d, _, _ in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([names[k] for _, k, _ in found], kinds[1]), pa.array([len(sketches.value.sets[k]) for _, k, _ in found], pa.int64()), pa.array([c for _, _, c in found], pa.int64())], ["doc_id", "item_id", "n_item_shingles", "n_common"])
@@ -113,7 +114,7 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, doc_text: str = "text
         at = docs.columns.index(doc_text)
 
         def run(batches, sketches=sketches, at=at):
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole)):
                 hit = {d for d, _, _ in sketches.value.search(batch.column(at).cast(pa.binary()).to_pylist())}
                 yield batch.filter(pa.array([k not in hit for k in range(batch.num_rows)], pa.bool_()))
 

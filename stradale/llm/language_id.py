@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from stradale.llm.sampling import bounded, fold
-from stradale.llm.subwords import WordTable, ngrams, segment_sums
+from stradale.llm.subwords import WordTable, ngrams, segment_sums, slices
 
 #: Training rows, languages (the most frequent), bits of a bucket, lengths of n-grams, pseudo-counts.
 MAX_TRAIN, MAX_LANGS, BITS, LOW, HIGH, SMOOTH = 6000, 200, 16, 1, 4, 0.5
@@ -76,7 +76,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[s
 
     def run(batches):
         table = WordTable(sent.value.of_words)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             langs, scores = sent.value.predict(batch.column(0).to_pylist(), table)
             yield pa.RecordBatch.from_arrays([*(batch.column(k + 1).cast(kind) for k, kind in enumerate(kinds)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*(f"k{k}" for k in range(len(keep))), "lang_pred", "score"])
 

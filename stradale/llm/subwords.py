@@ -64,6 +64,11 @@ class WordTable:
         return out
 
 
+def slices(batch, rows: int = 1000):
+    """The batch in parts, so that what is made of its words stays small."""
+    return (batch.slice(a, rows) for a in range(0, batch.num_rows, rows))
+
+
 def segment_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of consecutive runs of ``values``; zero for empty runs."""
     out = np.zeros((len(sizes), *values.shape[1:]), np.float64)

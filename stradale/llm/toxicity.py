@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from stradale.llm.sampling import fold, labelled_texts
-from stradale.llm.subwords import WordTable, ngrams, segment_sums
+from stradale.llm.subwords import WordTable, ngrams, segment_sums, slices
 
 #: Bits of a bucket, lengths of n-grams, numbers of an embedding, passes, documents of a step, step size, gain of the mean.
 BITS, LOW, HIGH, DIM, EPOCHS, STEP_DOCS, RATE, GAIN = 17, 3, 5, 8, 12, 64, 0.3, 40.0
@@ -92,7 +92,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         table = WordTable(sent.value.of_words)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), pa.array(sent.value.score(batch.column(1).to_pylist(), table), pa.float64())], ["doc_id", "score"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
