@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from stradale.plans import queries
+from stradale.plans.oracles import ORACLES
+
+_EXTRA = ("skeletonize", "od_sample")
+QUERIES = {name: getattr(queries, name) for name in (*ORACLES, *_EXTRA)}
