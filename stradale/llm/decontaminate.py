@@ -77,6 +77,7 @@ class Sketches:
 def _blocks(items: DataFrame, id_col: str, text_col: str, num: int, den: int):
     """Bounded blocks of the items: ids and a broadcast of their sketches."""
     spark = items.sparkSession
+    words.small_batches(spark)
     size = items.agg(F.sum(F.octet_length(F.col(text_col)) + 64)).first()[0] or 0
     n = max(1, math.ceil(size / BLOCK_BYTES))
     rows = items.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("b")).where("b is not null")

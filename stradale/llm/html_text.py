@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from stradale.llm.words import small_batches
+
 #: Blocks of a window; windows without weight that end the article where no element encloses it; share of text in links that marks a menu.
 WINDOW, GAP, LINK_SHARE = 3, 3, 0.6
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math", "canvas", "audio", "video", "select"}
@@ -124,6 +126,7 @@ def extract(page: str | None) -> str:
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars``, a row per row of ``pages``; null html has empty text. No shuffle; repeated rows stay."""
+    small_batches(pages.sparkSession)
     kinds = [to_arrow_type(pages.schema[c].dataType) for c in (id_col, url_col)]
 
     def run(batches):

@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from stradale.llm.sampling import bounded, fold
 from stradale.llm.subwords import WordTable, ngrams, segment_sums, slices
+from stradale.llm.words import small_batches
 
 #: Training rows, languages (the most frequent), bits of a bucket, lengths of n-grams, pseudo-counts.
 MAX_TRAIN, MAX_LANGS, BITS, LOW, HIGH, SMOOTH = 6000, 200, 16, 1, 4, 0.5
@@ -71,17 +72,20 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default), ``lang_pred`` and ``score``, a row per row. Only the text is looked at. No shuffle."""
     keep = docs.columns if keep is None else keep
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kinds = [to_arrow_type(docs.schema[c].dataType) for c in keep]
+    sent_cols = keep if text_col in keep else [*keep, text_col]
+    at = sent_cols.index(text_col)
 
     def run(batches):
         table = WordTable(sent.value.of_words)
         for batch in (part for whole in batches for part in slices(whole)):
-            langs, scores = sent.value.predict(batch.column(0).to_pylist(), table)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k + 1).cast(kind) for k, kind in enumerate(kinds)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*(f"k{k}" for k in range(len(keep))), "lang_pred", "score"])
+            langs, scores = sent.value.predict(batch.column(at).to_pylist(), table)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).cast(kind) for k, kind in enumerate(kinds)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*(f"k{k}" for k in range(len(keep))), "lang_pred", "score"])
 
     schema = ", ".join([*(f"k{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep)), "lang_pred string, score double"])
-    rows = docs.select(F.col(text_col).alias("t"), *(F.col(c).alias(f"k{k}") for k, c in enumerate(keep))).mapInArrow(run, schema)
+    rows = docs.select(*(F.col(c).alias(f"k{k}") for k, c in enumerate(sent_cols))).mapInArrow(run, schema)
     return rows.select(*(F.col(f"k{k}").alias(c) for k, c in enumerate(keep)), "lang_pred", "score")
 
 

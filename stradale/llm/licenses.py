@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from stradale.llm.words import small_batches
+
 #: The wording of public license notices.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -143,6 +145,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
     Stretches of one template do not overlap. Null and empty texts give none; repeated rows give theirs each. The templates are a
     parameter of the driver's and bounded by it. No shuffle.
     """
+    small_batches(docs.sparkSession)
     scanner = Scanner(templates or TEMPLATES, coverage)
     kind = to_arrow_type(docs.schema[id_col].dataType)
 

@@ -32,7 +32,7 @@ from stradale.operators.components import connected_components
 from stradale.plans.staging import discard, materialize, release_shuffles
 
 #: Bytes of text that one group of documents holds, and keys that one range of keys is asked for.
-GROUP_BYTES, RANGE_KEYS = 3_000_000, 1_500_000
+GROUP_BYTES, RANGE_KEYS = 2_000_000, 800_000
 #: Rounds in which leaders of the lists are verified before the exact remainder.
 LEADER_ROUNDS = 3
 
@@ -127,6 +127,7 @@ def _prefixer(bits: int, num: int, den: int, kind: pa.DataType):
 def shingle_prefixes(docs: DataFrame, id_col: str, text_col: str, num: int, den: int) -> DataFrame:
     """A row per document: ``rid`` (unique), ``doc_id``, ``n`` shingles; where a link is possible also ``sig`` (a digest of the
     set), ``name`` (a digest of prefix and size), ``prefix`` and ``shingles``, else nulls. Written in the shared folder."""
+    words.small_batches(docs.sparkSession)
     body = F.col(text_col).cast("binary")
     total = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("x"), F.count("*").alias("n")).first()
     size, rows = total["x"] or 0, total["n"]

@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from stradale.llm.sampling import fold, labelled_texts
 from stradale.llm.subwords import WordTable
+from stradale.llm.words import small_batches
 
 #: Buckets of terms, latent dimensions, voters, power of a similarity as a weight, documents compared at a time.
 BUCKETS, DIM, VOTERS, POWER, BLOCK = 1024, 48, 15, 8, 256
@@ -102,7 +103,7 @@ class Model:
             near = self._latent(self._rows(terms)) @ self.points.T
             k = min(VOTERS, near.shape[1])
             best = np.argpartition(near, -k, axis=1)[:, -k:]
-            votes = np.maximum(np.take_along_axis(near, best, axis=1), 1e-6) ** POWER * self.weight[best]
+            votes = np.maximum(np.take_along_axis(near, best, axis=1).astype(np.float64), 1e-6) ** POWER * self.weight[best]
             value = (votes * self.labels[best]).sum(axis=1) / votes.sum(axis=1)
             out[a : a + BLOCK] = np.where(terms.any(axis=1), value, self.share * 0)
         return np.clip(out, 0.0, 1.0)
@@ -110,6 +111,7 @@ class Model:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``score``, a row per row of ``docs``; texts without words score 0. No shuffle."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = to_arrow_type(docs.schema[id_col].dataType)
 

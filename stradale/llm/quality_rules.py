@@ -70,11 +70,11 @@ def measure(text: bytes | None) -> tuple[int, ...]:
     return (len(tokens), points, _count(text, SYMBOLS), len(lines) - len(set(lines)), repeated_words(tokens), len(lines), _count(text, _UPPER), _count(text, _LETTERS))
 
 
-def _measurer(kinds: list[pa.DataType], names: list[str]):
+def _measurer(kinds: list[pa.DataType], names: list[str], at: int):
     def run(batches):
         for batch in batches:
-            got = np.array([measure(t) for t in batch.column(0).to_pylist()], np.int64).reshape(-1, len(MEASURES))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k + 1).cast(kind) for k, kind in enumerate(kinds)), *(pa.array(got[:, k]) for k in range(len(MEASURES)))], [*names, *MEASURES])
+            got = np.array([measure(t) for t in batch.column(at).cast(pa.binary()).to_pylist()], np.int64).reshape(-1, len(MEASURES))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).cast(kind) for k, kind in enumerate(kinds)), *(pa.array(got[:, k]) for k in range(len(MEASURES)))], [*names, *MEASURES])
 
     return run
 
@@ -87,8 +87,10 @@ def ledger(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text
     keep = keep or ["doc_id"]
     kinds = [to_arrow_type(docs.schema[c].dataType) for c in keep]
     schema = ", ".join([*(f"`k{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), *(f"{m} long" for m in MEASURES)])
-    rows = docs.select(F.col(text_col).cast("binary").alias("body"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
-    out = rows.mapInArrow(_measurer(kinds, [f"k{i}" for i in range(len(keep))]), schema)
+    words.small_batches(docs.sparkSession)
+    cols = keep if text_col in keep else [*keep, text_col]
+    rows = docs.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(cols)))
+    out = rows.mapInArrow(_measurer(kinds, [f"k{i}" for i in range(len(keep))], cols.index(text_col)), schema)
     bits = sum((F.expr(f"case when {rule} then {1 << k} else 0 end") for k, (_, rule) in enumerate(RULES)), F.lit(0))
     out = out.withColumn("failures", bits.cast("int"))
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *MEASURES, "failures")

@@ -18,10 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from stradale.llm.subwords import slices
+from stradale.llm.words import small_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Added to the lowest score for a character spelled in bytes; segments kept; segments worked on together; longest of them.
-PENALTY, MAX_KNOWN, TOGETHER, LONGEST = -10.0, 250_000, 4096, 64
+PENALTY, MAX_KNOWN, TOGETHER, LONGEST = -10.0, 120_000, 2048, 64
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = range(1, 7)
 
 
@@ -277,13 +280,14 @@ def load(path: str = MODEL) -> Model:
 
 def encode(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep``, ``token_ids`` and ``exact``: whether decoding the ids gives the text back. A row per row; null has no ids and is exact. No shuffle."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kinds = [to_arrow_type(docs.schema[c].dataType) for c in keep]
 
     def run(batches):
         known: dict[str, bytes] = {}
         for batch in batches:
-            for small in (batch.slice(a, 500) for a in range(0, batch.num_rows, 500)):
+            for small in slices(batch):
                 texts = [t or "" for t in small.column(0).to_pylist()]
                 parts = sent.value.learn(texts, known)
                 rows = [np.frombuffer(b"".join(map(known.__getitem__, x)), "<i4") for x in parts]

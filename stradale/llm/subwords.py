@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+#: New words whose n-grams are held at a time.
+TOGETHER = 4096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -32,7 +34,7 @@ def ngrams(words: list[bytes], low: int, high: int, bits: int) -> tuple[np.ndarr
 class WordTable:
     """Rows of numbers for words, made for a batch of new words at a time; emptied when ``most`` words are held."""
 
-    def __init__(self, make: Callable[[list[bytes]], np.ndarray], most: int = 300_000):
+    def __init__(self, make: Callable[[list[bytes]], np.ndarray], most: int = 120_000):
         self.make, self.most = make, most
         self._clear()
 
@@ -52,7 +54,7 @@ class WordTable:
             self._clear()
         out = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         if self.new:
-            made = self.make(self.new)
+            made = np.concatenate([self.make(self.new[a : a + TOGETHER]) for a in range(0, len(self.new), TOGETHER)])
             have = len(self.index) - len(self.new)
             if self.rows is None or len(self.rows) < len(self.index):
                 grown = np.zeros((max(1024, 2 * len(self.index)), *made.shape[1:]), made.dtype)
@@ -64,7 +66,7 @@ class WordTable:
         return out
 
 
-def slices(batch, rows: int = 1000):
+def slices(batch, rows: int = 250):
     """The batch in parts, so that what is made of its words stays small."""
     return (batch.slice(a, rows) for a in range(0, batch.num_rows, rows))
 

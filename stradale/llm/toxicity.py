@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from stradale.llm.sampling import fold, labelled_texts
 from stradale.llm.subwords import WordTable, ngrams, segment_sums, slices
+from stradale.llm.words import small_batches
 
 #: Bits of a bucket, lengths of n-grams, numbers of an embedding, passes, documents of a step, step size, gain of the mean.
 BITS, LOW, HIGH, DIM, EPOCHS, STEP_DOCS, RATE, GAIN = 17, 3, 5, 8, 12, 64, 0.3, 40.0
@@ -87,6 +88,7 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 7) -> M
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id`` and ``score``, a row per row of ``docs``; null and empty texts score as the bias. No shuffle."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = to_arrow_type(docs.schema[id_col].dataType)
 

@@ -18,6 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stradale.llm.words import small_batches
 from stradale.plans.staging import discard, materialize, new_path
 
 MAGIC = b"WARC/1.1\r\n"
@@ -92,6 +93,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     Of rows with equal payloads of at least ``LEAST_REVISIT`` bytes the one with the largest id is a response, the others are
     revisits. Null html is an empty payload; a row without id is always a response; rows that repeat an id are all written.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
     marks = rows.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")).where(f"n >= {LEAST_REVISIT}").drop("n")
     copies = marks.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("rows")).where("rows > 1")

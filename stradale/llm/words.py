@@ -8,7 +8,9 @@ import xxhash
 #: Words of a shingle.
 WIDTH = 5
 #: Words that a worker keeps the hashes of; the table is emptied when it is full, so its memory is bounded.
-MAX_KNOWN = 400_000
+MAX_KNOWN = 150_000
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 500
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -21,6 +23,13 @@ class _Hashes(dict):
 _known = _Hashes()
 
 
+def small_batches(spark) -> None:
+    """Bound the rows of an Arrow batch: texts may be very long, and the default of 10,000 of them need not fit in a worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def split(text: bytes | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case: what ``bytes`` methods do, which know ASCII only."""
     return text.lower().split() if text else []
