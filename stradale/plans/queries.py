@@ -287,3 +287,13 @@ def geodesic_pairs(spark, sf_dir):
     far = nodes.selectExpr("node_id - 13 AS node_id", "x AS x2", "y AS y2")
     out = with_geodesic(nodes.join(far, "node_id"), "x", "y", "x2", "y2")
     return out.select("node_id", F.round("dist", 6).alias("dist"), F.round("azimuth", 6).alias("azimuth"))
+
+
+def occlude_tiles(spark, sf_dir):
+    """Small tiles from the parts table, occluded: brightness before and after, and occluded pixels, by tile."""
+    from stradale.operators import occlusion
+
+    fx.tables(spark, sf_dir, "part")
+    rows = spark.sql("SELECT p_partkey DIV 64 AS tile, (p_partkey DIV 8) % 8 AS r, p_partkey % 8 AS c, p_size / 50D AS red, p_retailprice / 2000D AS green, (p_partkey % 10) / 10D AS blue FROM part")
+    out = occlusion.occlude(rows, occlusion.chosen_effects(rows), size=8)
+    return out.groupBy("tile").agg(F.count("*").alias("pixels"), F.count_if("occluded").alias("occluded"), F.round(F.avg("red"), 6).alias("mean_red"))
