@@ -24,7 +24,7 @@ from stradale.plans.staging import discard, materialize, new_path
 MAGIC = b"WARC/1.1\r\n"
 #: Payloads of fewer bytes are never replaced by a revisit.
 LEAST_REVISIT = 1000
-#: An archive is closed when it exceeds this; splits of this many bytes are read as a unit; the longest header read.
+#: An archive is closed when it exceeds this; splits of this many bytes are read as a unit; what is read of a header at first.
 ARCHIVE_BYTES, SPLIT_BYTES, HEADER_BYTES = 512 << 20, 16 << 20, 1 << 16
 #: Revisits (two numbers and a digest each) that are broadcast at most; more of them are joined by a shuffle of the pages.
 MAX_BROADCAST = 200_000
@@ -113,6 +113,17 @@ def _at(stream, offset: int, n: int) -> bytes:
     return stream.read(n)
 
 
+def _from(stream, offset: int) -> tuple[bytes, int]:
+    """Bytes from ``offset`` on and where the header in them ends: twice as many until it does, -1 if the file ends first."""
+    n = HEADER_BYTES
+    while True:
+        data = _at(stream, offset, n)
+        stop = data.find(_END)
+        if stop >= 0 or len(data) < n:
+            return data, stop
+        n *= 2
+
+
 def _chains(folder: str):
     """Of each split: every candidate and the first place beyond the split that its chain leads to."""
 
@@ -121,10 +132,18 @@ def _chains(folder: str):
             for path, size, start, end in zip(*(c.to_pylist() for c in batch.columns)):
                 with _open(folder, path) as stream:
                     data = _at(stream, start, end - start + HEADER_BYTES)
+                    places = [m.start() for m in re.finditer(re.escape(MAGIC), data[: end - start + len(MAGIC) - 1])]
+                    heads = {}
+                    for at in places:
+                        stop = data.find(_END, at)
+                        if stop >= 0 or start + len(data) >= size:
+                            heads[at] = stop, parse(data[at:stop]) if stop >= 0 else None
+                        else:
+                            far, stop = _from(stream, start + at)
+                            heads[at] = at + stop, parse(far[:stop]) if stop >= 0 else None
                 leads: dict[int, int] = {}
-                for m in reversed(list(re.finditer(re.escape(MAGIC), data[: end - start + len(MAGIC) - 1]))):
-                    stop = data.find(_END, m.start())
-                    fields = parse(data[m.start() : stop]) if stop >= 0 else None
+                for at in reversed(places):
+                    stop, fields = heads[at]
                     if fields is None:
                         continue
                     after = start + stop + 4 + int(fields["content-length"]) + 4
@@ -132,7 +151,7 @@ def _chains(folder: str):
                         continue
                     to = leads.get(after) if after < end else after
                     if to is not None:
-                        leads[start + m.start()] = to
+                        leads[start + at] = to
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(leads), pa.string()), pa.array(list(leads), pa.int64()), pa.array(list(leads.values()), pa.int64())], ["path", "offset", "jump"])
 
     return run
@@ -162,11 +181,14 @@ def _reader(folder: str):
                 rows, held, at = [], 0, begin
                 with _open(folder, path) as stream:
                     while at < end:
-                        data = _at(stream, at, HEADER_BYTES)
-                        stop = data.find(_END)
-                        fields = parse(data[:stop])
+                        data, stop = _from(stream, at)
+                        fields = parse(data[:stop]) if stop >= 0 else None
+                        if fields is None:
+                            break
                         n = int(fields["content-length"])
                         block = data[stop + 4 : stop + 4 + n] if stop + 4 + n <= len(data) else _at(stream, at + stop + 4, n)
+                        if len(block) < n:
+                            break
                         http, _, payload = block.partition(_END)
                         number = lambda name: int(x) if (x := re.sub(r"\D", "", fields.get(name, ""))) else None  # noqa: E731, B023
                         length = re.search(rb"Content-Length: (\d+)", http)
