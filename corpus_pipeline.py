@@ -5,6 +5,8 @@ Each stage takes ``(spark, docs, sf_dir)``; what it returns is written as Parque
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,11 +31,22 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links, that with the smallest id. A row without id cannot be told apart and stays."""
-    gone = materialize(ngram_jaccard_join(docs).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    if docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").isEmpty() is False:
-        docs = docs.where("doc_id is null").unionByName(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    return docs.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group that links, that with the smallest id; where ids repeat or are null, one of its rows, with an id if any has."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        gone = ngram_jaccard_join(docs).where("doc_id <> component_id").select("doc_id")
+        return _without(docs, "doc_id", gone)
+    key = next(k for k in (f"row_{n}" for n in count()) if k not in docs.columns)
+    rows = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    told = ngram_jaccard_join(rows, key).select(F.col("doc_id").alias(key), "component_id").join(rows.select(key, "doc_id"), key)
+    told = materialize(told, "told")
+    first = told.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key)).alias("f"))
+    gone = told.join(first, "component_id").where(F.col(key) != F.col(f"f.{key}")).select(key)
+    return _without(rows, key, gone).select(*docs.columns)
+
+
+def _without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    gone = materialize(gone, "gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone, key, "left_anti").select(*docs.columns)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
