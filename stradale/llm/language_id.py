@@ -17,6 +17,8 @@ from stradale.llm.words import small_batches
 #: Training rows, languages (the most frequent), bits of a bucket, lengths of n-grams, pseudo-counts.
 MAX_TRAIN, MAX_LANGS, BITS, LOW, HIGH, SMOOTH = 6000, 200, 16, 1, 4, 0.5
 HELD_OUT = 0
+#: Tasks that count the n-grams of one language, whose counts then are added.
+SALTS = 8
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -59,12 +61,19 @@ def _counter(batch: pa.Table) -> pa.Table:
     return pa.table({"lang": batch["lang"].slice(0, 1), "docs": pa.array([batch.num_rows], pa.int64()), "counts": pa.array([counts.tobytes()], pa.binary())})
 
 
+def _adder(parts: pa.Table) -> pa.Table:
+    counts = sum(np.frombuffer(x, np.int64) for x in parts["counts"].to_pylist())
+    return pa.table({"lang": parts["lang"].slice(0, 1), "docs": pa.array([sum(parts["docs"].to_pylist())], pa.int64()), "counts": pa.array([counts.tobytes()], pa.binary())})
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> Model:
     """Count n-grams of a sample of at most ``max_train`` rows with a language, none of the held-out fold, in the executors."""
     known = docs.where((fold(id_col, 5) != HELD_OUT) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
     ids = bounded(known.select(id_col), id_col, max_train)
     sample = known.select(id_col, F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(ids.distinct()), id_col, "left_semi")
-    got = sample.select("lang", "text").groupBy("lang").applyInArrow(_counter, "lang string, docs long, counts binary").orderBy(F.desc("docs"), "lang").limit(MAX_LANGS).collect()
+    shape = "lang string, docs long, counts binary"
+    dealt = sample.select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(SALTS)).alias("salt"))
+    got = dealt.groupBy("lang", "salt").applyInArrow(_counter, shape).groupBy("lang").applyInArrow(_adder, shape).orderBy(F.desc("docs"), "lang").limit(MAX_LANGS).collect()
     got = sorted(got, key=lambda r: r.lang)
     return Model([r.lang for r in got], np.array([np.frombuffer(r.counts, np.int64) for r in got]), np.array([r.docs for r in got], float))
 
