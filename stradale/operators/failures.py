@@ -77,8 +77,9 @@ def number_edges(ranked: DataFrame) -> DataFrame:
 def first_reroutable_edge(nodes: DataFrame, edges: DataFrame, bc: DataFrame) -> DataFrame:
     """The edge with the largest betweenness that is no cut edge and has pairs to reroute, with the increases of their paths."""
     open_edges = bc.join(cut_edges(nodes, edges), ["src", "dst"], "left_anti")
-    order = W.orderBy(F.desc(F.round("bc", 9)), F.desc("src"), F.desc("dst"))
-    cuts = open_edges.withColumn("scenario", F.row_number().over(order).cast("long")).where("scenario <= 10").select("scenario", F.col("src").alias("cut_u"), F.col("dst").alias("cut_v"), "bc")
+    order = F.desc(F.round("bc", 9)), F.desc("src"), F.desc("dst")
+    first = open_edges.orderBy(*order).limit(10)
+    cuts = first.withColumn("scenario", F.row_number().over(W.orderBy(*order)).cast("long")).select("scenario", F.col("src").alias("cut_u"), F.col("dst").alias("cut_v"), "bc")
     paths = distances(edges, all_sources(nodes), paths=True)
     routes = reroute(edges, affected_by_edge(paths, cuts), cuts.drop("bc")).where("after IS NOT NULL").withColumn("more", F.col("after") - F.col("before"))
     first = routes.agg(F.min("scenario").alias("scenario"))

@@ -8,9 +8,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from stradale.operators.components import FEW, connected_components
+from stradale.operators.ordinal import numbered
 
 #: Edges that are broadcast at most.
 MAX_EDGES = 5_000_000
@@ -150,11 +150,16 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
 def ranked(bc: DataFrame, *ties: str, top: int = 10) -> DataFrame:
     """Rank by betweenness with a flag for the first ``top``. Order uses nine decimals, so that engines agree on ties."""
     rows = bc.withColumn("bc", F.round("bc", 9))
-    return rows.withColumn("rank", F.row_number().over(W.orderBy(F.desc("bc"), *ties)).cast("long")).withColumn("gatekeeper", F.col("rank") <= top)
+    return numbered(rows, F.desc("bc"), *ties).withColumn("gatekeeper", F.col("rank") <= top)
 
 
 def cut_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``src, dst`` of the edges whose removal disconnects their ends: low-links per component, a component per task."""
+    """``src, dst`` of the edges whose removal disconnects their ends: low-links per component, a component per task.
+
+    More than ``MAX_EDGES`` edges, which are counted first, are refused rather than gathered.
+    """
+    if edges.count() > MAX_EDGES:
+        raise ValueError(f"more than {MAX_EDGES} edges")
     comp = connected_components(edges, few=FEW)
     rows = edges.join(comp, edges.src == comp.vertex).select("component", "src", "dst")
 

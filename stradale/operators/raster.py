@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stradale.functions.scalars import ratio
+from stradale.operators.ordinal import numbered
 
 
 def tile_windows(scenes: DataFrame, size: int = 256, stride: int = 192) -> DataFrame:
@@ -86,14 +87,19 @@ def minmax_by_tile(pixels: DataFrame, band: str) -> DataFrame:
 
 def split_scenes(manifest: DataFrame) -> DataFrame:
     """``scene, split``: the first 70 % train, up to 90 % validation, the rest test, by half-even rounding over all scenes."""
-    from pyspark.sql import Window as W
-
     scenes = manifest.select("scene").distinct()
-    ranked = scenes.withColumns({"i": F.row_number().over(W.orderBy("scene")) - 1}).crossJoin(F.broadcast(scenes.agg(F.count("*").alias("n"))))
+    ranked = numbered(scenes, "scene", name="i").withColumn("i", F.col("i") - 1).crossJoin(F.broadcast(scenes.agg(F.count("*").alias("n"))))
     cut = lambda share: F.bround(F.col("n") * share)
     return ranked.select("scene", F.when(F.col("i") < cut(0.7), "train").when(F.col("i") < cut(0.9), "val").otherwise("test").alias("split"))
 
 
+def tile_manifest(tiles: DataFrame) -> DataFrame:
+    """``scene, tile, road_pixels, pixels, road_fraction, has_road`` of the pixels ``tiles(scene, tile, truth)``."""
+    road = F.sum(F.col("truth").cast("long"))
+    rows = tiles.groupBy("scene", "tile").agg(road.alias("road_pixels"), F.count("*").alias("pixels"))
+    return rows.withColumns({"road_fraction": F.round(ratio(F.col("road_pixels"), F.col("pixels")), 9), "has_road": F.col("road_pixels") > 0})
+
+
 def split_summary(tiles: DataFrame) -> DataFrame:
     road = F.col("road_pixels") > 0
     return tiles.groupBy("split").agg(F.count("*").alias("tiles"), F.count_if(road).alias("with_road"), F.count_if(~road).alias("empty"), F.round(F.avg(F.col("road_pixels") / F.col("pixels")), 9).alias("mean_road_fraction"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stradale.functions.geo import with_geodesic
+from stradale.operators.ordinal import numbered
 
 
 def nearest(points: DataFrame, nodes: DataFrame, cell_x: float = 2e-3, cell_y: float = 1e-3) -> DataFrame:
@@ -52,9 +53,7 @@ def tag_histogram(rows: DataFrame, column: str) -> DataFrame:
 
 def sample_pairs(nodes: DataFrame, most: int = 500, seed: int = 42) -> DataFrame:
     """Pairs of different nodes in the order of a seeded hash: each node is paired with nodes at hashed places, not with all."""
-    from pyspark.sql import Window as W
-
-    placed = nodes.select("node_id", F.row_number().over(W.orderBy(F.xxhash64("node_id", F.lit(seed)), "node_id")).alias("k"))
+    placed = numbered(nodes.select("node_id"), F.xxhash64("node_id", F.lit(seed)), "node_id", name="k")
     n = placed.agg(F.count("*").alias("n"))
     tries = placed.select(F.col("node_id").alias("s"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("draw")).crossJoin(F.broadcast(n))
     tries = tries.withColumns({"h": F.xxhash64("s", "draw", F.lit(seed)), "k": F.pmod(F.xxhash64("draw", "s", F.lit(seed + 1)), F.col("n")) + 1})

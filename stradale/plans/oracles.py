@@ -150,6 +150,10 @@ SELECT src, dst, round(bc,9) AS bc, rerouted, mean_increase_m, median_increase_m
     + ", ".join(f"wp{r} AS ({_dilated('SELECT * FROM pd', r, True)}), wt{r} AS ({_dilated('SELECT * FROM tr', r, True)})" for r in (3, 5)) + f" SELECT * FROM {_relaxed(3)} UNION ALL SELECT * FROM {_relaxed(5)}",
     "dilate_square": f"WITH {SKELETON_CTE}, {_BOUNDS.format(src='skel')} SELECT scene, count(*) AS pixels, CAST(sum(r) AS BIGINT) AS sum_r, CAST(sum(c) AS BIGINT) AS sum_c FROM ({_dilated('SELECT * FROM skel', 5, False)}) GROUP BY scene",
     "dilate_disk": f"WITH {SKELETON_CTE}, {_BOUNDS.format(src='skel')} SELECT scene, count(*) AS pixels, CAST(sum(r) AS BIGINT) AS sum_r, CAST(sum(c) AS BIGINT) AS sum_c FROM ({_dilated('SELECT * FROM skel', 3, True)}) GROUP BY scene",
+    "tile_manifest": f"""WITH {_MOSAIC} SELECT win.scene, win.tile, CAST(sum(truth) AS BIGINT) AS road_pixels, count(*) AS pixels, round(sum(truth)/count(*),9) AS road_fraction, sum(truth)>0 AS has_road
+FROM win JOIN mask m ON win.scene=m.scene AND m.r BETWEEN row0 AND row0+63 AND m.c BETWEEN col0 AND col0+63 GROUP BY 1,2""",
+    "pixel_extent": f"""WITH {SKELETON_CTE} SELECT scene, round(225e-2,8) AS "left", round(48.85e0-1e-5*(max(r)+1),8) AS bottom, round(225e-2+1e-5*(max(c)+1),8) AS "right", round(4885e-2,8) AS top,
+ round(min(225e-2+1e-5*(c+5e-1)),8) AS min_x, round(max(48.85e0-1e-5*(r+5e-1)),8) AS max_y, round(avg(225e-2+1e-5*(c+5e-1)),8) AS mean_x, round(avg(48.85e0-1e-5*(r+5e-1)),8) AS mean_y FROM skel GROUP BY scene""",
     "tile_windows": f"WITH {_MOSAIC} SELECT scene, tile, row0, col0 FROM win",
     "stitch_mosaic": f"""WITH {_MOSAIC}, mo AS (SELECT m.scene, m.r, m.c, avg(p+((tile*13)%7-3)*1e-3) AS p, count(tile) AS n FROM mask m LEFT JOIN win ON win.scene=m.scene AND m.r BETWEEN row0 AND row0+63 AND m.c BETWEEN col0 AND col0+63 GROUP BY 1,2,3)
 SELECT scene, n, count(*) AS pixels, round(sum(CASE WHEN (r+c)%5=0 OR p IS NULL THEN 0 ELSE p END),6) AS sum_p FROM mo GROUP BY 1,2""",

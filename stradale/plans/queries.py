@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stradale.functions import scalars
+from stradale.functions import affine, scalars
 from stradale.functions.geo import angular_difference, with_geodesic
 from stradale.operators import failures, graph, healing, metrics, paths, raster, skeleton, validation
 from stradale.sources import fixtures as fx
 
 SIZE, STRIDE = 64, 48
+#: Pixels of a hundred-thousandth of a degree, from the north-west corner.
+TRANSFORM = (1e-5, 0.0, 2.25, 0.0, -1e-5, 48.85)
 THRESHOLDS = [0.1, 0.25, 0.35, 0.5, 0.65, 0.8]
 TOP = 10
 
@@ -179,6 +181,20 @@ def stitch_mosaic(spark, sf_dir):
     return out.groupBy("scene", "n").agg(F.count("*").alias("pixels"), F.round(F.sum("p"), 6).alias("sum_p"))
 
 
+def tile_manifest(spark, sf_dir):
+    rows = fx.mask(spark, sf_dir)
+    return raster.tile_manifest(raster.cut_tiles(rows, raster.tile_windows(_bounds(rows), SIZE, STRIDE), SIZE, STRIDE))
+
+
+def pixel_extent(spark, sf_dir):
+    """Bounds of each scene, and the extremes and means of its skeleton's pixel centres."""
+    skel = fx.skeleton(spark, sf_dir)
+    x, y = affine.pixel_centre(F.col("r"), F.col("c"), TRANSFORM)
+    own = skel.select("scene", x.alias("x"), y.alias("y")).groupBy("scene").agg(F.min("x").alias("min_x"), F.max("y").alias("max_y"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"))
+    out = affine.raster_bounds(_bounds(skel), TRANSFORM).join(own, "scene")
+    return out.select("scene", *(F.round(c, 8).alias(c) for c in out.columns[1:]))
+
+
 def _manifest(spark, sf_dir):
     fx.tables(spark, sf_dir, "part")
     return spark.sql(fx.MANIFEST)

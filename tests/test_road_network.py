@@ -4,9 +4,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from stradale.functions import geo, scalars
+from stradale.functions import affine, geo, scalars
 from stradale.operators import graph, metrics, paths, raster, skeleton
 from stradale.operators.components import connected_components
+from stradale.operators.ordinal import numbered
 from stradale.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -49,6 +50,24 @@ def test_path_of_three(spark):
     assert slow == {(r.s, r.t): r.dist for r in paths.distances(edges, paths.all_sources(nodes)).collect()}
 
 
+def test_numbers_without_one_task(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 13).alias("a"), "id").repartition(7)
+    got = {r.id: r.rank for r in numbered(rows, F.desc("a"), "id").collect()}
+    assert [x for x, _ in sorted(got.items(), key=lambda p: p[1])] == sorted(range(1000), key=lambda k: (-(k * 7919 % 13), k)) and set(got.values()) == set(range(1, 1001))
+    assert numbered(rows.limit(0), "id").count() == 0
+
+
+def test_lines_and_shapes(spark):
+    one = spark.range(1).select(affine.without_repeats(F.array(*map(F.lit, (1, 1, 2, 1, 1)))).alias("a")).first()
+    assert one.a == [1, 2, 1]
+    table = spark.createDataFrame([(None, "2.5"), ("1.5", "9")], "x string, lon string")
+    assert [r[0] for r in table.select(affine.first_coordinate(table, ("x", "lon", "longitude"))).collect()] == [2.5, 1.5]
+    with pytest.raises(ValueError):
+        affine.first_coordinate(table, ("y", "lat"))
+    a = spark.createDataFrame([(1, 5, 5), (2, 5, 5), (3, 5, 5)], "scene int, height int, width int")
+    assert {r.scene for r in affine.mismatched(a, spark.createDataFrame([(1, 5, 5), (2, 5, 6)], a.schema)).collect()} == {2, 3}
+
+
 def test_small_rules(spark):
     one = spark.range(1).select(geo.angular_difference(F.lit(350.0), F.lit(10.0)).alias("a"), scalars.floor_percentile(F.sequence(F.lit(1), F.lit(10)), 0.95).alias("p"), scalars.readable_size(F.lit(1536)).alias("s")).first()
     assert tuple(one) == (20.0, 9, "1.50 KB")
@@ -63,7 +82,7 @@ def test_small_rules(spark):
     assert graph.simple_graph(multi, "seq").first().length_m == 3.0 and graph.simple_graph(multi, "seq").count() == 1
 
 
-@pytest.mark.parametrize("name", ["edge_length_summary", "simple_graph_dedup", "component_sizes", "gap_candidates", "confusion_metrics", "split_summary", "band_stats", "dilate_disk"])
+@pytest.mark.parametrize("name", ["edge_length_summary", "simple_graph_dedup", "component_sizes", "gap_candidates", "confusion_metrics", "split_summary", "band_stats", "dilate_disk", "tile_manifest", "pixel_extent", "scene_split", "node_betweenness_rank", "edge_betweenness_rank", "reroutable_edge"])
 def test_query_equals_its_oracle(spark, name):
     con = duckdb.connect()
     for t in ("supplier", "customer", "part", "orders", "lineitem"):
