@@ -251,7 +251,7 @@ def skeletonize(spark, sf_dir):
 
 def nearest_snap(spark, sf_dir):
     nodes = fx.network(spark, sf_dir, "net")[0]
-    points = fx.network(spark, sf_dir, "heal")[0].selectExpr("node_id AS point_id", "x AS px", "y AS py").where("point_id % 7 = 0")
+    points = fx.network(spark, sf_dir, "heal")[0].selectExpr("node_id AS point_id", "x AS px", "y AS py")
     return validation.nearest(points, nodes).select("point_id", "node_id", F.round("dist", 6).alias("dist"))
 
 
