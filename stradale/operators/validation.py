@@ -2,36 +2,114 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stradale.functions.geo import with_geodesic
+from stradale.functions.geo import _inverse, with_geodesic
 from stradale.operators.ordinal import numbered
+from stradale.plans.staging import materialize
+
+
+#: Nodes of a block and points of a group that meet in one task; nodes of a leaf; distances that are held at once.
+BLOCK, GROUP, LEAF, AT_ONCE = 100_000, 20_000, 64, 1 << 20
 
 
 def nearest(points: DataFrame, nodes: DataFrame, cell_x: float = 2e-3, cell_y: float = 1e-3) -> DataFrame:
-    """``point_id, node_id, dist`` of the nearest node to each point, by distance then id.
+    """``point_id, node_id, dist`` of the nearest node to each point, by distance then id; a row for every point.
 
-    Points look in their own and the eight cells around, which settles all those with a node nearer than a cell; rings of
-    cells widen for the rest, until none is left. A point is null if there are no nodes.
+    Points look in their own and the eight cells around, which settles all those with a node nearer than a cell; the rest are
+    held against blocks of all nodes, however far. A point is null if it has no coordinates or there are no nodes.
     """
     cell = lambda c, size: F.floor(F.col(c) / size)
-    sites = nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny"), cell("x", cell_x).alias("cx"), cell("y", cell_y).alias("cy"))
-    left, found, reach = points.select("point_id", "px", "py"), None, 1
-    if nodes.isEmpty():
-        return points.select("point_id", F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("double").alias("dist"))
+    known = lambda x, y: F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)
+    sites = nodes.where(known("x", "y")).select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny"), cell("x", cell_x).alias("cx"), cell("y", cell_y).alias("cy"))
+    points = points.select("point_id", F.col("px").cast("double").alias("px"), F.col("py").cast("double").alias("py"))
+    none = lambda df: df.select("point_id", F.lit(None).cast(nodes.schema["node_id"].dataType).alias("node_id"), F.lit(None).cast("double").alias("dist"))
+    if sites.isEmpty():
+        return none(points)
     safe = min(cell_x * 60_000.0, cell_y * 110_000.0)  # metres of a cell at least, up to latitude 57
-    while True:
-        ring = F.sequence(F.lit(-reach), F.lit(reach))
-        at = left.select("*", F.explode(ring).alias("dx")).select("*", F.explode(ring).alias("dy"))
-        at = at.withColumns({"cx": F.floor(F.col("px") / cell_x) + F.col("dx"), "cy": F.floor(F.col("py") / cell_y) + F.col("dy")})
-        seen = with_geodesic(at.join(sites, ["cx", "cy"]), "px", "py", "nx", "ny")
-        best = seen.groupBy("point_id").agg(F.min(F.struct(F.col("dist"), F.col("node_id"))).alias("b")).select("point_id", "b.node_id", "b.dist").where(F.col("dist") <= safe * reach)
-        found = best if found is None else found.unionAll(best)
-        left = points.select("point_id", "px", "py").join(found, "point_id", "left_anti")
-        if reach > 1000 or left.isEmpty():
-            return found
-        reach *= 4
+    near = points.where((F.abs("py") < 56.5) & (F.abs("px") < 179.5)).select("*", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("dx"))
+    near = near.select("*", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("dy"))
+    near = near.withColumns({"cx": F.floor(F.col("px") / cell_x) + F.col("dx"), "cy": F.floor(F.col("py") / cell_y) + F.col("dy")})
+    found = materialize(_best(with_geodesic(near.join(sites, ["cx", "cy"]), "px", "py", "nx", "ny")).where(F.col("dist") <= safe), "near")
+    left = materialize(points.join(found, "point_id", "left_anti"), "left")
+    far = left.where(known("px", "py"))
+    return found.unionAll(_best(_in_blocks(far, sites))).unionAll(none(left.where(~known("px", "py"))))
+
+
+def _best(seen: DataFrame) -> DataFrame:
+    return seen.groupBy("point_id").agg(F.min(F.struct("dist", "node_id")).alias("b")).select("point_id", "b.node_id", "b.dist")
+
+
+def _in_blocks(points: DataFrame, sites: DataFrame) -> DataFrame:
+    """``point_id, node_id, dist`` of the nearest node of each block of nodes to each point."""
+    n_blocks, n_groups = (max(1, -(-df.count() // size)) for df, size in ((sites, BLOCK), (points, GROUP)))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    dealt = points.select("point_id", "px", "py", place("point_id", n_groups).alias("g"), each(n_blocks).alias("b")).groupBy("g", "b")
+    blocks = sites.select("node_id", "nx", "ny", place("node_id", n_blocks).alias("b"), each(n_groups).alias("g")).groupBy("g", "b")
+    shape = f"point_id {points.schema['point_id'].dataType.simpleString()}, node_id {sites.schema['node_id'].dataType.simpleString()}, dist double"
+    return dealt.cogroup(blocks).applyInPandas(_closest, shape)
+
+
+def _straight(lon, lat) -> np.ndarray:
+    """Places in space, metres, on the ellipsoid: the straight line between two is never longer than the geodesic."""
+    a, f = 6378137.0, 1 / 298.257223563
+    x, y = np.radians(np.asarray(lon, float)), np.radians(np.asarray(lat, float))
+    n = a / np.sqrt(1 - f * (2 - f) * np.sin(y) ** 2)
+    return np.stack([n * np.cos(y) * np.cos(x), n * np.cos(y) * np.sin(x), n * (1 - f) ** 2 * np.sin(y)], axis=1)
+
+
+def _halves(at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    axis = int(np.ptp(at[ids], axis=0).argmax())
+    order = ids[np.argpartition(at[ids, axis], len(ids) // 2)]
+    return order[: len(order) // 2], order[len(order) // 2 :]
+
+
+def _closest(points: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+    """The nearest node to each point: boxes of nodes that are too far for a box of points are passed over, the rest compared.
+
+    All nodes no further in a straight line than the geodesic to one of them are compared by geodesics, so none is missed.
+    """
+    if points.empty or nodes.empty:
+        return pd.DataFrame({"point_id": points["point_id"].iloc[:0], "node_id": nodes["node_id"].iloc[:0], "dist": np.zeros(0)})
+    p, q = _straight(points["px"], points["py"]), _straight(nodes["nx"], nodes["ny"])
+    px, py, nx, ny = (df[c].to_numpy(float) for df, c in ((points, "px"), (points, "py"), (nodes, "nx"), (nodes, "ny")))
+    leaves, todo, out = [], [np.arange(len(q))], []
+    while todo:
+        ids = todo.pop()
+        if len(ids) > LEAF:
+            todo += _halves(q, ids)
+        else:
+            leaves.append(ids)
+    low, high = (np.array([f(q[ids], axis=0) for ids in leaves]) for f in (np.min, np.max))
+    sizes = np.array([len(ids) for ids in leaves])
+    todo = [np.arange(len(p))]
+    while todo:
+        ids = todo.pop()
+        a, b = p[ids].min(axis=0), p[ids].max(axis=0)
+        least = np.sqrt((np.maximum(0, np.maximum(low - b, a - high)) ** 2).sum(axis=1))
+        most = np.sqrt((np.maximum(high - a, b - low) ** 2).sum(axis=1)).min()
+        near = np.flatnonzero(least <= most + 1e-3)
+        if len(ids) > 1 and len(ids) * sizes[near].sum() > AT_ONCE:
+            todo += _halves(p, ids)
+            continue
+        straight = lambda who: np.sqrt(((p[ids][:, None, :] - q[who][None, :, :]) ** 2).sum(axis=2))
+        who = np.concatenate([leaves[k] for k in near])
+        first = who[straight(who).argmin(axis=1)]
+        bound = np.nan_to_num(_inverse(px[ids], py[ids], nx[first], ny[first])[0], nan=np.inf) + 1e-3
+        if len(ids) > 1 and len(ids) * sizes[least <= bound.max()].sum() > 4 * AT_ONCE:
+            todo += _halves(p, ids)
+            continue
+        who = np.concatenate([leaves[k] for k in np.flatnonzero(least <= bound.max())])
+        i, j = np.nonzero(straight(who) <= bound[:, None])
+        i, j = ids[i], who[j]
+        seen = pd.DataFrame({"i": i, "node_id": nodes["node_id"].to_numpy()[j], "dist": _inverse(px[i], py[i], nx[j], ny[j])[0]})
+        out.append(seen.sort_values(["i", "dist", "node_id"]).drop_duplicates("i"))
+    best = pd.concat(out)
+    return pd.DataFrame({"point_id": points["point_id"].to_numpy()[best["i"]], "node_id": best["node_id"].to_numpy(), "dist": best["dist"].to_numpy()})
 
 
 def path_errors(ours: DataFrame, theirs: DataFrame) -> DataFrame:
