@@ -34,7 +34,7 @@ def node_degree_types(spark, sf_dir):
 
 def simple_graph_dedup(spark, sf_dir):
     fx.tables(spark, sf_dir, "lineitem")
-    rows = spark.sql(fx.MULTI).where("v IS NOT NULL").withColumnsRenamed({"u": "src", "v": "dst"})
+    rows = spark.sql(fx.PAIRS).where("v IS NOT NULL").withColumnsRenamed({"u": "src", "v": "dst"})
     return graph.simple_graph(rows, "seq").select("src", "dst", F.col("seq").cast("long"))
 
 
