@@ -8,6 +8,10 @@ from pyspark.sql import Window as W
 
 from stradale.functions.scalars import floor_percentile, path_uses_edge, percent_change, ratio, travel_seconds
 from stradale.operators.paths import all_sources, cut_edges, distances
+from stradale.plans.staging import materialize
+
+#: Edges that are tried at once for a detour.
+TRIED = 10
 
 
 def _scenarios(nodes: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -78,10 +82,14 @@ def first_reroutable_edge(nodes: DataFrame, edges: DataFrame, bc: DataFrame) ->
     """The edge with the largest betweenness that is no cut edge and has pairs to reroute, with the increases of their paths."""
     open_edges = bc.join(cut_edges(nodes, edges), ["src", "dst"], "left_anti")
     order = F.desc(F.round("bc", 9)), F.desc("src"), F.desc("dst")
-    first = open_edges.orderBy(*order).limit(10)
-    cuts = first.withColumn("scenario", F.row_number().over(W.orderBy(*order)).cast("long")).select("scenario", F.col("src").alias("cut_u"), F.col("dst").alias("cut_v"), "bc")
-    paths = distances(edges, all_sources(nodes), paths=True)
-    routes = reroute(edges, affected_by_edge(paths, cuts), cuts.drop("bc")).where("after IS NOT NULL").withColumn("more", F.col("after") - F.col("before"))
+    open_edges, paths = materialize(open_edges, "open"), distances(edges, all_sources(nodes), paths=True)
+    for at in range(0, max(1, open_edges.count()), TRIED):
+        some = open_edges.orderBy(*order).offset(at).limit(TRIED)
+        cuts = some.withColumn("scenario", F.row_number().over(W.orderBy(*order)).cast("long")).select("scenario", F.col("src").alias("cut_u"), F.col("dst").alias("cut_v"), "bc")
+        routes = reroute(edges, affected_by_edge(paths, cuts), cuts.drop("bc")).where("after IS NOT NULL").withColumn("more", F.col("after") - F.col("before"))
+        routes = materialize(routes, "routes")
+        if not routes.isEmpty():
+            break
     first = routes.agg(F.min("scenario").alias("scenario"))
     one = routes.join(F.broadcast(first), "scenario").groupBy("scenario").agg(F.count("*").alias("rerouted"), F.avg("more").alias("mean"), F.median("more").alias("median"), floor_percentile(F.collect_list("more"), 0.95).alias("p95"), F.max("more").alias("max"))
     told = {f"{k}_increase_m": F.round(k, 6) for k in ("mean", "median", "p95", "max")} | {"mean_increase_s": F.round(travel_seconds(F.col("mean")), 6)}
