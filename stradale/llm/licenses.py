@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -82,6 +83,20 @@ def align(text: list[bytes], template: list[bytes]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _reach(words: list[bytes], places: range, template: list[bytes], need: float) -> int | None:
+    """The first of ``places`` by which ``need`` words of the template have come in order (a common subsequence, in bits)."""
+    masks: dict[bytes, int] = {}
+    for k, w in enumerate(template):
+        masks[w] = masks.get(w, 0) | 1 << k
+    full = row = (1 << len(template)) - 1
+    for k in places:
+        if m := masks.get(words[k], 0):
+            row = ((row + (row & m)) | (row & ~m)) & full
+            if len(template) - row.bit_count() >= need:
+                return k
+    return None
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
         self.coverage = coverage
@@ -118,19 +133,41 @@ class Scanner:
         return out
 
     def _region(self, words: list[bytes], a: int, b: int, template: list[bytes]):
-        """The whole region if its anchors cover the template; else windows, so repeats of a notice do not hide each other."""
+        """The whole region if its anchors cover the template; else windows, so repeats of a notice do not hide each other.
+
+        Between what these find, windows grow until they hold enough words of the template in order.
+        """
         n = len(template)
         need = self.coverage * n
         whole = [(0, b - a)] if b - a <= 4 * n else []
         at, windows = 0, [(x, min(b - a, x + n + max(2, n // 4))) for x in range(0, b - a)]
-        for lo, hi in whole if self._once(words[a:b], template) else windows:
+        done = a
+        for lo, hi in whole if whole and self._once(words[a:b], template) else windows:
             if lo < at or sum((Counter(words[a + lo : a + hi]) & Counter(template)).values()) < need:
                 continue
             pairs = align(words[a + lo : a + hi], template)
             if len(pairs) >= need:
                 first, last = a + lo + pairs[0][0], a + lo + pairs[-1][0] + 1
+                yield from self._stretched(words, done, first, template)
+                yield (len(pairs) / n,), first, last
+                at, done = last - a, last
+        yield from self._stretched(words, done, b, template)
+
+    def _stretched(self, words: list[bytes], a: int, b: int, template: list[bytes]):
+        """Stretches of any length that cover the template: each ends as early and then starts as late as it can."""
+        n = len(template)
+        need, pad = self.coverage * n, max(2, n // 4)
+        while (end := _reach(words, range(a, b), template, need)) is not None:
+            start = _reach(words, range(end, a - 1, -1), template[::-1], need)
+            lo, hi = max(a, start - pad), min(b, end + 1 + pad)
+            pairs = align(words[lo:hi], template)
+            if len(pairs) >= need:
+                first, last = lo + pairs[0][0], lo + pairs[-1][0] + 1
                 yield (len(pairs) / n,), first, last
-                at = last - a
+            else:  # words that recur hide the anchors
+                last = end + 1
+                yield (ceil(need) / n,), start, last
+            a = max(last, end + 1)
 
     @staticmethod
     def _once(words: list[bytes], template: list[bytes]) -> bool:
