@@ -23,35 +23,78 @@ WINDOW, GAP, LINK_SHARE = 3, 3, 0.6
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math", "canvas", "audio", "video", "select"}
 ASIDE = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "label", "figure"}
 MAIN = {"article", "main"}
+#: What is beside the article even where it holds more text than the article, or articles of its own.
+SURE = {"nav", "footer", "aside", "button", "dialog", "menu", "label"}
+SURE_MARKS = {"comment", "comments", "disqus", "related", "replies"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Share of the weighing text beyond which a wrapper that is not sure holds the page, not something beside the article.
+WHOLE = 0.9
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
-#: Words of a class, id or role that mark what is not the article.
+#: Words of a class, id or role that mark what is not the article; in compound names only if the other words are of PLAIN or MARKS.
 MARKS = {"ad", "ads", "advert", "advertisement", "adverts", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "contentinfo", "cookie", "cookies", "disqus", "footer", "header", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "promotion", "related", "replies", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 
+PLAIN = {"area", "bar", "block", "bottom", "box", "container", "fixed", "global", "group", "inner", "left", "links", "list", "main", "outer", "overlay", "panel", "primary", "right", "secondary", "section", "site", "slot", "sticky", "top", "unit", "wrap", "wrapper"}
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"\s+")
 
 
-def _marked(attributes: str) -> bool:
-    return any(w in MARKS for m in _MARKED.finditer(attributes) for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower()))
+def _marks(attributes: str) -> set[str]:
+    """The marks of a class, id or role; names like ``has-sidebar`` or ``related-work`` give none."""
+    found: set[str] = set()
+    for m in _MARKED.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+            if words <= MARKS | PLAIN:
+                found |= words & MARKS
+    return found
+
+
+def _beside(found: list[tuple[str, int, int, bool, int]], wrappers: list[tuple[int, bool, bool]]) -> list[bool]:
+    """Whether each wrapper counts: not where it, and not something else, holds the article or nearly all of the page's text."""
+    text, held = [0] * len(wrappers), [0] * len(wrappers)
+    outside = rest = 0
+    for block, linked, w, main, h in found:
+        size = max(0, len(block) - linked)
+        if w >= 0:
+            text[w] += size
+        else:
+            rest += size
+            outside += size if main else 0
+        if h >= 0:
+            held[h] += size
+    for k in range(len(wrappers) - 1, -1, -1):
+        if (up := wrappers[k][0]) >= 0:
+            text[up] += text[k]
+            held[up] += held[k]
+    total = rest + sum(t for t, (up, _, _) in zip(text, wrappers) if up < 0)
+    counts: list[bool] = []
+    for k, (up, sure, inside) in enumerate(wrappers):
+        holds = held[k] > (0 if not outside else text[k] if sure else outside)
+        whole = not sure and not inside and text[k] * 2 > total and text[k] > WHOLE * (text[k] + rest)
+        counts.append(up >= 0 and counts[up] or not (holds or whole))
+    return counts
 
 
 def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     """Text, characters in links, whether it is beside the article, and whether an element for the article encloses it."""
-    out: list[tuple[str, int, bool, bool]] = []
+    out: list[tuple[str, int, int, bool, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
+    #: Of each element that is open: the innermost wrapper of something beside, whether it is in an article, the wrapper of that.
+    stack: list[tuple[str, int, bool, int]] = []
+    wrappers: list[tuple[int, bool, bool]] = []
     linked = at = links = 0
-    beside = main = False
+    beside, main, held = -1, False, -1
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = _SPACES.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append((text, linked, beside, main))
+                out.append((text, linked, beside, main, held))
             parts.clear()
         linked = 0
 
@@ -75,7 +118,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
                 close()
                 while stack.pop()[0] != name:
                     pass
-                _, beside, main = stack[-1] if stack else ("", False, False)
+                _, beside, main, held = stack[-1] if stack else ("", -1, False, -1)
                 links = 0
             elif name in ("p", "br"):
                 close()
@@ -90,15 +133,19 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             if name not in VOID and not m[0].endswith("/>"):
                 if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
                     stack.pop()
-                    _, beside, main = stack[-1] if stack else ("", False, False)
-                inside = main or name in MAIN
-                beside = beside or name in ASIDE and not (name == "header" and main) or name not in ("body", "html", *MAIN) and _marked(m[3])
-                main = inside
-                stack.append((name, beside, main))
+                    _, beside, main, held = stack[-1] if stack else ("", -1, False, -1)
+                marks = _marks(m[3]) if name not in ("body", "html", *MAIN, *HEADINGS) else set()
+                if marks or name in ASIDE and not (name in ("header", "figure") and main):
+                    wrappers.append((beside, name in SURE or bool(marks & SURE_MARKS), main))
+                    beside = len(wrappers) - 1
+                if name in MAIN:
+                    main, held = True, beside
+                stack.append((name, beside, main, held))
                 links = 0
     text_to(len(page))
     close()
-    return out
+    counts = _beside(out, wrappers)
+    return [(text, linked, w >= 0 and counts[w], main) for text, linked, w, main, _ in out]
 
 
 def extract(page: str | None) -> str:
