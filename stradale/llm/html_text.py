@@ -148,11 +148,11 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
     return [(text, linked, w >= 0 and counts[w], main) for text, linked, w, main, _ in out]
 
 
-def extract(page: str | None) -> str:
-    """The text of the article, blocks joined by line breaks; empty if there is none."""
+def extract(page: str | None, elements: bool = True) -> str:
+    """The text of the article, blocks joined by line breaks; empty if there is none. Without ``elements``, window sums decide on every page."""
     if not page:
         return ""
-    found = blocks(page)
+    found = [(text, links, beside, main and elements) for text, links, beside, main in blocks(page)]
     enclosed = any(main and not beside for _, _, beside, main in found)
     weight = np.array([0 if beside or (enclosed and not main) or (not enclosed and links > LINK_SHARE * len(text)) else len(text) for text, links, beside, main in found], np.int64)
     if not weight.any():

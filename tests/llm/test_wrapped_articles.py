@@ -1,3 +1,4 @@
+import pyarrow.parquet as pq
 import pytest
 
 from stradale.llm.html_text import extract
@@ -25,3 +26,9 @@ def test_what_is_beside_still_goes():
     assert extract(f'<main>{TEXT}<section class="comments">{teaser * 20}</section></main><div class="site-footer">(c)</div>') == WANT
     assert extract(f'<div class="widget"><article>{TEXT * 3}</article></div>{teaser}').startswith(WANT)
     assert extract("<nav>Menu</nav>") == "" and extract("<nav>Menu</nav><div class=cookies>We</div><p>Text</p>") == "Text"
+
+
+def test_window_sums_alone():
+    """What the README says of the search without the help of article elements."""
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist()
+    assert all(extract(p, elements=False) == extract(p) != "" for p in pages)
