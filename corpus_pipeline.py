@@ -19,9 +19,12 @@ MAX_BROADCAST = 500_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in some language; those without text or letters go."""
-    told = language_id.identify(docs, language_id.fit(docs))
-    return told.where("lang_pred <> 'und'").drop("lang_pred", "score")
+    """Documents in a language that was learned; those without text or letters, or unlikely in every language, go. All stay if none was learned."""
+    model = language_id.fit(docs)
+    if not model.langs:
+        return docs
+    told = language_id.identify(docs, model, likelihood=True)
+    return told.where((F.col("lang_pred") != "und") & (F.col("likelihood") >= language_id.LEAST)).drop("lang_pred", "score", "likelihood")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
