@@ -1,8 +1,10 @@
 """Main text of web pages by line-block distribution.
 
-A page becomes blocks, one for each run of text between block-level tags. Markup that never holds the article weighs nothing:
-scripts, menus, forms, adverts and the like, and blocks that are mostly links. The weights of the blocks are summed over a
-sliding window; the sums surge where the article starts and dive where it ends. What weighs something between is the text.
+Markup is stripped to lines, one for each run of text between block-level tags. Where something that is marked as its own part of
+the page starts or ends (an article, a menu, a footer, an advert ...), a window of blank lines is put between. The text lengths of
+lines, links left out, are summed over a sliding window: the sums surge where a part begins and dive where it ends, so the page
+falls into stretches. The heaviest stretch is the article; marks only say how a stretch weighs, never which lines are kept.
+Stretches of the same article, which an advert or the like inside it has cut, are joined again.
 """
 
 from __future__ import annotations
@@ -18,13 +20,17 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from stradale.llm.words import small_batches
 
-#: Blocks of a window; windows without weight that end the article where no element encloses it; share of text in links that marks a menu.
-WINDOW, GAP, LINK_SHARE = 3, 3, 0.6
+#: Lines of a window; share of text in links from which a line weighs nothing; what a character of an article element weighs.
+WINDOW, LINK_SHARE, MAIN_WEIGHT = 3, 0.6, 50
+#: Share of the heaviest stretch from which another article element of the page is part of its text.
+ALSO = 0.5
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math", "canvas", "audio", "video", "select"}
-ASIDE = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "label", "figure"}
+ASIDE = {"nav", "header", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "label"}
 MAIN = {"article", "main"}
 #: What is beside the article even where it holds more text than the article, or articles of its own.
 SURE = {"nav", "footer", "aside", "button", "dialog", "menu", "label"}
+#: Elements that frame a page: what directly holds one is the page's, not the article's.
+FRAME = {"nav", "header", "footer"}
 SURE_MARKS = {"comment", "comments", "disqus", "related", "replies"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Share of the weighing text beyond which a wrapper that is not sure holds the page, not something beside the article.
@@ -36,7 +42,8 @@ MARKS = {"ad", "ads", "advert", "advertisement", "adverts", "advertising", "bann
 
 PLAIN = {"area", "bar", "block", "bottom", "box", "container", "fixed", "global", "group", "inner", "left", "links", "list", "main", "outer", "overlay", "panel", "primary", "right", "secondary", "section", "site", "slot", "sticky", "top", "unit", "wrap", "wrapper"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: A quote opens a value after an equals sign only; elsewhere, as in ``data-x=it's``, it is a character like others.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*)(?:>|\Z)", re.S)
 _MARKED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"\s+")
@@ -79,22 +86,32 @@ def _beside(found: list[tuple[str, int, int, bool, int]], wrappers: list[tuple[i
     return counts
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
-    """Text, characters in links, whether it is beside the article, and whether an element for the article encloses it."""
-    out: list[tuple[str, int, int, bool, int]] = []
+class Line:
+    """A line of text: characters of it in links, the wrapper beside the article that holds it, the outermost article element, the open elements."""
+
+    __slots__ = ("text", "linked", "wrapper", "main", "holder", "path")
+
+    def __init__(self, text: str, linked: int, wrapper: int, main: int, holder: int, path: tuple[int, ...]):
+        self.text, self.linked, self.wrapper, self.main, self.holder, self.path = text, linked, wrapper, main, holder, path
+
+
+def lines(page: str) -> tuple[list[Line], list[tuple[int, bool, bool]], set[int]]:
+    """The lines of a page, the wrappers of what may be beside the article, and the elements that hold a menu, header or footer."""
+    out: list[Line] = []
     parts: list[str] = []
-    #: Of each element that is open: the innermost wrapper of something beside, whether it is in an article, the wrapper of that.
-    stack: list[tuple[str, int, bool, int]] = []
+    #: Of each element that is open: name, innermost wrapper, outermost article element, the wrapper of the innermost, number.
+    stack: list[tuple[str, int, int, int, int]] = []
     wrappers: list[tuple[int, bool, bool]] = []
-    linked = at = links = 0
-    beside, main, held = -1, False, -1
+    framed: set[int] = set()
+    linked = at = links = n = 0
+    wrapper, main, holder = -1, -1, -1
 
     def close() -> None:
         nonlocal linked
         if parts:
             text = _SPACES.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append((text, linked, beside, main, held))
+                out.append(Line(text, linked, wrapper, main, holder, tuple(x[4] for x in stack)))
             parts.clear()
         linked = 0
 
@@ -105,6 +122,11 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             if links:
                 linked += len(page[at:end].strip())
 
+    def leave() -> None:
+        nonlocal wrapper, main, holder
+        stack.pop()
+        _, wrapper, main, holder, _ = stack[-1] if stack else ("", -1, -1, -1, 0)
+
     while m := _TAG.search(page, at):
         text_to(m.start())
         at = m.end()
@@ -116,9 +138,9 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
                 links -= name == "a" and links > 0
             elif any(x[0] == name for x in stack):
                 close()
-                while stack.pop()[0] != name:
-                    pass
-                _, beside, main, held = stack[-1] if stack else ("", -1, False, -1)
+                while stack[-1][0] != name:
+                    leave()
+                leave()
                 links = 0
             elif name in ("p", "br"):
                 close()
@@ -132,47 +154,96 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool]]:
             close()
             if name not in VOID and not m[0].endswith("/>"):
                 if name in ("p", "li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == name:
-                    stack.pop()
-                    _, beside, main, held = stack[-1] if stack else ("", -1, False, -1)
+                    leave()
+                n += 1
                 marks = _marks(m[3]) if name not in ("body", "html", *MAIN, *HEADINGS) else set()
-                if marks or name in ASIDE and not (name in ("header", "figure") and main):
-                    wrappers.append((beside, name in SURE or bool(marks & SURE_MARKS), main))
-                    beside = len(wrappers) - 1
+                if marks or name in ASIDE and not (name == "header" and main >= 0):
+                    if name in FRAME and stack:
+                        framed.add(stack[-1][4])
+                    wrappers.append((wrapper, name in SURE or bool(marks & SURE_MARKS), main >= 0))
+                    wrapper = len(wrappers) - 1
                 if name in MAIN:
-                    main, held = True, beside
-                stack.append((name, beside, main, held))
+                    main, holder = n if main < 0 else main, wrapper
+                if name in ("html", "body"):
+                    framed.add(n)
+                stack.append((name, wrapper, main, holder, n))
                 links = 0
     text_to(len(page))
     close()
-    counts = _beside(out, wrappers)
-    return [(text, linked, w >= 0 and counts[w], main) for text, linked, w, main, _ in out]
+    return out, wrappers, framed
+
+
+def stretches(weights: np.ndarray) -> list[tuple[int, int]]:
+    """Surge and dive, both included, of each stretch in which the sums of a sliding window are not zero."""
+    ahead = np.convolve(weights, np.ones(WINDOW, np.int64))
+    loud = (ahead[WINDOW - 1 :] > 0) & (ahead[: len(weights)] > 0)  # of the windows that begin and that end at each line
+    loud |= weights > 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], loud.astype(np.int8), [0]])))
+    return list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist()))
 
 
 def extract(page: str | None, elements: bool = True) -> str:
-    """The text of the article, blocks joined by line breaks; empty if there is none. Without ``elements``, window sums decide on every page."""
+    """The text of the article, lines joined by line breaks; empty if there is none. Without ``elements``, article elements weigh as others do."""
     if not page:
         return ""
-    found = [(text, links, beside, main and elements) for text, links, beside, main in blocks(page)]
-    enclosed = any(main and not beside for _, _, beside, main in found)
-    weight = np.array([0 if beside or (enclosed and not main) or (not enclosed and links > LINK_SHARE * len(text)) else len(text) for text, links, beside, main in found], np.int64)
-    if not weight.any():
+    found, wrappers, framed = lines(page)
+    counts = _beside([(x.text, x.linked, x.wrapper, x.main >= 0, x.holder) for x in found], wrappers)
+    part = [(x.wrapper >= 0 and counts[x.wrapper], x.main if elements else -1) for x in found]
+    places, laid = [], []
+    for k, x in enumerate(found):
+        if k and part[k] != part[k - 1]:
+            laid += [0] * WINDOW
+        places.append(len(laid))
+        laid.append(0 if x.linked > LINK_SHARE * len(x.text) else len(x.text) - x.linked)
+    if not laid:
+        return ""
+    back = {at: k for k, at in enumerate(places)}
+    runs = []
+    for surge, dive in stretches(np.array(laid, np.int64)):
+        own = [back[at] for at in range(surge, dive + 1) if at in back]
+        if not own:
+            continue
+        beside, main = part[own[0]]
+        weight = sum(laid[places[k]] for k in own)
+        runs.append((0 if beside else weight * (MAIN_WEIGHT if main >= 0 else 1), own[0], own[-1]))
+    best = max(runs, default=(0, 0, 0), key=lambda r: (r[0], -r[1]))
+    if not best[0]:
         return ""
-    sums = np.convolve(weight, np.ones(WINDOW, np.int64))[WINDOW - 1 :]  # of the blocks from each on
-    if enclosed:
-        surge, dive = int(np.flatnonzero(weight)[0]), int(np.flatnonzero(weight)[-1])
-    else:
-        peak = int(sums.argmax())
-        quiet = sums == 0
-        surge = dive = peak
-        while surge > 0 and not quiet[max(0, surge - GAP) : surge].all():
-            surge -= 1
-        while dive + 1 < len(weight) and not quiet[dive + 1 : dive + 1 + GAP].all():
-            dive += 1
-    return "\n".join(found[k][0] for k in range(surge, dive + 1) if weight[k])
+    first = last = None
+    kept: set[int] = set()
+    for weight, a, b in runs:
+        if weight and (weight == best[0] and a == best[1] or _same(found, part, framed, best, (weight, a, b))):
+            kept.update(range(a, b + 1))
+            first, last = a if first is None else first, b
+    # lines that weigh nothing, such as a list of links, between stretches of the article are part of it, or where its element ends
+    while part[best[1]][1] >= 0 and first > 0 and part[first - 1] == part[best[1]]:
+        first -= 1
+    while part[best[1]][1] >= 0 and last + 1 < len(found) and part[last + 1] == part[best[1]]:
+        last += 1
+    inside = [k for k in range(first, last + 1) if k in kept or part[k] == part[best[1]]]
+    return "\n".join(found[k].text for k in inside)
+
+
+def _same(found: list[Line], part: list[tuple[bool, int]], framed: set[int], best: tuple[int, int, int], other: tuple[int, int, int]) -> bool:
+    """Whether another stretch is of the article that ``best`` is of: in the same article element, or one nearly as heavy; without
+    one, in the same element, unless that also holds a menu or the like and so is the page's; or with hardly a line between."""
+    if part[best[1]][1] != part[other[1]][1]:
+        return part[best[1]][1] >= 0 and part[other[1]][1] >= 0 and other[0] >= ALSO * best[0]
+    if part[best[1]][1] >= 0:
+        return True
+    (_, _, end), (_, begin, _) = sorted([best, other], key=lambda r: r[1])
+    if begin - end - 1 < WINDOW:
+        return True
+    common = [x for x, y in zip(found[end].path, found[begin].path) if x == y]
+    return bool(common) and common[-1] not in framed
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``page_id, url, text, n_chars``, a row per row of ``pages``; null html has empty text. No shuffle; repeated rows stay."""
+    """``page_id, url, text, n_chars``, a row per row of ``pages``; null html has empty text. No shuffle.
+
+    Repeated rows stay. Of stretches that weigh the same the first is the article. Texts are read whole, however long. Other
+    columns of ``pages`` are not read; an empty table gives no rows.
+    """
     small_batches(pages.sparkSession)
     kinds = [to_arrow_type(pages.schema[c].dataType) for c in (id_col, url_col)]
 
