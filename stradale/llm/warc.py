@@ -2,13 +2,16 @@
 
 A split cannot tell a record from the bytes of one inside a payload. So each split reports every place that looks like a record,
 with where its successor starts, already followed to the first place beyond the split. Jumps over these pointers from the start
-of each file, doubled every round, reach the true boundaries only. Each split then is read from its first true boundary.
+of each file, doubled every round, reach the true boundaries only. Each split then is read from its first true boundary, once and
+in order. Records of other writers are read as well: any version, repeated and folded fields, types other than responses and
+revisits, and records that state no digest.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import math
 import re
 import uuid
@@ -22,16 +25,19 @@ from stradale.llm.words import small_batches
 from stradale.plans.staging import discard, materialize, new_path
 
 MAGIC = b"WARC/1.1\r\n"
+_MAGIC = re.compile(rb"WARC/\d\.\d+\r\n")
 #: Payloads of fewer bytes are never replaced by a revisit.
 LEAST_REVISIT = 1000
 #: An archive is closed when it exceeds this; splits of this many bytes are read as a unit; what is read of a header at first.
-ARCHIVE_BYTES, SPLIT_BYTES, HEADER_BYTES = 512 << 20, 16 << 20, 1 << 16
+ARCHIVE_BYTES, SPLIT_BYTES, HEADER_BYTES = 512 << 20, 16 << 20, 1 << 12
+#: Bytes that a reader fetches at a time, and that a magic has at most.
+FETCH_BYTES, LONGEST_MAGIC = 1 << 20, 16
 #: Revisits (two numbers and a digest each) that are broadcast at most; more of them are joined by a shuffle of the pages.
 MAX_BROADCAST = 200_000
 DATE = "2024-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
-RECORDS = "path string, offset long, record_type string, page_id long, url string, refers_to long, digest string, length long, payload binary"
-_FIELDS = ("path", "offset", "record_type", "page_id", "url", "refers_to", "digest", "length", "payload")
+RECORDS = "path string, offset long, record_type string, record_id string, page_id long, url string, refers_to long, digest string, length long, payload binary"
+_FIELDS = ("path", "offset", "record_type", "record_id", "page_id", "url", "refers_to", "digest", "length", "payload")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -56,11 +62,58 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 def parse(head: bytes) -> dict[str, str] | None:
-    """Fields of a header, by name in lower case; null if it is none."""
-    lines = head.decode("utf-8", "replace").split("\r\n")
-    fields = dict(p for x in lines[1:] if len(p := [y.strip() for y in x.split(":", 1)]) == 2)
-    fields = {k.lower(): v for k, v in fields.items()}
-    return fields if len(fields) == len(lines) - 1 and fields.get("content-length", "").isdigit() else None
+    """Fields of a header, by name in lower case, the first of repeated ones; null if it is none. Folded lines go on the field before."""
+    fields: dict[str, str] = {}
+    name = None
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name is not None:
+            fields[name] += " " + line.strip()
+            continue
+        key, colon, value = line.partition(":")
+        if not colon or not key.strip():
+            return None
+        name = key.strip().lower()
+        if name in fields:
+            name = f"{name} again"  # what folds on goes there too
+        fields[name] = value.strip()
+    return fields if fields.get("content-length", "").isdecimal() and fields["content-length"].isascii() else None
+
+
+def _page(name: str | None) -> int | None:
+    """The page that a record id of :func:`record` names; ids of other writers name none."""
+    found = re.fullmatch(r"<urn:page:(-?\d{1,19})>", name or "")
+    return int(found[1]) if found else None
+
+
+def _digest(stated: str | None) -> str | None:
+    """A stated SHA-1 in lower-case hex; null for other algorithms and what is none."""
+    kind, _, value = (stated or "").partition(":")
+    if kind.lower() == "sha1":
+        if re.fullmatch("[A-Za-z2-7]{32}", value):
+            return base64.b32decode(value.upper()).hex()
+        if re.fullmatch("[0-9A-Fa-f]{40}", value):
+            return value.lower()
+    return None
+
+
+def contents(fields: dict[str, str], block: bytes) -> tuple:
+    """Of a record: ``record_type, record_id, page_id, url, refers_to, digest, length, payload``.
+
+    The payload of an HTTP response is its body, of other records the whole block; a revisit has none, and of it digest and
+    length are those that it states.
+    """
+    kind = fields.get("warc-type")
+    http = fields.get("content-type", "").lower().startswith("application/http")
+    head, blank, body = block.partition(_END) if http else (b"", b"", block)
+    if not blank:
+        head, body = (block, b"") if http and kind == "revisit" else (b"", block)
+    digest, length = _digest(fields.get("warc-payload-digest")), len(body)
+    if kind == "revisit":
+        stated = re.search(rb"(?im)^content-length:[ \t]*(\d+)", head)
+        length, body = int(stated[1]) if stated else None, None
+    elif digest is None:
+        digest = hashlib.sha1(body).hexdigest()
+    return kind, fields.get("warc-record-id"), _page(fields.get("warc-record-id")), fields.get("warc-target-uri"), _page(fields.get("warc-refers-to")), digest, length, body
 
 
 def _writer(folder: str):
@@ -91,7 +144,9 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     """Write a record per row to archives in ``folder``; return ``path, bytes, records`` of each archive.
 
     Of rows with equal payloads of at least ``LEAST_REVISIT`` bytes the one with the largest id is a response, the others are
-    revisits. Null html is an empty payload; a row without id is always a response; rows that repeat an id are all written.
+    revisits. Null html is an empty payload; a row without id is always a response; rows that repeat an id are all written, and
+    those of the largest id among equal payloads are all responses. Payloads are written whole, however long. Other columns are
+    not read.
     """
     small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"))
@@ -99,13 +154,16 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     copies = marks.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("rows")).where("rows > 1")
     again = marks.join(copies, "digest").where("page_id <> keep").select("page_id", "digest", F.col("keep").alias("refers_to")).distinct()
     again = materialize(again, "revisits")
-    again = F.broadcast(again) if again.count() <= MAX_BROADCAST else again
-    told = rows.withColumn("digest", F.sha1("payload")).join(again, ["page_id", "digest"], "left").select("page_id", "url", "payload", "refers_to")
-    return materialize(told.mapInArrow(_writer(folder), "path string, bytes long, records long"), "archives")
+    few = F.broadcast(again) if again.count() <= MAX_BROADCAST else again
+    told = rows.withColumn("digest", F.sha1("payload")).join(few, ["page_id", "digest"], "left").select("page_id", "url", "payload", "refers_to")
+    archives = materialize(told.mapInArrow(_writer(folder), "path string, bytes long, records long"), "archives")
+    discard(again)
+    return archives
 
 
 def _open(folder: str, path: str):
-    return fs.FileSystem.from_uri(folder)[0].open_input_file(path)
+    """The file behind a buffer, so that places that follow each other closely are fetched once."""
+    return io.BufferedReader(fs.FileSystem.from_uri(folder)[0].open_input_file(path), FETCH_BYTES)
 
 
 def _at(stream, offset: int, n: int) -> bytes:
@@ -131,8 +189,8 @@ def _chains(folder: str):
         for batch in batches:
             for path, size, start, end in zip(*(c.to_pylist() for c in batch.columns)):
                 with _open(folder, path) as stream:
-                    data = _at(stream, start, end - start + HEADER_BYTES)
-                    places = [m.start() for m in re.finditer(re.escape(MAGIC), data[: end - start + len(MAGIC) - 1])]
+                    data = _at(stream, start, end - start + max(HEADER_BYTES, LONGEST_MAGIC))
+                    places = [m.start() for m in _MAGIC.finditer(data, 0, end - start + LONGEST_MAGIC) if m.start() < end - start]
                     heads = {}
                     for at in places:
                         stop = data.find(_END, at)
@@ -164,11 +222,13 @@ def boundaries(splits: DataFrame, folder: str) -> DataFrame:
     reached = splits.where("start = 0").select("path", F.lit(0).cast("long").alias("offset"))
     for _ in range(math.ceil(math.log2(most + 1))):
         further = reached.join(jumps, ["path", "offset"]).select("path", F.col("jump").alias("offset"))
-        reached = materialize(reached.unionByName(further).distinct(), "reached")
+        before, reached = reached, materialize(reached.unionByName(further).distinct(), "reached")
+        discard(before)
         step = jumps.select("path", F.col("offset").alias("jump"), F.col("jump").alias("to"))
         doubled = materialize(jumps.join(step, ["path", "jump"], "left").select("path", "offset", F.coalesce("to", "jump").alias("jump")), "jumps")
         discard(jumps)
         jumps = doubled
+    discard(jumps)
     return reached
 
 
@@ -182,19 +242,14 @@ def _reader(folder: str):
                 with _open(folder, path) as stream:
                     while at < end:
                         data, stop = _from(stream, at)
-                        fields = parse(data[:stop]) if stop >= 0 else None
+                        fields = parse(data[:stop]) if stop >= 0 and _MAGIC.match(data) else None
                         if fields is None:
                             break
                         n = int(fields["content-length"])
                         block = data[stop + 4 : stop + 4 + n] if stop + 4 + n <= len(data) else _at(stream, at + stop + 4, n)
                         if len(block) < n:
                             break
-                        http, _, payload = block.partition(_END)
-                        number = lambda name: int(x) if (x := re.sub(r"\D", "", fields.get(name, ""))) else None  # noqa: E731, B023
-                        length = re.search(rb"Content-Length: (\d+)", http)
-                        revisit = fields.get("warc-type") == "revisit"
-                        digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-                        rows.append((path, at, fields.get("warc-type"), number("warc-record-id"), fields.get("warc-target-uri"), number("warc-refers-to"), digest, int(length[1]), None if revisit else payload))
+                        rows.append((path, at, *contents(fields, block)))
                         held += n
                         at += stop + 4 + n + 4
                         if held > 4 << 20:
@@ -205,7 +260,7 @@ def _reader(folder: str):
     return run
 
 
-_KINDS = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
+_KINDS = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary())
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -213,10 +268,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def read_warc(archives: DataFrame, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The records of ``archives`` (``path, bytes``): ``path, offset, record_type, page_id, url, refers_to, digest, length, payload``.
+    """The records of ``archives`` (``path, bytes``), a row each: ``path, offset, record_type, record_id, page_id, url, refers_to,
+    digest, length, payload``.
 
-    ``digest`` and ``length`` are those that the record states of the full payload; a revisit has no payload itself. A file
-    that breaks off gives the records before the break. No archives give no rows.
+    ``digest`` is the SHA-1 that the record states of its payload, or where it states none that of the payload; ``length`` the
+    bytes of the payload; a revisit has no payload itself, so both are what it states. ``page_id`` and ``refers_to`` are null in
+    records of other writers. Repeated records are read each. A file that breaks off gives the records before the break; what
+    does not begin with a record gives none. No archives give no rows.
     """
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long")))
     splits = archives.where("bytes > 0").select("path", "bytes", starts.alias("start"))

@@ -9,8 +9,8 @@ import xxhash
 WIDTH = 5
 #: Words that a worker keeps the hashes of; the table is emptied when it is full, so its memory is bounded.
 MAX_KNOWN = 150_000
-#: Rows of an Arrow batch of texts.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch of texts: it is closed after the row that reaches either.
+BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -24,10 +24,12 @@ _known = _Hashes()
 
 
 def small_batches(spark) -> None:
-    """Bound the rows of an Arrow batch: texts may be very long, and the default of 10,000 of them need not fit in a worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the rows and bytes of an Arrow batch: texts may be very long, and the defaults of Spark need not fit in a worker."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark.conf.get(size) != f"{BATCH_BYTES}b":
+        spark.conf.set(size, f"{BATCH_BYTES}b")
 
 
 def split(text: bytes | None) -> list[bytes]:
