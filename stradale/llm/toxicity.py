@@ -87,7 +87,11 @@ def train(texts: list[str], labels: list[int], share: float, seed: int = 7) -> M
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and ``score``, a row per row of ``docs``; null and empty texts score as the bias. No shuffle."""
+    """``doc_id`` and ``score``, a row per row of ``docs``; null and empty texts score as the bias. No shuffle.
+
+    A score depends on its text only, so there are no ties to break and repeated rows score alike; texts are read whole, however
+    long; other columns are not read; an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = to_arrow_type(docs.schema[id_col].dataType)
