@@ -82,9 +82,11 @@ def _measurer(kinds: list[pa.DataType], names: list[str], at: int):
 def ledger(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
     """``keep`` (``doc_id`` alone by default), the measures, and ``failures``: bit ``k`` is set if rule ``k`` fails.
 
-    One pass over ``docs``, no shuffle. Null and empty texts measure zero, so they fail ``few_words``. Repeated rows stay.
+    One pass over ``docs``, no shuffle. Null and empty texts measure zero, so they fail ``few_words``. Repeated rows stay, each with
+    the same measures; texts are read whole, however long. Columns of ``keep`` named like a measure or ``failures`` give way. An
+    empty table gives an empty ledger.
     """
-    keep = keep or ["doc_id"]
+    keep = [c for c in keep or ["doc_id"] if c not in (*MEASURES, "failures")]
     kinds = [to_arrow_type(docs.schema[c].dataType) for c in keep]
     schema = ", ".join([*(f"`k{i}` {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), *(f"{m} long" for m in MEASURES)])
     words.small_batches(docs.sparkSession)

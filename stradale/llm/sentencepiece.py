@@ -279,7 +279,12 @@ def load(path: str = MODEL) -> Model:
 
 
 def encode(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """``keep``, ``token_ids`` and ``exact``: whether decoding the ids gives the text back. A row per row; null has no ids and is exact. No shuffle."""
+    """``keep``, ``token_ids`` and ``exact``: whether decoding the ids gives the text back. A row per row; null has no ids and is exact.
+
+    Empty texts have no ids; repeated rows are encoded alike; texts are encoded whole, however long. Of segmentations with equal
+    scores that with the longer last piece is taken. Columns of ``keep`` named ``token_ids`` or ``exact`` give way. No shuffle.
+    """
+    keep = [c for c in keep if c not in ("token_ids", "exact")]
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kinds = [to_arrow_type(docs.schema[c].dataType) for c in keep]
@@ -301,7 +306,8 @@ def encode(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text
 
 
 def decode(rows: DataFrame, model: Model, keep: list[str], ids_col: str = "token_ids") -> DataFrame:
-    """``keep`` and ``text``, the text of each list of ids; null lists give null."""
+    """``keep`` and ``text``, the text of each list of ids; null lists give null. A column of ``keep`` named ``text`` gives way."""
+    keep = [c for c in keep if c != "text"]
     sent = rows.sparkSession.sparkContext.broadcast(model)
     kinds = [to_arrow_type(rows.schema[c].dataType) for c in keep]
 
@@ -315,8 +321,6 @@ def decode(rows: DataFrame, model: Model, keep: list[str], ids_col: str = "token
     return out.select(*(F.col(f"k{k}").alias(c) for k, c in enumerate(keep)), "text")
 
 
-
-
 def op5(spark: SparkSession, sf_dir: str, path: str = MODEL) -> DataFrame:
     """Ids of every document and their number, and whether they decode to the text exactly."""
     rows = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), load(path), ["doc_id"])
