@@ -10,7 +10,8 @@ The order used here is by document frequency, rarest first, so passages that man
 2. *Prefixes.* A shingle found in one document cannot link it, so a document whose prefix holds only such shingles is done.
    That leaves few documents; equal sets are collapsed into one.
 3. *Groups.* Documents with equal prefix and size form one group; lists of groups by shingle are built, not of documents.
-4. *Leaders.* In every group, then in every list, one leader is verified against the others. What links is one component.
+4. *Leaders.* In every group, then in every list, one leader is verified against the others. What links is one component; lists
+   that lie in one component are done.
 5. *Remainder.* All group pairs of a list whose sizes allow a link and whose members are still in different components are
    expanded and verified. So no link that could join two components is missed, and copies and near copies that already
    are joined are not paired.
@@ -35,6 +36,8 @@ from stradale.plans.staging import discard, materialize, release_shuffles
 GROUP_BYTES, RANGE_KEYS = 2_000_000, 800_000
 #: Rounds in which leaders of the lists are verified before the exact remainder.
 LEADER_ROUNDS = 3
+#: Links between components that one task joins (two numbers each); more, which are counted first, are joined in rounds by all.
+FEW_LINKS = 100_000
 
 
 def _pack(sorted_keys: np.ndarray) -> bytes:
@@ -160,10 +163,17 @@ def _fits(one: str, two: str, num: int, den: int):
     return (num + den) * F.least(f"{one}.rest", f"{two}.rest") >= num * (F.col(f"{one}.n") + F.col(f"{two}.n"))
 
 
-def _components(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``members`` with the column ``comp``; members without a link stay alone."""
-    found = connected_components(links, "a", "b").select(F.col("vertex").alias("sid"), "component")
-    return materialize(members.drop("comp").join(found, "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component"), "members")
+def _merged(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with the components that ``links`` join made one; only these are worked on. The table given is freed if another is made."""
+    if links.isEmpty():
+        return members
+    own = members.select("sid", "comp")
+    ends = links.join(own.select(F.col("sid").alias("a"), F.col("comp").alias("c")), "a").join(own.select(F.col("sid").alias("b"), F.col("comp").alias("d")), "b")
+    found = connected_components(ends.where("c <> d").select("c", "d").distinct(), "c", "d", few=FEW_LINKS).select(F.col("vertex").alias("comp"), "component")
+    out = members.join(found, "comp", "left").select("sid", "n", "m", "gid", F.coalesce("component", "comp").alias("comp"))
+    out = materialize(out, "members")
+    discard(members)
+    return out
 
 
 def _linked_components(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -175,26 +185,34 @@ def _linked_components(sets: DataFrame, num: int, den: int) -> DataFrame:
     lists = materialize(lists.join(shared, "key"), "lists")
 
     inside = members.where("sid <> gid").select(F.col("gid").alias("a"), F.col("sid").alias("b"))
-    links = [materialize(_verified(inside, sets, num, den), "links")]
-    members = _components(members, links[0])
+    links = materialize(_verified(inside, sets, num, den), "links")
+    members = _merged(members, links)
+    discard(links)
     for turn in range(LEADER_ROUNDS):
         faces = members.groupBy("gid", "comp").agg(F.min("sid").alias("sid"))
         seen = lists.join(faces, "gid")
-        leader = seen.groupBy("key").agg(F.min_by(F.struct("sid", "comp", "n", "rest"), F.struct(F.col("n") - F.col("rest"), F.xxhash64("sid", F.lit(turn)))).alias("lead"))
-        pairs = seen.alias("s").join(leader, "key").where((F.col("comp") != F.col("lead.comp")) & _fits("s", "lead", num, den))
+        # written, so that the join with the lists is of two shuffles and a long list is split among tasks
+        order = F.struct(F.col("n") - F.col("rest"), F.xxhash64("sid", F.lit(turn)))
+        leaders = seen.groupBy("key").agg(F.min_by(F.struct("sid", "comp", "n", "rest"), order).alias("lead"), F.min("comp").alias("p"), F.max("comp").alias("q"))
+        leaders = materialize(leaders.where("p <> q").select("key", "lead"), "leaders")
+        # a list whose groups are in one component stays so: only the open ones go on
+        still = materialize(lists.join(leaders.select("key"), "key", "left_semi"), "lists")
+        discard(lists)
+        lists = still
+        pairs = lists.join(faces, "gid").alias("s").join(leaders, "key").where((F.col("comp") != F.col("lead.comp")) & _fits("s", "lead", num, den))
         pairs = pairs.select(F.least("s.sid", "lead.sid").alias("a"), F.greatest("s.sid", "lead.sid").alias("b")).distinct()
-        links.append(materialize(_verified(pairs, sets, num, den), "links"))
-        if links[-1].isEmpty():
+        links = materialize(_verified(pairs, sets, num, den), "links")
+        discard(leaders)
+        done = links.isEmpty()
+        members = _merged(members, links)
+        discard(links)
+        if done:
             break
-        every = links[0]
-        for more in links[1:]:
-            every = every.unionByName(more)
-        members = _components(members, every)
 
     wide = members.groupBy("gid").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     apart = (F.col("l.low") != F.col("r.high")) | (F.col("l.high") != F.col("r.low"))
     seen = lists.join(wide, "gid")
-    open_keys = seen.groupBy("key").agg(F.min("low").alias("p"), F.max("high").alias("q")).where("p <> q").select("key")
+    open_keys = materialize(seen.groupBy("key").agg(F.min("low").alias("p"), F.max("high").alias("q")).where("p <> q").select("key"), "open")
     seen = seen.join(open_keys, "key")
     pairs = seen.alias("l").join(seen.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.gid") < F.col("r.gid")) & apart & _fits("l", "r", num, den))
     pairs = pairs.select(F.col("l.gid").alias("g"), F.col("r.gid").alias("h")).distinct()
@@ -203,11 +221,11 @@ def _linked_components(sets: DataFrame, num: int, den: int) -> DataFrame:
     right = members.select(F.col("gid").alias("h"), F.col("sid").alias("t"), F.col("comp").alias("d"))
     rest = pairs.join(left, "g").join(right, "h").where("c <> d and (g <> h or s < t)")
     rest = rest.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b")).distinct()
-    links.append(materialize(_verified(rest, sets, num, den), "links"))
-    every = links[0]
-    for more in links[1:]:
-        every = every.unionByName(more)
-    return _components(members, every).select("sid", "comp")
+    links = materialize(_verified(rest, sets, num, den), "links")
+    discard(lists), discard(open_keys)
+    members = _merged(members, links)
+    discard(links)
+    return members
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 80, den: int = 100) -> DataFrame:
@@ -215,20 +233,25 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Documents link when ``den * |A & B| >= num * |A | B|`` for their sets of five-word shingles (with fewer words, the whole
     sequence as one). A document without words, or null, has no shingle and is alone. A null id counts as no id: its row keeps
-    it, and its component is the smallest id of those it links with, or null. Repeated rows are documents of their own.
-    Other columns of ``docs`` are not read.
+    it, and its component is the smallest id of those it links with, or null. Repeated rows are documents of their own. Texts are
+    read whole, however long; an empty table gives no rows. Other columns of ``docs`` are not read.
     """
     spark: SparkSession = docs.sparkSession
     rows = shingle_prefixes(docs, id_col, text_col, num, den)
     release_shuffles(spark)
+    slim = materialize(rows.select("rid", "doc_id", "n", "sig"), "rows")
     possible = rows.where("sig is not null")
     sets = possible.groupBy("sig").agg(F.min("rid").alias("sid"), F.first("n").alias("n"), F.first("m").alias("m"), F.first("name").alias("name"), F.first("prefix").alias("prefix"), F.first("shingles").alias("shingles"))
     sets = materialize(sets, "sets")
-    comps = _linked_components(sets.drop("sig"), num, den)
-    named = possible.select("rid", "doc_id", "sig").join(sets.select("sig", "sid"), "sig").join(comps, "sid")
-    least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    discard(rows)
+    members = _linked_components(sets.drop("sig"), num, den)
+    told = materialize(sets.select("sig", "sid").join(members.select("sid", "comp"), "sid").select("sig", "comp"), "told")
+    discard(sets), discard(members)
+    named = slim.where("sig is not null").select("rid", "doc_id", "sig").join(told, "sig")
+    # written, so that a component with many of the rows is split among the tasks of the join
+    least = materialize(named.groupBy("comp").agg(F.min("doc_id").alias("component_id")), "least")
     out = named.select("rid", "comp").join(least, "comp").select("rid", "component_id")
-    out = rows.select("rid", "doc_id", F.col("n").alias("n_shingles")).join(out, "rid", "left")
+    out = slim.select("rid", "doc_id", F.col("n").alias("n_shingles")).join(out, "rid", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import pytest
+
 from stradale.llm import near_dups
 
 
@@ -41,7 +43,9 @@ def corpus():
     return rows
 
 
-def test_components_equal_all_pairs(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_equal_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(near_dups, "FEW_LINKS", few)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, sid string")
     got = [tuple(r) for r in near_dups.ngram_jaccard_join(docs).collect()]

@@ -114,5 +114,20 @@ def test_pipeline_keeps_one_of_each_group_whatever_the_ids(spark, tmp_path):
     kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, str(tmp_path)).collect()]
     assert sorted(kept, key=str) == sorted([(1, PROSE), (1, other), (3, ""), (4, None), (None, None)], key=str)
     assert corpus_pipeline.near_copies(spark, docs.limit(0), str(tmp_path)).count() == 0
-    for _, stage in corpus_pipeline.STAGES[:2] + corpus_pipeline.STAGES[4:]:
+    spark.createDataFrame([(1, PROSE)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_stages_keep_columns_whatever_their_names(spark, docs, tmp_path):
+    spark.createDataFrame([(1, "word3 word4 word5 word6 word7 word8"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name == "tokens":
+            assert len(set(out.columns)) == len(out.columns) and {"token_ids", "exact"} <= set(out.columns) and out.count() == len(ROWS)
+            continue
+        assert out.columns == docs.columns
+        assert out.where(" or ".join(f"`{c}` <> 'clash'" for c in CLASH if c not in plain.columns)).count() == 0
+        key = lambda df: sorted(str(tuple(r)) for r in df.select(*plain.columns).collect())  # noqa: E731, B023
+        assert key(out) == key(stage(spark, plain, str(tmp_path)))
