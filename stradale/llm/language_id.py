@@ -101,9 +101,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if len(shares) > most:
         raise ValueError(f"more than {most} languages")
     bits = min(BITS, ALL_BITS - math.ceil(math.log2(max(1, len(shares)))))
-    # ranks up to 1,000 are cut in each task before the shuffle, so a language with most of the rows does not meet in one
+    # of each language only ids with hashes below a bound are ranked, somewhat more than are learned from, however many rows it has
+    bounds = docs.sparkSession.createDataFrame([(x, min(1.0, (1.5 * per_lang + 100) / n)) for x, n in shares.items()], f"lang {docs.schema[lang_col].dataType.simpleString()}, share double")
     turn = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("i"), "i"))
-    ids = known.select("lang", "i").withColumn("turn", turn).where(F.col("turn") <= per_lang).select("lang", "i").distinct()
+    low = known.select("lang", "i").join(F.broadcast(bounds), "lang").where(F.xxhash64("i") / F.lit(2.0**64) + 0.5 <= F.col("share"))
+    ids = low.withColumn("turn", turn).where(F.col("turn") <= per_lang).select("lang", "i").distinct()
     ids = materialize(ids, "learned")
     sample = known.join(F.broadcast(ids) if len(shares) * per_lang <= MAX_BROADCAST else ids, ["lang", "i"], "left_semi")
     dealt = sample.select("lang", "text", F.pmod(F.xxhash64("text"), F.lit(SALTS)).alias("salt"))
