@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from stradale.functions.geo import geodesic_sql
-from stradale.sources.fixtures import BAND, MANIFEST, MASK_CTE, MULTI, SKELETON_CTE, TAGS, for_duck, network_sql
+from stradale.sources.fixtures import BAND, MANIFEST, MASK_CTE, PAIRS, SKELETON_CTE, TAGS, for_duck, network_sql
 
 _REACH = """adj0 AS (SELECT src AS u, dst AS v, w FROM e0 UNION ALL SELECT dst, src, w FROM e0),
 reach(a, b) AS (SELECT u, u FROM adj0 UNION SELECT r.a, j.v FROM reach r JOIN adj0 j ON r.b=j.u),
@@ -100,13 +100,13 @@ _MOSAIC = f"""{MASK_CTE}, {_BOUNDS.format(src='mask')}, win AS (SELECT scene, ro
 _FIRST = f"""{_D}, {_BCE}, bp(a, b, z) AS (SELECT src, dst, src FROM bce UNION SELECT bp.a, bp.b, j.v FROM bp JOIN adj j ON j.u=bp.z WHERE NOT (least(j.u,j.v)=bp.a AND greatest(j.u,j.v)=bp.b)),
 alt AS (SELECT src, dst, bc, row_number() OVER (ORDER BY round(bc,9) DESC, src DESC, dst DESC) AS k, CAST(NULL AS BIGINT) AS x FROM bce b WHERE EXISTS (
   SELECT 1 FROM bp WHERE bp.a=b.src AND bp.b=b.dst AND bp.z=b.dst)),
-cuts AS (SELECT * FROM alt WHERE k<=10)"""
+cuts AS (SELECT * FROM alt WHERE bc>0 ORDER BY k LIMIT 1)"""
 
 ORACLES = {
     "edge_length_summary": f"WITH {network_sql('net')} SELECT {_LENGTHS} FROM e",
     "node_degree_types": f"""WITH {network_sql('net')}, dg AS (SELECT node_id, (SELECT count(*) FROM e WHERE src=node_id OR dst=node_id) AS degree FROM n)
 SELECT CASE WHEN degree<=1 THEN 'endpoint' WHEN degree>=3 THEN 'intersection' ELSE 'junction' END AS node_type, count(*) AS nodes, min(degree) AS min_degree, max(degree) AS max_degree, round(avg(degree),9) AS avg_degree FROM dg GROUP BY 1""",
-    "simple_graph_dedup": f"SELECT least(u,v) AS src, greatest(u,v) AS dst, max(seq) AS seq FROM ({MULTI}) WHERE v IS NOT NULL AND u<>v GROUP BY 1,2",
+    "simple_graph_dedup": f"SELECT least(u,v) AS src, greatest(u,v) AS dst, max(seq) AS seq FROM ({PAIRS}) WHERE v IS NOT NULL AND u<>v GROUP BY 1,2",
     "component_sizes": f"{_HEAL} SELECT c AS component, count(*) AS size FROM comp GROUP BY c",
     "largest_components": f"{_HEAL} SELECT c AS component, count(*) AS size FROM comp GROUP BY c ORDER BY 2 DESC, 1 LIMIT 20",
     "endpoint_bearings": f"{_HEAL}, {_ENDS} SELECT node_id, round(bearing,6) AS bearing FROM ends",
@@ -164,11 +164,18 @@ SELECT scene, n, count(*) AS pixels, round(sum(CASE WHEN (r+c)%5=0 OR p IS NULL
     "band_stats": f"WITH {_BANDS}, {_STATS} SELECT * FROM st",
     "normalize_pixels": f"WITH {_BANDS}, {_STATS} SELECT tile, pixel, " + ", ".join(f"round(({b}-(SELECT mean FROM st WHERE band='{b}'))/(SELECT std FROM st WHERE band='{b}'),6) AS {b}_z, round(greatest(0e0,least(1e0,{b}/(SELECT max FROM st WHERE band='{b}'))),6) AS {b}_u" for b in "rgb")
     + ", round((g-min(g) OVER (PARTITION BY tile))/(max(g) OVER (PARTITION BY tile)-min(g) OVER (PARTITION BY tile)+1e-8),6) AS g_m FROM px",
+    "graph_edges": f"""WITH RECURSIVE {_CLUSTER}, {_INNER}, cen AS (SELECT scene, node_id, 225e-2+1e-5*(avg(c)+5e-1) AS x, 48.85e0-1e-5*(avg(r)+5e-1) AS y FROM mem GROUP BY 1,2),
+tp AS (SELECT DISTINCT run.scene, run.l, mem.node_id, run.r, run.c FROM run JOIN near ON near.scene=run.scene AND near.r=run.r AND near.c=run.c JOIN mem ON mem.scene=run.scene AND mem.r=near.r2 AND mem.c=near.c2),
+sg AS (SELECT run.scene, run.l, 225e-2+1e-5*(run.c+5e-1) AS xa, 48.85e0-1e-5*(run.r+5e-1) AS ya, 225e-2+1e-5*(q.c+5e-1) AS xb, 48.85e0-1e-5*(q.r+5e-1) AS yb
+  FROM run JOIN near ON near.scene=run.scene AND near.r=run.r AND near.c=run.c JOIN run q ON q.scene=run.scene AND q.l=run.l AND q.r=near.r2 AND q.c=near.c2 WHERE run.r*1000000+run.c<q.r*1000000+q.c
+  UNION ALL SELECT tp.scene, l, x, y, 225e-2+1e-5*(c+5e-1), 48.85e0-1e-5*(r+5e-1) FROM tp JOIN cen USING (scene, node_id)),
+gs AS ({geodesic_sql('sg', 'xa', 'ya', 'xb', 'yb')}), lg AS (SELECT scene, l, sum(dist) AS length_m FROM gs GROUP BY 1,2), sz AS (SELECT scene, l, count(*) AS pixels FROM run GROUP BY 1,2)
+SELECT 'scene_'||touch.scene AS scene, row_number() OVER (PARTITION BY touch.scene ORDER BY a, b, touch.l)-1 AS edge_id, a AS start_node, b AS end_node, pixels AS pixel_count, round(length_m,6) AS length_m, pixels+2 AS points FROM touch JOIN sz USING (scene, l) JOIN lg USING (scene, l)""",
     "skeleton_degree": f"WITH {_DEG} SELECT scene, degree, count(*) AS pixels FROM dg GROUP BY 1,2",
     "node_clusters": f"""WITH RECURSIVE {_CLUSTER} SELECT scene, node_id, count(*) AS pixels, round(avg(r),6) AS "row", round(avg(c),6) AS col, coalesce(any_value(degree),0) AS degree,
  CASE WHEN coalesce(any_value(degree),0)<=1 THEN 'endpoint' WHEN any_value(degree)>=3 THEN 'intersection' ELSE 'junction' END AS node_type FROM mem LEFT JOIN outside USING (scene,node_id) GROUP BY 1,2""",
     "corridor_edges": f"WITH RECURSIVE {_CLUSTER}, {_INNER} SELECT scene, a AS start_node, b AS end_node, count(DISTINCT l) AS edges, count(*) AS pixels FROM touch JOIN run USING (scene, l) GROUP BY 1,2,3",
-    "nearest_snap": f"""WITH {network_sql('net', 'n', 'e')}, hl AS (SELECT c_custkey AS point_id, CAST(2.25e0+(c_custkey%25)*8e-4+((c_custkey*7919)%1000)*1e-7 AS DOUBLE) AS px, CAST(48.85e0+(c_custkey//25)*5e-4+((c_custkey*104729)%1000)*1e-7 AS DOUBLE) AS py FROM customer WHERE c_custkey%7=0),
+    "nearest_snap": f"""WITH {network_sql('net', 'n', 'e')}, hl AS (SELECT c_custkey AS point_id, CAST(2.25e0+(c_custkey%25)*8e-4+((c_custkey*7919)%1000)*1e-7 AS DOUBLE) AS px, CAST(48.85e0+(c_custkey//25)*5e-4+((c_custkey*104729)%1000)*1e-7 AS DOUBLE) AS py FROM customer),
 cx AS (SELECT point_id, node_id, px, py, x, y FROM hl CROSS JOIN n), gd AS ({geodesic_sql('cx', 'px', 'py', 'x', 'y')})
 SELECT point_id, node_id, round(dist,6) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY dist, node_id) AS k FROM gd) WHERE k=1""",
     "od_path_error": f"{_ERR} SELECT s, t, round(length_m,6) AS length_m, round(reference_m,6) AS reference_m, round(abs_error_m,6) AS abs_error_m, round(error_pct,6) AS error_pct FROM er",

@@ -245,6 +245,13 @@ def corridor_edges(spark, sf_dir):
     return skeleton.corridors(fx.skeleton(spark, sf_dir)).groupBy("scene", "start_node", "end_node").agg(F.count("*").alias("edges"), F.sum("pixels").alias("pixels"))
 
 
+def graph_edges(spark, sf_dir):
+    """The edges of the skeletons, whose scenes have names, with their lengths and the points of their lines."""
+    named = fx.skeleton(spark, sf_dir).withColumn("scene", F.concat(F.lit("scene_"), F.col("scene").cast("string")))
+    edges = skeleton.graph_edges(named, TRANSFORM)[1]
+    return edges.select("scene", "edge_id", "start_node", "end_node", "pixel_count", F.round("length_m", 6).alias("length_m"), F.size("coordinates").cast("long").alias("points"))
+
+
 def skeletonize(spark, sf_dir):
     return raster.skeletonize(fx.mask(spark, sf_dir).where("truth = 1"))
 

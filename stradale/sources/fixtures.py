@@ -50,10 +50,9 @@ def network_sql(name: str, n: str = "n", e: str = "e") -> str:
     return f"lat AS ({lat}), {n} AS (SELECT k AS node_id, x, y FROM lat), pairs AS ({_links(width, east, north)}), {e} AS (SELECT src, dst, dist AS w FROM ({geodesic_sql('pairs', 'x1', 'y1', 'x2', 'y2')}))"
 
 
-#: All consecutive pairs; MULTI, in the DuckDB SQL, holds those of one order in 200.
+#: All consecutive suppliers of an order's lines.
 PAIRS = """SELECT l_suppkey AS u, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey,l_suppkey,l_extendedprice) AS v,
  l_orderkey*100+row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey,l_suppkey,l_extendedprice) AS seq FROM lineitem"""
-MULTI = f"{PAIRS} WHERE l_orderkey%200=0"
 MANIFEST = """SELECT p_partkey DIV 36 AS scene, p_partkey%36 AS tile, CASE WHEN p_size%3=0 THEN 0 ELSE (p_partkey*7919)%65536 END AS road_pixels, 65536 AS pixels FROM part"""
 BAND = """SELECT p_partkey DIV 100 AS tile, p_partkey AS pixel, CAST(p_size*30 AS DOUBLE) AS r, p_retailprice AS g, CAST((p_partkey*37)%1000 AS DOUBLE) AS b FROM part"""
 TAGS = """SELECT o_orderkey, CASE WHEN o_orderkey%11=0 THEN NULL WHEN o_orderkey%7=0 THEN {array}(o_orderpriority,o_orderstatus) ELSE {array}(o_orderpriority) END AS highway FROM orders"""
