@@ -7,30 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stradale.functions.scalars import floor_percentile, path_uses_edge, percent_change, ratio, travel_seconds
-from stradale.operators.paths import all_sources, cut_edges, distances
+from stradale.operators.paths import cut_edges, reroutes, survival
 from stradale.plans.staging import materialize
 
 #: Edges that are tried at once for a detour.
 TRIED = 10
 
 
-def _scenarios(nodes: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Every source of every scenario; ``cuts`` is a short list of scenarios."""
-    return nodes.select(F.col("node_id").alias("s")).crossJoin(F.broadcast(cuts)).select("scenario", "s", *(F.col(c) if c in cuts.columns else F.lit(None).cast("long").alias(c) for c in ("cut_node", "cut_u", "cut_v")))
-
-
 def node_failures(nodes: DataFrame, edges: DataFrame, removed: DataFrame) -> DataFrame:
-    """One row per node of ``removed(node_id)``: pairs that survive, mean paths before and after over them, resilience, efficiency.
+    """One row per node of ``removed(node_id)``, a short list: pairs that survive, mean paths before and after over them, resilience, efficiency.
 
-    The efficiency before is the mean over reachable pairs; after, over all pairs, unreachable ones counting 0.
+    The efficiency before is the mean over reachable pairs; after, over all pairs, unreachable ones counting 0. Lengths are summed
+    by source in the tasks: a row per scenario and source leaves them, not a row per pair.
     """
     cuts = removed.select(F.col("node_id").alias("scenario"), F.col("node_id").alias("cut_node"))
-    base = distances(edges, all_sources(nodes)).where("s < t").select("s", "t", F.col("dist").alias("before"))
-    after = distances(edges, _scenarios(nodes, cuts)).where("s <> t")
-    sizes = after.groupBy("scenario", "s").agg(F.count("*").alias("near"), F.min("t").alias("low"))
-    comps = sizes.withColumn("comp", F.least("s", "low")).groupBy("scenario").agg(F.count_distinct("comp").alias("linked"), F.max("near").alias("most"), F.count("*").alias("sources"))
-    both = after.where("s < t").join(base, ["s", "t"]).groupBy("scenario").agg(F.count("*").alias("reachable_pairs"), F.avg("before").alias("b"), F.avg("dist").alias("a"), F.sum(1 / F.col("dist")).alias("x"))
-    whole = nodes.agg(F.count("*").alias("n")).crossJoin(base.agg(F.avg(1 / F.col("before")).alias("e")))
+    sums = materialize(survival(nodes, edges, cuts), "survival")
+    linked = sums.where("scenario is not null and near > 0")
+    both = sums.where("scenario is not null").groupBy("scenario").agg(F.sum("pairs").alias("reachable_pairs"), (F.sum("before") / F.sum("pairs")).alias("b"), (F.sum("after") / F.sum("pairs")).alias("a"), F.sum("inverse").alias("x"))
+    comps = linked.groupBy("scenario").agg(F.count_distinct("low").alias("linked"), F.max("near").alias("most"), F.count("*").alias("sources"))
+    whole = sums.where("scenario is null").agg(F.count("*").alias("n"), (F.sum("inverse") / F.sum("pairs")).alias("e"))
     rows = cuts.select("scenario").join(both, "scenario", "left").join(comps, "scenario", "left").crossJoin(F.broadcast(whole))
     possible = (F.col("n") - 1) * (F.col("n") - 2) / 2
     reach = F.coalesce("reachable_pairs", F.lit(0).cast("long"))
@@ -44,23 +39,20 @@ def node_failures(nodes: DataFrame, edges: DataFrame, removed: DataFrame) -> Dat
 
 
 def affected_by_node(paths: DataFrame, removed: DataFrame) -> DataFrame:
-    """Pairs whose path goes through a removed node without ending there."""
+    """Of given paths ``s, t, dist, path``, those that go through a node of the short list ``removed(node_id)`` without ending there."""
     through = paths.where("s < t").select("s", "t", F.col("dist").alias("before"), F.explode(F.slice("path", F.lit(2), F.greatest(F.size("path") - 2, F.lit(0)))).alias("scenario"))
-    return through.join(F.broadcast(removed.select(F.col("node_id").alias("scenario"))), "scenario")
+    return through.join(removed.select(F.col("node_id").alias("scenario")), "scenario")
 
 
-def affected_by_edge(paths: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Pairs whose path uses the edge of a scenario; ``cuts`` is a short list."""
-    rows = paths.where("s < t").drop("scenario").crossJoin(F.broadcast(cuts)).where(path_uses_edge(F.col("path"), F.col("cut_u"), F.col("cut_v")))
-    return rows.select(cuts.columns[0], "s", "t", F.col("dist").alias("before"))
+def affected_by_edge(paths: DataFrame, u: int, v: int) -> DataFrame:
+    """Of given paths ``s, t, dist, path``, those that use the edge between ``u`` and ``v``."""
+    return paths.where((F.col("s") < F.col("t")) & path_uses_edge(F.col("path"), F.lit(u), F.lit(v))).select("s", "t", F.col("dist").alias("before"))
 
 
-def reroute(edges: DataFrame, affected: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``affected`` with the length of the way around, null if there is none. Only sources that are affected are searched."""
-    sources = affected.select("scenario", "s").distinct().join(F.broadcast(cuts), "scenario")
-    fill = [F.col(c) if c in cuts.columns else F.lit(None).cast("long").alias(c) for c in ("cut_node", "cut_u", "cut_v")]
-    around = distances(edges, sources.select("scenario", "s", *fill)).withColumnRenamed("dist", "after")
-    return affected.join(around, ["scenario", "s", "t"], "left")
+def sample_routes(routes: DataFrame, most: int = 10) -> DataFrame:
+    """The first ``most`` pairs of ``reroutes(..., paths=True)`` that have a way around, by scenario, source and target."""
+    ok = routes.where("after IS NOT NULL").withColumn("increase_m", F.col("after") - F.col("before"))
+    return ok.orderBy("scenario", "s", "t").limit(most)
 
 
 def reroute_summary(routes: DataFrame) -> DataFrame:
@@ -82,11 +74,12 @@ def first_reroutable_edge(nodes: DataFrame, edges: DataFrame, bc: DataFrame) ->
     """The edge with the largest betweenness that is no cut edge and has pairs to reroute, with the increases of their paths."""
     open_edges = bc.join(cut_edges(nodes, edges), ["src", "dst"], "left_anti")
     order = F.desc(F.round("bc", 9)), F.desc("src"), F.desc("dst")
-    open_edges, paths = materialize(open_edges, "open"), distances(edges, all_sources(nodes), paths=True)
+    open_edges = materialize(open_edges, "open")
     for at in range(0, max(1, open_edges.count()), TRIED):
         some = open_edges.orderBy(*order).offset(at).limit(TRIED)
         cuts = some.withColumn("scenario", F.row_number().over(W.orderBy(*order)).cast("long")).select("scenario", F.col("src").alias("cut_u"), F.col("dst").alias("cut_v"), "bc")
-        routes = reroute(edges, affected_by_edge(paths, cuts), cuts.drop("bc")).where("after IS NOT NULL").withColumn("more", F.col("after") - F.col("before"))
+        cuts = materialize(cuts, "cuts")
+        routes = reroutes(nodes, edges, cuts.drop("bc")).where("after IS NOT NULL").withColumn("more", F.col("after") - F.col("before"))
         routes = materialize(routes, "routes")
         if not routes.isEmpty():
             break

@@ -36,6 +36,19 @@ def valid_edges(nodes: DataFrame, edges: DataFrame, length: str = "length_m") ->
     return kept.join(ids, F.col("dst") == ids.node_id, "left_semi")
 
 
+def weighted_graph(nodes: DataFrame, edges: DataFrame, seq: str = "edge_id") -> DataFrame:
+    """The simple graph of the edges that count: both ends known, a positive length, no loops; of parallel edges the last by ``seq``."""
+    return simple_graph(valid_edges(nodes, edges), seq)
+
+
+def graph_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes, edges, bridges, lengths and degrees of a weighted graph in one row; a graph without nodes or edges is an error."""
+    degree = degrees(nodes, edges).agg(F.count("*").alias("nodes"), F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"), F.round(F.avg("degree"), 9).alias("avg_degree"))
+    own = length_summary(edges).crossJoin(edges.agg(F.count_if(F.col("bridge")).alias("bridges")))
+    fault = lambda c, what: F.when(F.col(c) > 0, F.col(c)).otherwise(F.raise_error(F.lit(f"the weighted graph has no {what}")).cast("long"))
+    return degree.crossJoin(own).withColumns({"nodes": fault("nodes", "nodes"), "edges": fault("edges", "edges")})
+
+
 def length_summary(edges: DataFrame, length: str = "length_m") -> DataFrame:
     x = F.col(length)
     return edges.agg(F.count("*").alias("edges"), F.round(F.sum(x), 6).alias("total_length_m"), F.round(F.min(x), 6).alias("min_length_m"), F.round(F.max(x), 6).alias("max_length_m"), F.round(F.avg(x), 6).alias("avg_length_m"))

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from stradale.functions.geo import angular_difference, reverse_bearing, with_geodesic
 from stradale.operators.components import FEW, connected_components
 from stradale.operators.graph import degrees
+from stradale.operators.ordinal import numbered
+from stradale.plans.staging import discard, materialize
 
 MAX_GAP_M, MAX_ANGLE = 100.0, 45.0
-#: Cells of the grid, in degrees: at least the gap on either axis up to latitude 60.
-CELL_X, CELL_Y = 2e-3, 1e-3
 #: Candidates that one task may hold; beyond it forests are found by rounds of cheapest links.
 MAX_KRUSKAL = 2_000_000
 
@@ -26,17 +26,23 @@ def endpoint_bearings(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return with_geodesic(rows, "x", "y", "ox", "oy").select("node_id", "x", "y", reverse_bearing(F.col("azimuth")).alias("bearing"))
 
 
-def gap_candidates(nodes: DataFrame, edges: DataFrame, max_gap: float = MAX_GAP_M, max_angle: float = MAX_ANGLE) -> DataFrame:
+def gap_candidates(nodes: DataFrame, edges: DataFrame, max_gap: float = MAX_GAP_M, max_angle: float = MAX_ANGLE, components: DataFrame | None = None) -> DataFrame:
     """Pairs of ends of different components, near each other and each in line with the gap, with their cost.
 
-    Ends meet in cells of a grid: each is sent to its own cell and the eight around it, so no pair further apart is made.
+    Ends meet in cells of a grid: each is sent to its own cell and the eight around it, so no pair further apart is made. Columns of
+    the grid are as wide as the gap at the latitude of their row's edge farthest from the equator. ``components(vertex, component)``
+    are found if not given.
     """
-    comp = connected_components(edges, few=FEW).select(F.col("vertex").alias("node_id"), "component")
-    ends = endpoint_bearings(nodes, edges).join(comp, "node_id").withColumns({"cx": F.floor(F.col("x") / CELL_X), "cy": F.floor(F.col("y") / CELL_Y)})
-    around = [F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)).alias(c) for c in ("cx", "cy")]
+    comp = (components if components is not None else connected_components(edges, few=FEW)).select(F.col("vertex").alias("node_id"), "component")
+    tall = max_gap / 110_000.0
+    row = F.floor(F.col("y") / tall)
+    # a step north or south changes the width, so each end looks for cells of the row that it visits
+    width = lambda r: max_gap / (111_000.0 * F.greatest(F.cos(F.radians(F.least(F.greatest(F.abs(r), F.abs(r + 1)) * tall, F.lit(89.9)))), F.lit(1e-3)))
+    ends = endpoint_bearings(nodes, edges).join(comp, "node_id").withColumn("cy", row).withColumn("cx", F.floor(F.col("x") / width(F.col("cy"))))
     left = ends.selectExpr("node_id AS node_a", "x AS xa", "y AS ya", "bearing AS ba", "component AS ca", "cx", "cy")
-    right = ends.selectExpr("node_id AS node_b", "x AS xb", "y AS yb", "bearing AS bb", "component AS cb", "cx", "cy")
-    right = right.select("node_b", "xb", "yb", "bb", "cb", around[0], "cy").select("node_b", "xb", "yb", "bb", "cb", "cx", around[1])
+    right = ends.selectExpr("node_id AS node_b", "x AS xb", "y AS yb", "bearing AS bb", "component AS cb", "cy AS own")
+    right = right.select("*", F.explode(F.sequence(F.col("own") - 1, F.col("own") + 1)).alias("cy")).withColumn("at", F.floor(F.col("xb") / width(F.col("cy"))))
+    right = right.select("node_b", "xb", "yb", "bb", "cb", "cy", F.explode(F.sequence(F.col("at") - 1, F.col("at") + 1)).alias("cx"))
     pairs = left.join(right, ["cx", "cy"]).where("node_a < node_b AND ca <> cb")
     near = with_geodesic(pairs, "xa", "ya", "xb", "yb", "gap_m", "az").where(F.col("gap_m") <= max_gap)
     back = with_geodesic(near, "xb", "yb", "xa", "ya", "gap_back", "az_back")
@@ -62,17 +68,33 @@ def _kruskal(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[keep]
 
 
-def bridges(candidates: DataFrame) -> DataFrame:
+def bridges(candidates: DataFrame, one_task: int = MAX_KRUSKAL) -> DataFrame:
     """The candidates that join two components not joined by cheaper ones. Ties go to the smaller nodes.
 
-    Candidates fall into groups of components that they connect; each group is a task. A group beyond ``MAX_KRUSKAL`` candidates
-    is refused rather than gathered.
+    Candidates fall into groups of components that they connect; each group is a task. Where a group has more than ``one_task``
+    candidates, the forest is found in rounds: every component takes its cheapest candidate, and what these join is one component.
+    The order of candidates is total, so both ways give the same forest.
     """
+    candidates = materialize(candidates, "candidates")
     groups = connected_components(candidates, "ca", "cb", few=FEW).select(F.col("vertex").alias("ca"), F.col("component").alias("grp"))
     rows = candidates.join(groups, "ca")
-    if not rows.groupBy("grp").count().where(F.col("count") > MAX_KRUSKAL).isEmpty():
-        raise ValueError(f"more than {MAX_KRUSKAL} candidates are connected; use a smaller gap")
-    return rows.groupBy("grp").applyInPandas(_kruskal, rows.schema).drop("grp")
+    if rows.groupBy("grp").count().where(F.col("count") > one_task).isEmpty():
+        return rows.groupBy("grp").applyInPandas(_kruskal, rows.schema).drop("grp")
+    left = materialize(candidates.select("node_a", "node_b", "cost", F.col("ca").alias("p"), F.col("cb").alias("q")), "left")
+    picked = None
+    while not left.isEmpty():
+        ends = left.select(F.col("p").alias("c"), "cost", "node_a", "node_b", "p", "q").unionAll(left.select("q", "cost", "node_a", "node_b", "p", "q"))
+        least = ends.groupBy("c").agg(F.min(F.struct("cost", "node_a", "node_b", "p", "q")).alias("b")).select("b.*").distinct()
+        least = materialize(least, "least")
+        picked = least.select("node_a", "node_b") if picked is None else picked.unionAll(least.select("node_a", "node_b"))
+        joined = connected_components(least, "p", "q", few=FEW)
+        now = left
+        for c in ("p", "q"):  # every component that is left has taken a candidate, so all are joined with another
+            now = now.join(joined.select(F.col("vertex").alias(c), F.col("component").alias("into")), c).withColumn(c, F.col("into")).drop("into")
+        further = materialize(now.where("p <> q").select("node_a", "node_b", "cost", "p", "q"), "left")
+        discard(left)
+        left = further
+    return candidates.join(picked, ["node_a", "node_b"], "left_semi").select(*candidates.columns)
 
 
 def heal(edges: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -80,12 +102,41 @@ def heal(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "length_m", F.lit(False).alias("bridge")).unionAll(chosen.select("node_a", "node_b", "gap_m", F.lit(True)))
 
 
-def healing_report(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+def healed_edges(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``edges(edge_id, src, dst, length_m)`` and the bridges, whose ids go on from the largest, cheapest first: ``edge_id, src, dst,
+    length_m, bridge, bridge_method, gap_m, angle_a, angle_b, mean_angle, cost``; what only bridges have is null elsewhere."""
+    own = edges.select("edge_id", "src", "dst", "length_m", F.lit(False).alias("bridge"))
+    last = edges.agg(F.coalesce(F.max("edge_id"), F.lit(-1)).alias("_last"))
+    mean = (F.col("angle_a") + F.col("angle_b")) / 2
+    new = numbered(chosen, "cost", "node_a", "node_b").crossJoin(F.broadcast(last)).select(
+        (F.col("_last") + F.col("rank")).cast("long").alias("edge_id"), F.col("node_a").alias("src"), F.col("node_b").alias("dst"), F.col("gap_m").alias("length_m"), F.lit(True).alias("bridge"),
+        F.lit("mst_dsu").alias("bridge_method"), "gap_m", "angle_a", "angle_b", mean.alias("mean_angle"), "cost",
+    )
+    return own.unionByName(new, allowMissingColumns=True)
+
+
+def healed_components(components: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``component, size`` after the bridges, from ``components(vertex, component)`` before them: only these are joined, not the edges again."""
+    sizes = components.groupBy("component").agg(F.count("*").alias("n"))
+    joined = connected_components(chosen, "ca", "cb", few=FEW).select(F.col("vertex").alias("component"), F.col("component").alias("into"))
+    return sizes.join(joined, "component", "left").groupBy(F.coalesce("into", "component").alias("component")).agg(F.sum("n").alias("size"))
+
+
+def remaining_components(healed: DataFrame) -> DataFrame:
+    """Those of ``component, size`` that are smaller than the largest."""
+    return healed.crossJoin(F.broadcast(healed.agg(F.max("size").alias("_most")))).where("size < _most").drop("_most")
+
+
+def healing_report(edges: DataFrame, chosen: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """Components and lengths before and after, and how much the largest component grew in percent."""
-    sizes = lambda e: connected_components(e, few=FEW).groupBy("component").agg(F.count("*").alias("n")).agg(F.count("*").alias("c"), F.max("n").alias("m"))
-    before, after = sizes(edges).withColumnsRenamed({"c": "components_before", "m": "largest_before"}), sizes(heal(edges, chosen)).withColumnsRenamed({"c": "components_after", "m": "largest_after"})
+    components = components if components is not None else materialize(connected_components(edges, few=FEW), "components")
+    chosen = materialize(chosen, "bridges")
+    healed = materialize(healed_components(components, chosen), "healed")
+    before = components.groupBy("component").agg(F.count("*").alias("n")).agg(F.count("*").alias("components_before"), F.max("n").alias("largest_before"))
+    after = healed.agg(F.count("*").alias("components_after"), F.max("size").alias("largest_after"))
+    rest = remaining_components(healed).agg(F.count("*").alias("remaining_components"))
     added = chosen.agg(F.count("*").alias("bridges"), F.round(F.coalesce(F.sum("gap_m"), F.lit(0.0)), 6).alias("bridge_length_m"))
     own = edges.agg(F.count("*").alias("edges"), F.round(F.sum("length_m"), 6).alias("length_m"))
-    one = before.crossJoin(after).crossJoin(added).crossJoin(own)
+    one = before.crossJoin(after).crossJoin(added).crossJoin(own).crossJoin(rest)
     grown = F.when(F.col("largest_before") > 0, (F.col("largest_after") - F.col("largest_before")) / F.col("largest_before") * 100).otherwise(0.0)
     return one.withColumn("connectivity_gain_pct", F.round(grown, 9))

@@ -14,6 +14,8 @@ from stradale.operators.ordinal import numbered
 
 #: Edges that are broadcast at most.
 MAX_EDGES = 5_000_000
+#: Scenarios (four numbers each) that go to every task at most.
+MAX_CUTS = 10_000
 
 
 class Graph:
@@ -91,6 +93,107 @@ def distances(edges: DataFrame, sources: DataFrame, paths: bool = False) -> Data
     return _spread(sources.select("scenario", "s", "cut_node", "cut_u", "cut_v")).mapInPandas(run, schema)
 
 
+def _tree_flags(prev: dict, order: list[int], hit) -> list[int]:
+    """Settled nodes whose path, by smallest predecessors, meets ``hit(parent, node)`` at some step."""
+    flagged: set[int] = set()
+    for t in order[1:]:
+        parent = min(prev[t])
+        if parent in flagged or hit(parent, t):
+            flagged.add(t)
+    return [t for t in order if t in flagged]
+
+
+def cut_list(cuts: DataFrame) -> list[tuple]:
+    """``(scenario, cut_node, cut_u, cut_v)`` of a table of scenarios, which has to be short: it goes to every task."""
+    rows = cuts.select("scenario", *(F.col(c) if c in cuts.columns else F.lit(None).cast("long").alias(c) for c in ("cut_node", "cut_u", "cut_v"))).limit(MAX_CUTS + 1).collect()
+    if len(rows) > MAX_CUTS:
+        raise ValueError(f"more than {MAX_CUTS} scenarios; run them in parts")
+    return sorted((tuple(r) for r in rows), key=lambda r: r[0])
+
+
+def reroutes(nodes: DataFrame, edges: DataFrame, cuts: DataFrame, paths: bool = False) -> DataFrame:
+    """``scenario, s, t, before, after[, path_before, path_after]`` of the pairs ``s < t`` whose path uses what a scenario removes
+    (a node inside it, or an edge); ``after`` is null where there is no way around.
+
+    Each source is searched once as it is and once for each scenario that meets its tree of paths; pairs that are not affected
+    never leave the task.
+    """
+    graph, listed = _sent(edges), cut_list(cuts)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for s in map(int, frame.s):
+                dist, prev, order, _ = graph.value.dijkstra(s)
+                for scenario, node, u, v in listed:
+                    if node is not None:
+                        hit = lambda parent, t, x=node: parent == x and x != s  # noqa: E731, B023
+                    else:
+                        hit = lambda parent, t, pair=frozenset((u, v)): {parent, t} == pair
+                    touched = [t for t in _tree_flags(prev, order, hit) if t > s]
+                    if touched:
+                        after, back, _, _ = graph.value.dijkstra(s, node, None if node is not None else (u, v))
+                        out += [(scenario, s, t, dist[t], after.get(t), *([_path(prev, t), _path(back, t) if t in after else None] if paths else [])) for t in touched]
+            names = ["scenario", "s", "t", "before", "after", *(["path_before", "path_after"] if paths else [])]
+            yield pd.DataFrame(out, columns=names).astype({"scenario": "int64", "s": "int64", "t": "int64", "before": "float64", "after": "float64"})
+
+    schema = "scenario long, s long, t long, before double, after double" + (", path_before array<long>, path_after array<long>" if paths else "")
+    out = _spread(nodes.select(F.col("node_id").alias("s"))).mapInPandas(run, schema)
+    return out.withColumn("after", F.when(~F.isnan("after"), F.col("after")))
+
+
+def survival(nodes: DataFrame, edges: DataFrame, cuts: DataFrame) -> DataFrame:
+    """A row per scenario and source: ``scenario, s, near, low, pairs, before, after, inverse``, and for scenario null the whole graph.
+
+    ``near`` counts the nodes reached and ``low`` is the smallest; the others are sums over the pairs ``s < t`` that are left:
+    their number, lengths before and after, and inverse lengths.
+    """
+    graph, listed = _sent(edges), cut_list(cuts)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for s in map(int, frame.s):
+                base = graph.value.dijkstra(s)[0]
+                for scenario, node, u, v in [(None, None, None, None), *listed]:
+                    if node == s and node is not None:
+                        continue
+                    left = base if scenario is None else graph.value.dijkstra(s, node, None if u is None else (u, v))[0]
+                    ahead = [(base[t], d) for t, d in left.items() if t > s]
+                    out.append((scenario, s, len(left) - 1, min(left), len(ahead), sum(b for b, _ in ahead), sum(d for _, d in ahead), sum(1 / d for _, d in ahead)))
+            yield pd.DataFrame(out, columns=["scenario", "s", "near", "low", "pairs", "before", "after", "inverse"]).astype({"scenario": "Int64"})
+
+    return _spread(nodes.select(F.col("node_id").alias("s"))).mapInPandas(run, "scenario long, s long, near long, low long, pairs long, before double, after double, inverse double")
+
+
+def efficiency(nodes: DataFrame, edges: DataFrame, connected: bool = False) -> DataFrame:
+    """As :func:`path_efficiency` over all pairs, summed in the tasks by source. ``connected`` makes pairs without a path an error."""
+    graph = _sent(edges)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for s in map(int, frame.s):
+                far = [d for t, d in graph.value.dijkstra(s)[0].items() if t != s and d > 0]
+                out.append((len(far), sum(far), sum(1 / d for d in far)))
+            yield pd.DataFrame(out, columns=["pairs", "dist", "inverse"]).astype({"pairs": "int64", "dist": "float64", "inverse": "float64"})
+
+    sums = _spread(nodes.select(F.col("node_id").alias("s"))).mapInPandas(run, "pairs long, dist double, inverse double")
+    one = sums.agg(F.count("*").alias("n"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.sum("dist").alias("a"), F.sum("inverse").alias("x"))
+    all_pairs = F.col("n") * (F.col("n") - 1)
+    pairs = F.when(F.lit(not connected) | (F.col("pairs") == all_pairs), F.col("pairs")).otherwise(F.raise_error(F.lit("the graph is not connected")).cast("long"))
+    per_pair = lambda c: F.when(F.col("pairs") > 0, F.col(c) / F.col("pairs"))
+    return one.select("n", pairs.alias("pairs"), F.round(per_pair("a"), 6).alias("avg_path_m"), F.round(per_pair("x"), 9).alias("efficiency_reachable"), F.round(F.when(all_pairs > 0, F.coalesce("x", F.lit(0.0)) / all_pairs), 9).alias("efficiency_all"))
+
+
+def single_pair(edges: DataFrame, source: int, target: int) -> DataFrame:
+    """``s, t, dist, path`` of one pair, a row always: both null where there is no way."""
+    spark = edges.sparkSession
+    rows = distances(edges, all_sources(spark.createDataFrame([(source,)], "node_id long")), paths=True).where(F.col("t") == target)
+    one = spark.createDataFrame([(source, target)], "s long, t long")
+    return one.join(rows.select("s", "t", "dist", "path"), ["s", "t"], "left")
+
+
 def all_sources(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.lit(0).cast("long").alias("scenario"), F.col("node_id").alias("s"), *(F.lit(None).cast("long").alias(c) for c in ("cut_node", "cut_u", "cut_v")))
 

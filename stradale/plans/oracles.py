@@ -49,6 +49,8 @@ cand AS (SELECT *, gap_m/100+(angle_a+angle_b)/2/45 AS cost FROM g2 WHERE gap_m<
 _BRIDGE = """rk AS (SELECT *, row_number() OVER (ORDER BY cost, node_a, node_b) AS k FROM cand),
 rr(k, c) AS (SELECT k, ka FROM rk UNION SELECT r.k, CASE WHEN q.ka=r.c THEN q.kb ELSE q.ka END FROM rr r JOIN rk q ON q.k<r.k AND (q.ka=r.c OR q.kb=r.c)),
 br AS (SELECT * FROM rk WHERE NOT EXISTS (SELECT 1 FROM rr WHERE rr.k=rk.k AND rr.c=rk.kb))"""
+_AFTER = """cl AS (SELECT ka AS u, kb AS v FROM br UNION ALL SELECT kb, ka FROM br), cr(a, b) AS (SELECT DISTINCT c, c FROM comp UNION SELECT cr.a, cl.v FROM cr JOIN cl ON cl.u=cr.b),
+after AS (SELECT min(b) AS g, comp.a FROM cr JOIN comp ON comp.c=cr.a GROUP BY comp.a)"""
 _GAPS = f"{_HEAL}, {_ENDS}, {_CAND}"
 _SCORES = {
     "zero": "round(CASE WHEN {d}>0 THEN {n}/{d} ELSE 0 END,9)",
@@ -112,14 +114,23 @@ SELECT CASE WHEN degree<=1 THEN 'endpoint' WHEN degree>=3 THEN 'intersection' EL
     "endpoint_bearings": f"{_HEAL}, {_ENDS} SELECT node_id, round(bearing,6) AS bearing FROM ends",
     "gap_candidates": f"{_GAPS} SELECT node_a, node_b, round(gap_m,6) AS gap_m, round(angle_a,6) AS angle_a, round(angle_b,6) AS angle_b, round(cost,9) AS cost FROM cand",
     "healing_bridges": f"{_GAPS}, {_BRIDGE} SELECT node_a, node_b, round(gap_m,6) AS gap_m FROM br",
-    "healing_report": f"""{_GAPS}, {_BRIDGE}, cl AS (SELECT ka AS u, kb AS v FROM br UNION ALL SELECT kb, ka FROM br), cr(a, b) AS (SELECT DISTINCT c, c FROM comp UNION SELECT cr.a, cl.v FROM cr JOIN cl ON cl.u=cr.b),
-after AS (SELECT min(b) AS g, comp.a FROM cr JOIN comp ON comp.c=cr.a GROUP BY comp.a)
+    "remaining_components": f"""{_GAPS}, {_BRIDGE}, {_AFTER}, z AS (SELECT g, count(*) AS n FROM after GROUP BY g) SELECT g AS component, n AS size FROM z WHERE n<(SELECT max(n) FROM z)""",
+    "healed_edges": f"""{_GAPS}, {_BRIDGE} SELECT row_number() OVER (ORDER BY src, dst) AS edge_id, src, dst, round(w,6) AS length_m, false AS bridge, NULL AS bridge_method, NULL AS gap_m, NULL AS angle_a, NULL AS angle_b, NULL AS mean_angle, NULL AS cost FROM e0
+ UNION ALL SELECT (SELECT count(*) FROM e0)+row_number() OVER (ORDER BY cost, node_a, node_b), node_a, node_b, round(gap_m,6), true, 'mst_dsu', round(gap_m,6), round(angle_a,6), round(angle_b,6), round((angle_a+angle_b)/2,6), round(cost,6) FROM br""",
+    "weighted_graph_report": f"""{_GAPS}, {_BRIDGE}, h AS (SELECT src, dst, w, 0 AS b FROM e0 UNION ALL SELECT node_a, node_b, gap_m, 1 FROM br), dg AS (SELECT u, count(*) AS d FROM (SELECT src AS u FROM h UNION ALL SELECT dst FROM h) GROUP BY u)
+SELECT (SELECT count(*) FROM dg) AS nodes, (SELECT min(d) FROM dg) AS min_degree, (SELECT max(d) FROM dg) AS max_degree, (SELECT round(avg(d),9) FROM dg) AS avg_degree, {_LENGTHS}, CAST(sum(b) AS BIGINT) AS bridges FROM h""",
+    "sample_routes": f"""{_D}, {_BCE}, cuts AS (SELECT rank AS k, src, dst, CAST(NULL AS BIGINT) AS x FROM ranke WHERE rank<=10), {_cut('NOT (least(j.u,j.v)=cuts.src AND greatest(j.u,j.v)=cuts.dst)')},
+routes AS (SELECT cuts.k, ab.s, ab.t, ab.dist AS before, pd.dist AS after FROM cuts JOIN adj ON least(u,v)=src AND greatest(u,v)=dst JOIN d a ON a.t=adj.u JOIN d b ON b.s=adj.v JOIN d ab ON ab.s=a.s AND ab.t=b.t JOIN pd ON pd.k=cuts.k AND pd.s=ab.s AND pd.t=ab.t
+ WHERE ab.s<ab.t AND abs(a.dist+adj.w+b.dist-ab.dist)<1e-6 ORDER BY 1,2,3 LIMIT 10)
+SELECT k AS scenario, s, t, round(before,6) AS before, round(after,6) AS after, round(after-before,6) AS increase_m, s AS first, t AS last, (SELECT count(*) FROM d a JOIN d b ON a.t=b.s WHERE a.s=routes.s AND b.t=routes.t AND abs(a.dist+b.dist-routes.before)<1e-6) AS nodes_before FROM routes""",
+    "healing_report": f"""{_GAPS}, {_BRIDGE}, {_AFTER}
 SELECT (SELECT count(DISTINCT c) FROM comp) AS components_before, (SELECT max(n) FROM (SELECT count(*) AS n FROM comp GROUP BY c)) AS largest_before, (SELECT count(DISTINCT g) FROM after) AS components_after, (SELECT max(n) FROM (SELECT count(*) AS n FROM after GROUP BY g)) AS largest_after,
  (SELECT count(*) FROM br) AS bridges, (SELECT round(sum(gap_m),6) FROM br) AS bridge_length_m, (SELECT count(*) FROM e0) AS edges, (SELECT round(sum(w),6) FROM e0) AS length_m,
- round(((SELECT max(n) FROM (SELECT count(*) AS n FROM after GROUP BY g))-(SELECT max(n) FROM (SELECT count(*) AS n FROM comp GROUP BY c)))/(SELECT max(n) FROM (SELECT count(*) AS n FROM comp GROUP BY c))*100,9) AS connectivity_gain_pct""",
+ round(((SELECT max(n) FROM (SELECT count(*) AS n FROM after GROUP BY g))-(SELECT max(n) FROM (SELECT count(*) AS n FROM comp GROUP BY c)))/(SELECT max(n) FROM (SELECT count(*) AS n FROM comp GROUP BY c))*100,9) AS connectivity_gain_pct,
+ (SELECT count(*) FROM (SELECT count(*) AS n FROM after GROUP BY g) WHERE n<(SELECT max(n) FROM (SELECT count(*) AS n FROM after GROUP BY g))) AS remaining_components""",
     "all_pairs_shortest": f"{_D} SELECT s, t, round(dist,6) AS dist FROM d",
     "avg_path_efficiency": f"{_D} SELECT (SELECT count(*) FROM n) AS n, count(*) AS pairs, {_EFF}",
-    "node_betweenness_rank": f"{_D}, {_BCN} SELECT rank, node_id, round(bc,9) AS bc, (SELECT count(*) FROM adj WHERE u=node_id) AS degree, rank<=10 AS gatekeeper FROM rankn",
+    "node_betweenness_rank": f"{_D}, {_BCN} SELECT rank, node_id, round(x,9) AS x, round(y,9) AS y, round(bc,9) AS bc, (SELECT count(*) FROM adj WHERE u=node_id) AS degree, rank<=10 AS gatekeeper FROM rankn JOIN n USING (node_id)",
     "edge_betweenness_rank": f"{_D}, {_BCE} SELECT rank, src, dst, round(bc,9) AS bc FROM ranke",
     "centrality_summary": f"{_D}, {_BCN} SELECT count(*) AS nodes, round(max(bc),9) AS max_bc, round(avg(bc),9) AS mean_bc FROM bcn",
     "bridge_edges": f"""{_NET}, bp(a, b, z) AS (SELECT src, dst, src FROM e UNION SELECT bp.a, bp.b, j.v FROM bp JOIN adj j ON j.u=bp.z WHERE NOT (least(j.u,j.v)=least(bp.a,bp.b) AND greatest(j.u,j.v)=greatest(bp.a,bp.b)))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from stradale.functions import affine, scalars
 from stradale.functions.geo import angular_difference, with_geodesic
 from stradale.operators import failures, graph, healing, metrics, paths, raster, skeleton, validation
+from stradale.operators.components import FEW, connected_components
+from stradale.operators.ordinal import numbered
+from stradale.plans.staging import materialize
 from stradale.sources import fixtures as fx
 
 SIZE, STRIDE = 64, 48
@@ -18,9 +21,9 @@ TOP = 10
 
 
 def _net(spark, sf_dir):
-    """The largest component of the supplier lattice."""
+    """The largest component of the supplier lattice: path analyses are of connected graphs. Written once, as they read it often."""
     nodes, edges = fx.network(spark, sf_dir, "net")
-    return graph.largest_component(nodes, edges.cache())
+    return graph.largest_component(nodes, materialize(edges, "edges"))
 
 
 def edge_length_summary(spark, sf_dir):
@@ -51,21 +54,48 @@ def endpoint_bearings(spark, sf_dir):
 
 
 def _gaps(spark, sf_dir):
+    """Nodes, edges, components and gap candidates of the customer lattice, each made once."""
     nodes, edges = fx.network(spark, sf_dir, "heal")
-    return edges, healing.gap_candidates(nodes, edges)
+    edges = materialize(edges, "edges")
+    components = materialize(connected_components(edges, few=FEW), "components")
+    return nodes, edges, components, healing.gap_candidates(nodes, edges, components=components)
 
 
 def gap_candidates(spark, sf_dir):
-    return _gaps(spark, sf_dir)[1].select("node_a", "node_b", *(F.round(c, 6).alias(c) for c in ("gap_m", "angle_a", "angle_b")), F.round("cost", 9).alias("cost"))
+    return _gaps(spark, sf_dir)[3].select("node_a", "node_b", *(F.round(c, 6).alias(c) for c in ("gap_m", "angle_a", "angle_b")), F.round("cost", 9).alias("cost"))
 
 
 def healing_bridges(spark, sf_dir):
-    return healing.bridges(_gaps(spark, sf_dir)[1]).select("node_a", "node_b", F.round("gap_m", 6).alias("gap_m"))
+    return healing.bridges(_gaps(spark, sf_dir)[3]).select("node_a", "node_b", F.round("gap_m", 6).alias("gap_m"))
 
 
 def healing_report(spark, sf_dir):
-    edges, gaps = _gaps(spark, sf_dir)
-    return healing.healing_report(edges, healing.bridges(gaps))
+    _, edges, components, gaps = _gaps(spark, sf_dir)
+    return healing.healing_report(edges, healing.bridges(gaps), components)
+
+
+def remaining_components(spark, sf_dir):
+    _, _, components, gaps = _gaps(spark, sf_dir)
+    return healing.remaining_components(healing.healed_components(components, materialize(healing.bridges(gaps), "bridges")))
+
+
+def _healed(spark, sf_dir):
+    nodes, edges, _, gaps = _gaps(spark, sf_dir)
+    own = numbered(edges, "src", "dst").select(F.col("rank").cast("long").alias("edge_id"), "src", "dst", "length_m")
+    return nodes, healing.healed_edges(own, healing.bridges(gaps))
+
+
+def healed_edges(spark, sf_dir):
+    rows = _healed(spark, sf_dir)[1]
+    return rows.select("edge_id", "src", "dst", F.round("length_m", 6).alias("length_m"), "bridge", "bridge_method", *(F.round(c, 6).alias(c) for c in ("gap_m", "angle_a", "angle_b", "mean_angle", "cost")))
+
+
+def weighted_graph_report(spark, sf_dir):
+    """The healed network as a weighted graph: nodes without edges go first, then edges that do not count."""
+    nodes, edges = _healed(spark, sf_dir)
+    edges = materialize(edges, "healed")
+    nodes = graph.drop_isolated(nodes, edges)
+    return graph.graph_report(nodes, graph.weighted_graph(nodes, edges))
 
 
 def all_pairs_shortest(spark, sf_dir):
@@ -75,13 +105,14 @@ def all_pairs_shortest(spark, sf_dir):
 
 def avg_path_efficiency(spark, sf_dir):
     nodes, edges = _net(spark, sf_dir)
-    return paths.path_efficiency(nodes, paths.distances(edges, paths.all_sources(nodes)))
+    return paths.efficiency(nodes, edges, connected=True)
 
 
 def node_betweenness_rank(spark, sf_dir):
     nodes, edges = _net(spark, sf_dir)
     by_node = paths.ranked(paths.betweenness(nodes, edges)[0], "node_id", top=TOP)
-    return by_node.join(graph.degrees(nodes, edges), "node_id").select("rank", "node_id", "bc", "degree", "gatekeeper")
+    placed = nodes.where("x IS NOT NULL AND y IS NOT NULL").select("node_id", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+    return by_node.join(graph.degrees(nodes, edges), "node_id").join(placed, "node_id").select("rank", "node_id", "x", "y", "bc", "degree", "gatekeeper")
 
 
 def edge_betweenness_rank(spark, sf_dir):
@@ -107,17 +138,24 @@ def node_failure_scenarios(spark, sf_dir):
 
 def node_rerouting(spark, sf_dir):
     nodes, edges = _net(spark, sf_dir)
-    top = _gatekeepers(nodes, edges)
-    every = paths.distances(edges, paths.all_sources(nodes), paths=True)
-    cuts = top.select(F.col("node_id").alias("scenario"), F.col("node_id").alias("cut_node"))
-    return failures.reroute_summary(failures.reroute(edges, failures.affected_by_node(every, top), cuts))
+    cuts = _gatekeepers(nodes, edges).select(F.col("node_id").alias("scenario"), F.col("node_id").alias("cut_node"))
+    return failures.reroute_summary(paths.reroutes(nodes, edges, cuts))
+
+
+def _critical(nodes, edges):
+    return failures.number_edges(paths.ranked(paths.betweenness(nodes, edges)[1], "src", "dst", top=TOP).where("gatekeeper"))
 
 
 def edge_failure_rerouting(spark, sf_dir):
     nodes, edges = _net(spark, sf_dir)
-    cuts = failures.number_edges(paths.ranked(paths.betweenness(nodes, edges)[1], "src", "dst", top=TOP).where("gatekeeper"))
-    every = paths.distances(edges, paths.all_sources(nodes), paths=True)
-    return failures.reroute_summary(failures.reroute(edges, failures.affected_by_edge(every, cuts), cuts))
+    return failures.reroute_summary(paths.reroutes(nodes, edges, _critical(nodes, edges)))
+
+
+def sample_routes(spark, sf_dir):
+    """The first ten rerouted pairs of the critical edges, with the nodes on their paths."""
+    nodes, edges = _net(spark, sf_dir)
+    rows = failures.sample_routes(paths.reroutes(nodes, edges, _critical(nodes, edges), paths=True))
+    return rows.select("scenario", "s", "t", *(F.round(c, 6).alias(c) for c in ("before", "after", "increase_m")), F.element_at("path_after", 1).alias("first"), F.element_at("path_after", -1).alias("last"), F.size("path_before").cast("long").alias("nodes_before"))
 
 
 def reroutable_edge(spark, sf_dir):
