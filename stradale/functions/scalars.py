@@ -45,3 +45,13 @@ def readable_size(n: Column) -> Column:
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
         out = F.when(n >= 1024**k, F.format_string(f"%.2f {unit}", n / float(1024**k))).otherwise(out)
     return out
+
+
+def thousands(n: Column) -> Column:
+    """A whole number with commas."""
+    return F.format_number(n, 0)
+
+
+def percent(share: Column, decimals: int = 6) -> Column:
+    """A share as a percentage with so many decimals."""
+    return F.format_string(f"%.{decimals}f%%", share * 100)

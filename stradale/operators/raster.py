@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from stradale.functions.scalars import ratio
 from stradale.operators.ordinal import numbered
@@ -41,15 +42,24 @@ def mask_nodata(pixels: DataFrame, valid: DataFrame) -> DataFrame:
 
 
 def dilate(pixels: DataFrame, radius: int, disk: bool = False, bounds: DataFrame | None = None) -> DataFrame:
-    """Set pixels within a square or a disk of set pixels, clipped to ``bounds(scene, height, width)``."""
-    spread = F.sequence(F.lit(-radius), F.lit(radius))
-    out = pixels.select("scene", "r", "c", F.explode(spread).alias("dr")).select("scene", "r", "c", "dr", F.explode(spread).alias("dc"))
-    if disk:
-        out = out.where(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc") <= radius * radius)
-    out = out.select("scene", (F.col("r") + F.col("dr")).alias("r"), (F.col("c") + F.col("dc")).alias("c")).distinct()
-    if bounds is None:
-        return out
-    return out.join(F.broadcast(bounds), "scene").where("r >= 0 AND c >= 0 AND r < height AND c < width").select("scene", "r", "c")
+    """Set pixels within a square or a disk of set pixels, clipped to ``bounds(scene, height, width)``; repeated pixels count once.
+
+    Rows of pixels become runs; a run widens to one interval in each row that it reaches, intervals that meet are merged, and
+    only then become pixels: the pairs of rows and runs are shuffled, not a square of pixels for each.
+    """
+    row = W.partitionBy("scene", "r")
+    runs = pixels.select("scene", "r", "c").withColumn("g", F.col("c") - F.dense_rank().over(row.orderBy("c"))).groupBy("scene", "r", "g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    reach = [(d, int((radius * radius - d * d) ** 0.5) if disk else radius) for d in range(-radius, radius + 1)]
+    wide = runs.select("scene", "r", "lo", "hi", F.inline(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(w).alias("w")) for d, w in reach))))
+    wide = wide.select("scene", (F.col("r") + F.col("d")).alias("r"), (F.col("lo") - F.col("w")).alias("lo"), (F.col("hi") + F.col("w")).alias("hi"))
+    before = F.max("hi").over(row.orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1))
+    fresh = wide.withColumn("fresh", (F.coalesce(F.col("lo") > before + 1, F.lit(True))).cast("int"))
+    part = fresh.withColumn("g", F.sum("fresh").over(row.orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, 0)))
+    merged = part.groupBy("scene", "r", "g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    if bounds is not None:
+        merged = merged.join(bounds.select("scene", "height", "width"), "scene").where("r >= 0 AND r < height AND hi >= 0 AND lo < width")
+        merged = merged.withColumns({"lo": F.greatest("lo", F.lit(0)), "hi": F.least("hi", F.col("width") - 1)})
+    return merged.select("scene", "r", F.explode(F.sequence("lo", "hi")).alias("c"))
 
 
 def neighbours(pixels: DataFrame) -> DataFrame:
@@ -110,6 +120,12 @@ def class_balance(tiles: DataFrame) -> DataFrame:
     return one.select("road", "background", F.round(ratio(F.col("road"), F.col("road") + F.col("background")), 9).alias("road_fraction"), F.round(ratio(F.col("background"), F.col("road")), 6).alias("pos_weight"))
 
 
+def positive_tiles(pixels: DataFrame) -> DataFrame:
+    """Of the pixels ``scene, tile, truth, p`` those of tiles that hold a road."""
+    road = pixels.groupBy("scene", "tile").agg(F.max("truth").alias("_t")).where("_t > 0").select("scene", "tile")
+    return pixels.join(road, ["scene", "tile"], "left_semi")
+
+
 def weighted_share(tiles: DataFrame, weight: float = 3.0) -> DataFrame:
     """Expected share of tiles with roads when they are drawn with this weight against 1."""
     w = F.when(F.col("road_pixels") > 0, weight).otherwise(1.0)
@@ -145,7 +161,8 @@ def skeletonize(pixels: DataFrame) -> DataFrame:
         r, c = np.nonzero(_thin(mask))
         return pd.DataFrame({"scene": frame.scene.iloc[0], "r": r + r0, "c": c + c0})
 
-    return pixels.select(F.col("scene").cast("long"), F.col("r").cast("long"), F.col("c").cast("long")).groupBy("scene").applyInPandas(run, "scene long, r long, c long")
+    kind = pixels.schema["scene"].dataType.simpleString()
+    return pixels.select("scene", F.col("r").cast("long"), F.col("c").cast("long")).groupBy("scene").applyInPandas(run, f"scene {kind}, r long, c long")
 
 
 def rasterize(segments: DataFrame) -> DataFrame:
@@ -162,6 +179,6 @@ def rasterize(segments: DataFrame) -> DataFrame:
                 t = np.array(sorted(cuts))
                 mid = (t[:-1] + t[1:]) / 2
                 out += [(s.scene, int(np.floor(s.r0 + m * (s.r1 - s.r0))), int(np.floor(s.c0 + m * (s.c1 - s.c0)))) for m in mid]
-            yield pd.DataFrame(out, columns=["scene", "r", "c"]).astype({"scene": "int64", "r": "int64", "c": "int64"})
+            yield pd.DataFrame(out, columns=["scene", "r", "c"]).astype({"r": "int64", "c": "int64"})
 
-    return segments.mapInPandas(run, "scene long, r long, c long").distinct()
+    return segments.mapInPandas(run, f"scene {segments.schema['scene'].dataType.simpleString()}, r long, c long").distinct()

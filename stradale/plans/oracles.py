@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from stradale.functions.geo import geodesic_sql
-from stradale.sources.fixtures import BAND, MANIFEST, MASK_CTE, PAIRS, SKELETON_CTE, TAGS, for_duck, network_sql
+from stradale.sources.fixtures import BAND, MANIFEST, MASK_CTE, PAIRS, SEGMENTS, SKELETON_CTE, TAGS, for_duck, network_sql
 
 _REACH = """adj0 AS (SELECT src AS u, dst AS v, w FROM e0 UNION ALL SELECT dst, src, w FROM e0),
 reach(a, b) AS (SELECT u, u FROM adj0 UNION SELECT r.a, j.v FROM reach r JOIN adj0 j ON r.b=j.u),
@@ -198,5 +198,19 @@ SELECT point_id, node_id, round(dist,6) AS dist FROM (SELECT *, row_number() OVE
     "scalar_functions": """WITH q AS (SELECT s_suppkey AS k, s_nationkey AS m, s_suppkey*7919%360 AS a, s_suppkey*104729%360 AS b FROM supplier)
 SELECT k, 'AOI_'||k||'_tile_'||lpad(CAST(m AS VARCHAR),3,'0')||'.tif' AS tile_name, 'AOI_'||k AS scene_id, CAST(least(abs(a-b),360-abs(a-b)) AS DOUBLE) AS angle, (a+180)%360 AS reverse, CASE WHEN b>0 THEN round(a/b,9) ELSE -1 END AS ratio, round(a/(b+1e-8),6) AS eps,
  CASE WHEN b>0 THEN round((a-b)/b*100,6) ELSE 0 END AS change, round(a/(30*1000/3600),6) AS seconds, round(1/(1+exp(-CAST(m-12 AS DOUBLE))),9) AS sigmoid, CASE WHEN m%5<=1 THEN 'endpoint' WHEN m%5>=3 THEN 'intersection' ELSE 'junction' END AS node_type, CASE WHEN k%3<>0 THEN CAST(7 AS BIGINT) ELSE -1 END AS maybe_id FROM q""",
+    "positive_tile_stats": f"""WITH {_MOSAIC}, tl AS (SELECT win.scene, win.tile, p, max(truth) OVER (PARTITION BY win.scene, win.tile) AS t FROM win JOIN mask m ON win.scene=m.scene AND m.r BETWEEN row0 AND row0+63 AND m.c BETWEEN col0 AND col0+63)
+SELECT round(min(p),9) AS min_p, round(max(p),9) AS max_p, round(avg(p),9) AS mean_p, round(stddev_samp(p),9) AS std_p FROM tl WHERE t>0""",
+    "formatted_balance": f"WITH {_MAN}, c AS (SELECT CAST(sum(road_pixels) AS BIGINT) AS road, CAST(sum(pixels-road_pixels) AS BIGINT) AS background FROM man) SELECT format('{{:,}}', road) AS road, format('{{:,}}', background) AS background, printf('%.6f%%', round(road/(road+background),9)*100) AS road_percent FROM c",
+    "single_pair": f"{_D}, ends AS (SELECT min(node_id) AS a, max(node_id) AS b FROM n) SELECT s, t, round(dist,6) AS dist, s AS first, t AS last FROM d JOIN ends ON s=a AND t=b UNION ALL SELECT a, -1, NULL, NULL, NULL FROM ends",
+    "directed_to_undirected": f"""SELECT src, dst, seq, length_m FROM (SELECT least(u,v) AS src, greatest(u,v) AS dst, seq, CAST(seq%997 AS DOUBLE) AS length_m, row_number() OVER (PARTITION BY least(u,v), greatest(u,v) ORDER BY seq%997, seq) AS k FROM ({PAIRS}) WHERE v IS NOT NULL AND u<>v) WHERE k=1""",
+    "geojson_round_trip": f"""WITH {network_sql('net')}, dg AS (SELECT node_id, x, y, (SELECT count(*) FROM e WHERE src=node_id OR dst=node_id) AS d FROM n)
+SELECT 'node' AS kind, node_id AS id, x, y, CAST(d AS DOUBLE) AS value FROM dg UNION ALL SELECT 'edge', row_number() OVER (ORDER BY src, dst), a.x, b.y, round(w,6) FROM e JOIN n a ON a.node_id=src JOIN n b ON b.node_id=dst""",
+    "graphml_round_trip": f"WITH {network_sql('net')} SELECT src, dst, round(w,6) AS length_m, x, y FROM e JOIN n ON node_id=src",
+    "manifest_round_trip": f"""WITH {_MAN}, {_SPLIT}, nm AS (SELECT *, 'scene_'||scene||'_tile_'||lpad(CAST(tile AS VARCHAR),3,'0')||'.tif' AS f FROM man JOIN sp USING (scene))
+SELECT 'scene_'||scene AS scene_id, f AS tile, 'images/'||f AS image_path, 3 AS channels, CAST(road_pixels AS BIGINT) AS road_pixels, round(road_pixels/pixels,9) AS road_fraction, road_pixels>0 AS has_road FROM nm WHERE split='train'""",
+    "geotiff_window": f"WITH {MASK_CTE} SELECT scene, count(*) AS pixels, CAST(sum(truth) AS BIGINT) AS road, min(r) AS top, max(c) AS \"right\" FROM mask WHERE r BETWEEN 10 AND 49 AND c BETWEEN 20 AND 69 GROUP BY scene",
+    "rasterized_lines": f"""WITH sg AS ({SEGMENTS}), ct AS (SELECT *, unnest(list_concat([0e0, 1e0], list_transform(range(CAST(floor(least(r0,r1)) AS BIGINT)+1, CAST(ceil(greatest(r0,r1)) AS BIGINT)), lambda k: (k-r0)/(r1-r0)), list_transform(range(CAST(floor(least(c0,c1)) AS BIGINT)+1, CAST(ceil(greatest(c0,c1)) AS BIGINT)), lambda k: (k-c0)/(c1-c0)))) AS t FROM sg),
+md AS (SELECT *, (t+lead(t) OVER (PARTITION BY scene, r0, c0, r1, c1 ORDER BY t))/2 AS m FROM (SELECT DISTINCT * FROM ct)), px AS (SELECT DISTINCT scene, CAST(floor(r0+m*(r1-r0)) AS BIGINT) AS r, CAST(floor(c0+m*(c1-c0)) AS BIGINT) AS c FROM md WHERE m IS NOT NULL)
+SELECT scene, count(*) AS pixels, CAST(sum(r) AS BIGINT) AS sum_r, CAST(sum(c) AS BIGINT) AS sum_c FROM px GROUP BY scene""",
     "geodesic_pairs": f"WITH {network_sql('net')}, pq AS (SELECT a.node_id, a.x, a.y, b.x AS x2, b.y AS y2 FROM n a JOIN n b ON b.node_id=a.node_id+13) SELECT node_id, round(dist,6) AS dist, round(azimuth,6) AS azimuth FROM ({geodesic_sql('pq', 'x', 'y', 'x2', 'y2')})",
 }

@@ -10,7 +10,8 @@ from stradale.functions.geo import angular_difference, with_geodesic
 from stradale.operators import failures, graph, healing, metrics, paths, raster, skeleton, validation
 from stradale.operators.components import FEW, connected_components
 from stradale.operators.ordinal import numbered
-from stradale.plans.staging import materialize
+from stradale.plans.staging import materialize, new_path
+from stradale.sources import documents, geotiff
 from stradale.sources import fixtures as fx
 
 SIZE, STRIDE = 64, 48
@@ -192,7 +193,7 @@ def _bounds(rows):
 
 
 def relaxed_metrics(spark, sf_dir):
-    rows = fx.mask(spark, sf_dir)
+    rows = materialize(fx.mask(spark, sf_dir).select("scene", "r", "c", "p", "truth"), "mask")
     pred, truth, bounds = rows.where("p >= 0.5"), rows.where("truth = 1"), _bounds(rows)
     return metrics.relaxed(pred, truth, 3, bounds).unionByName(metrics.relaxed(pred, truth, 5, bounds))
 
@@ -244,7 +245,7 @@ def scene_split(spark, sf_dir):
 
 def split_summary(spark, sf_dir):
     rows = _manifest(spark, sf_dir)
-    return raster.split_summary(rows.join(F.broadcast(raster.split_scenes(rows)), "scene"))
+    return raster.split_summary(rows.join(raster.split_scenes(rows), "scene"))
 
 
 def class_balance(spark, sf_dir):
@@ -358,3 +359,87 @@ def occlude_tiles(spark, sf_dir):
     rows = spark.sql("SELECT p_partkey DIV 64 AS tile, (p_partkey DIV 8) % 8 AS r, p_partkey % 8 AS c, p_size / 50D AS red, p_retailprice / 2000D AS green, (p_partkey % 10) / 10D AS blue FROM part")
     out = occlusion.occlude(rows, occlusion.chosen_effects(rows), size=8)
     return out.groupBy("tile").agg(F.count("*").alias("pixels"), F.count_if("occluded").alias("occluded"), F.round(F.avg("red"), 6).alias("mean_red"))
+
+
+def _tiles(spark, sf_dir):
+    rows = fx.mask(spark, sf_dir)
+    return raster.cut_tiles(rows, raster.tile_windows(_bounds(rows), SIZE, STRIDE), SIZE, STRIDE)
+
+
+def positive_tile_stats(spark, sf_dir):
+    """Statistics of the probabilities in tiles that hold a road."""
+    return metrics.probability_stats(raster.positive_tiles(_tiles(spark, sf_dir)))
+
+
+def formatted_balance(spark, sf_dir):
+    one = class_balance(spark, sf_dir)
+    return one.select(scalars.thousands(F.col("road")).alias("road"), scalars.thousands(F.col("background")).alias("background"), scalars.percent(F.col("road_fraction")).alias("road_percent"))
+
+
+def single_pair(spark, sf_dir):
+    """From the smallest node of the network to the largest, and to one that is not in it."""
+    nodes, edges = _net(spark, sf_dir)
+    ends = nodes.agg(F.min("node_id").alias("a"), F.max("node_id").alias("b")).first()
+    if ends.a is None:
+        return paths.single_pair(edges, -1, -2).select("s", "t", "dist").limit(0)
+    both = paths.single_pair(edges, ends.a, ends.b).unionAll(paths.single_pair(edges, ends.a, -1))
+    return both.select("s", "t", F.round("dist", 6).alias("dist"), F.element_at("path", 1).alias("first"), F.element_at("path", -1).alias("last"))
+
+
+def directed_to_undirected(spark, sf_dir):
+    """Of parallel edges, in either direction, the shortest; of equal ones the first."""
+    fx.tables(spark, sf_dir, "lineitem")
+    rows = spark.sql(fx.PAIRS).where("v IS NOT NULL").selectExpr("u AS src", "v AS dst", "seq", "CAST(seq % 997 AS DOUBLE) AS length_m")
+    return graph.simple_graph(rows, "seq", keep="shortest", length="length_m").select("src", "dst", F.col("seq").cast("long"), "length_m")
+
+
+def geojson_round_trip(spark, sf_dir):
+    """Nodes and edges of the network, written as GeoJSON and read back: ids, places, degrees, lengths and ends of lines."""
+    nodes, edges = fx.network(spark, sf_dir, "net")
+    typed = nodes.join(graph.degrees(nodes, edges), "node_id").withColumn("node_type", scalars.node_type(F.col("degree")))
+    place = lambda c: nodes.select(F.col("node_id").alias(c), F.array("x", "y").alias(f"{c}_at"))
+    drawn = numbered(edges, "src", "dst", name="edge_id").join(place("src"), "src").join(place("dst"), "dst")
+    drawn = drawn.select("edge_id", "src", "dst", "length_m", F.lit(0).alias("pixel_count"), F.lit(False).alias("bridge"), F.lit(None).cast("string").alias("bridge_method"), F.array("src_at", "dst_at").alias("coordinates"))
+    at, on = new_path(spark, "nodes"), new_path(spark, "edges")
+    documents.write_nodes(typed, at)
+    documents.write_edges(drawn, on)
+    points = documents.read_nodes(spark, at).select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), "x", "y", F.col("degree").cast("double").alias("value"))
+    lines = documents.read_edges(spark, on).select(F.lit("edge"), "edge_id", F.col("coordinates")[0][0], F.col("coordinates")[1][1], F.round("length_m", 6))
+    return points.unionAll(lines)
+
+
+def graphml_round_trip(spark, sf_dir):
+    """Edges of the network with the places of their ends, written as GraphML and read back."""
+    at = new_path(spark, "graphml")
+    documents.write_graphml(*fx.network(spark, sf_dir, "net"), at)
+    nodes, edges = documents.read_graphml(spark, at)
+    ends = nodes.select(F.col("node_id").alias("src"), "x", "y")
+    return edges.join(ends, "src").select("src", "dst", F.round("length_m", 6).alias("length_m"), "x", "y")
+
+
+def manifest_round_trip(spark, sf_dir):
+    """The training rows of a manifest that is written as CSV and read back."""
+    rows = _manifest(spark, sf_dir)
+    rows = rows.join(raster.split_scenes(rows), "scene")
+    name = F.format_string("scene_%d_tile_%03d.tif", "scene", "tile")
+    full = rows.select("split", F.concat(F.lit("scene_"), F.col("scene").cast("string")).alias("scene_id"), name.alias("tile"), F.concat(F.lit("images/"), name).alias("image_path"), F.concat(F.lit("masks/"), name).alias("mask_path"), F.lit(3).alias("channels"), F.lit(256).alias("height"), F.lit(256).alias("width"), F.col("road_pixels").cast("long"), (F.col("road_pixels") / F.col("pixels")).alias("road_fraction"), (F.col("road_pixels") > 0).alias("has_road"))
+    at = new_path(spark, "manifest")
+    documents.write_manifest(full, at)
+    return documents.read_manifest(spark, at, "train").select("scene_id", "tile", "image_path", "channels", "road_pixels", F.round("road_fraction", 9).alias("road_fraction"), "has_road")
+
+
+def geotiff_window(spark, sf_dir):
+    """Masks written as GeoTIFF files, a raster per scene, and a window of their second band read back, summed by scene."""
+    at = new_path(spark, "tiffs")
+    files = geotiff.write(fx.mask(spark, sf_dir).select("scene", "r", "c", F.col("p").cast("double").alias("p"), "truth"), at, TRANSFORM, ("p", "truth"))
+    files.agg(F.count("*")).collect()  # writes them
+    rows = geotiff.read(spark, at, bands=[2], window=(10, 20, 40, 50))
+    scene = F.regexp_extract("path", "([0-9]+)[.]tif$", 1).cast("long")
+    return rows.groupBy(scene.alias("scene")).agg(F.count("*").alias("pixels"), F.sum("b2").cast("long").alias("road"), F.min("r").alias("top"), F.max("c").alias("right"))
+
+
+def rasterized_lines(spark, sf_dir):
+    """Pixels that lines between parts of a plane touch, by scene."""
+    fx.tables(spark, sf_dir, "supplier")
+    lines = spark.sql(fx.SEGMENTS)
+    return raster.rasterize(lines).groupBy("scene").agg(F.count("*").alias("pixels"), F.sum("r").alias("sum_r"), F.sum("c").alias("sum_c"))

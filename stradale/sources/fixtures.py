@@ -55,6 +55,7 @@ PAIRS = """SELECT l_suppkey AS u, lead(l_suppkey) OVER (PARTITION BY l_orderkey
  l_orderkey*100+row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,l_partkey,l_suppkey,l_extendedprice) AS seq FROM lineitem"""
 MANIFEST = """SELECT p_partkey DIV 36 AS scene, p_partkey%36 AS tile, CASE WHEN p_size%3=0 THEN 0 ELSE (p_partkey*7919)%65536 END AS road_pixels, 65536 AS pixels FROM part"""
 BAND = """SELECT p_partkey DIV 100 AS tile, p_partkey AS pixel, CAST(p_size*30 AS DOUBLE) AS r, p_retailprice AS g, CAST((p_partkey*37)%1000 AS DOUBLE) AS b FROM part"""
+SEGMENTS = """SELECT s_suppkey%3 AS scene, CAST((s_suppkey*37)%101+25e-2 AS DOUBLE) AS r0, CAST((s_suppkey*53)%89+75e-2 AS DOUBLE) AS c0, CAST((s_suppkey*71)%97+5e-1 AS DOUBLE) AS r1, CAST((s_suppkey*29)%83+125e-3 AS DOUBLE) AS c1 FROM supplier"""
 TAGS = """SELECT o_orderkey, CASE WHEN o_orderkey%11=0 THEN NULL WHEN o_orderkey%7=0 THEN {array}(o_orderpriority,o_orderstatus) ELSE {array}(o_orderpriority) END AS highway FROM orders"""
 SKELETON = """SELECT DISTINCT scene, r0+dr*i AS r, c0+dc*i AS c FROM (
  SELECT (k DIV 25) DIV 20 AS scene, ((k DIV 25)%20)*6 AS r0, (k%25)*6 AS c0, dr, dc FROM (
