@@ -55,3 +55,40 @@ def thousands(n: Column) -> Column:
 def percent(share: Column, decimals: int = 6) -> Column:
     """A share as a percentage with so many decimals."""
     return F.format_string(f"%.{decimals}f%%", share * 100)
+
+
+def scene_of(name: Column, prefix: str = "RGB-PanSharpen_") -> Column:
+    """The scene id in an image name: what follows the prefix."""
+    return F.replace(name, F.lit(prefix), F.lit(""))
+
+
+def tile_name(scene: Column, number: Column) -> Column:
+    return F.format_string("%s_tile_%03d.tif", scene, number)
+
+
+def sigmoid(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x.cast("double")))
+
+
+def whole_id(value: Column) -> Column:
+    """An id as text: that of the whole number where it is one, else as it was."""
+    return F.coalesce(value.try_cast("long").cast("string"), value.cast("string"))
+
+
+def binarized(value: Column) -> Column:
+    return (value > 0).cast("int")
+
+
+def scaled(value: Column, largest: Column) -> Column:
+    """Shares of the largest value, clipped to 0..1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value / largest))
+
+
+def unscaled(share: Column, largest: Column) -> Column:
+    """The inverse of :func:`scaled`; shares are clipped first."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * largest
+
+
+def any_data(*bands: Column) -> Column:
+    """Whether any band is there and not 0."""
+    return F.greatest(*(F.coalesce((b != 0).cast("int"), F.lit(0)) for b in bands)) == 1

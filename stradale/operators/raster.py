@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stradale.functions.scalars import ratio
+from stradale.functions.scalars import ratio, scaled
 from stradale.operators.ordinal import numbered
 
 
@@ -62,6 +62,13 @@ def dilate(pixels: DataFrame, radius: int, disk: bool = False, bounds: DataFrame
     return merged.select("scene", "r", F.explode(F.sequence("lo", "hi")).alias("c"))
 
 
+def combined(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
+    """Set pixels of two masks ``scene, r, c``: in both (``and``), in any (``or``), or in the first but not the second (``and not``)."""
+    on = ["scene", "r", "c"]
+    one, two = a.select(*on).distinct(), b.select(*on)
+    return one.unionByName(two).distinct() if how == "or" else one.join(two, on, {"and": "left_semi", "and not": "left_anti"}[how])
+
+
 def neighbours(pixels: DataFrame) -> DataFrame:
     """Pairs of set pixels that touch: ``scene, r, c, r2, c2``."""
     spread = F.sequence(F.lit(-1), F.lit(1))
@@ -86,7 +93,7 @@ def normalize(pixels: DataFrame, stats: DataFrame, bands: tuple[str, ...] = ("r"
     wide = stats.agg(*(F.max(F.when(F.col("band") == b, F.struct("mean", "std", "max"))).alias(f"_{b}") for b in bands))
     out = pixels.crossJoin(F.broadcast(wide))
     for b in bands:
-        out = out.withColumns({f"{b}_z": F.round((F.col(b) - F.col(f"_{b}.mean")) / F.col(f"_{b}.std"), 6), f"{b}_u": F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(b) / F.col(f"_{b}.max"))), 6)})
+        out = out.withColumns({f"{b}_z": F.round((F.col(b) - F.col(f"_{b}.mean")) / F.col(f"_{b}.std"), 6), f"{b}_u": F.round(scaled(F.col(b), F.col(f"_{b}.max")), 6)})
     return out.drop(*(f"_{b}" for b in bands))
 
 

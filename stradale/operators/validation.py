@@ -112,6 +112,10 @@ def _closest(points: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"point_id": points["point_id"].to_numpy()[best["i"]], "node_id": best["node_id"].to_numpy(), "dist": best["dist"].to_numpy()})
 
 
+#: Primes, of which one at least divides no number of pairs below their product.
+STRIDES = (1_000_003, 1_000_033, 1_000_037, 1_000_039)
+
+
 def path_errors(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """``s, t, length_m, reference_m, abs_error_m, error_pct`` of pairs with both paths; empty references are left out."""
     both = ours.where("s < t").select("s", "t", F.col("dist").alias("length_m")).join(theirs.select("s", "t", F.col("dist").alias("reference_m")), ["s", "t"]).where("reference_m > 0")
@@ -130,9 +134,17 @@ def tag_histogram(rows: DataFrame, column: str) -> DataFrame:
 
 
 def sample_pairs(nodes: DataFrame, most: int = 500, seed: int = 42) -> DataFrame:
-    """Pairs of different nodes in the order of a seeded hash: each node is paired with nodes at hashed places, not with all."""
-    placed = numbered(nodes.select("node_id"), F.xxhash64("node_id", F.lit(seed)), "node_id", name="k")
-    n = placed.agg(F.count("*").alias("n"))
-    tries = placed.select(F.col("node_id").alias("s"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("draw")).crossJoin(F.broadcast(n))
-    tries = tries.withColumns({"h": F.xxhash64("s", "draw", F.lit(seed)), "k": F.pmod(F.xxhash64("draw", "s", F.lit(seed + 1)), F.col("n")) + 1})
-    return tries.join(placed.withColumnRenamed("node_id", "t"), "k").where("s <> t").groupBy("s", "t").agg(F.min("h").alias("h")).orderBy("h", "s", "t").limit(most).select("s", "t")
+    """``s, t``: ``most`` different ordered pairs of different nodes, or all there are.
+
+    The pairs are counted through in a fixed stride that shares no factor with their number, so none comes twice before all have
+    come. Only the drawn places are joined with the nodes.
+    """
+    placed = materialize(numbered(nodes.select("node_id").distinct(), "node_id", name="k"), "placed")
+    n = placed.count()
+    pairs = n * (n - 1)
+    stride = next(p for p in STRIDES if pairs % p) if pairs else 1
+    drawn = nodes.sparkSession.range(min(most, pairs)).select(((F.col("id") * stride + seed * 7919) % max(1, pairs)).alias("p"))
+    first, other = F.floor(F.col("p") / max(1, n - 1)), F.col("p") % max(1, n - 1)
+    drawn = drawn.select((first + 1).alias("i"), (other + 1 + F.when(other >= first, 1).otherwise(0)).alias("j"))
+    one, two = placed.select(F.col("k").alias("i"), F.col("node_id").alias("s")), placed.select(F.col("k").alias("j"), F.col("node_id").alias("t"))
+    return drawn.join(one, "i").join(two, "j").select("s", "t")

@@ -193,11 +193,13 @@ SELECT point_id, node_id, round(dist,6) AS dist FROM (SELECT *, row_number() OVE
     "path_error_summary": f"""{_ERR} SELECT count(*) AS pairs, round(avg(abs_error_m),6) AS mean_abs_m, round(median(abs_error_m),6) AS median_abs_m, round(avg(error_pct),6) AS mean_pct, round(median(error_pct),6) AS median_pct, round(max(error_pct),6) AS max_pct,
  round(avg(length_m),6) AS mean_length_m, round(avg(reference_m),6) AS mean_reference_m FROM er""",
     "highway_histogram": f"SELECT tag, count(*) AS n FROM (SELECT unnest(highway) AS tag FROM ({for_duck(TAGS)})) WHERE tag IS NOT NULL GROUP BY tag",
-    "results_summary": f"""{_D}, {_MAN} SELECT (SELECT count(*) FROM e0) AS edges, (SELECT round(sum(w),6) FROM e0) AS total_length_m, (SELECT count(*) FROM n) AS n, round(avg(dist),6) AS avg_path_m, round(sum(1/dist)/((SELECT count(*) FROM n)*((SELECT count(*) FROM n)-1)),9) AS efficiency_all,
- (SELECT round(sum(road_pixels)/sum(pixels),9) FROM man) AS road_fraction FROM d WHERE s<>t""",
+    "mask_algebra": f"WITH {MASK_CTE}, q AS (SELECT scene, c, p>=5e-1 AS p, truth=1 AS t FROM mask) " + " UNION ALL ".join(f"SELECT scene, count(*) AS pixels, CAST(sum(c) AS BIGINT) AS sum_c, '{how}' AS how FROM q WHERE {how_sql} GROUP BY scene" for how, how_sql in (("and", "p AND t"), ("or", "p OR t"), ("and not", "p AND NOT t"))),
+    "od_sample": f"""{_NET}, k AS (SELECT node_id, row_number() OVER (ORDER BY node_id)-1 AS i FROM n), z AS (SELECT count(*) AS n, count(*)*(count(*)-1) AS p FROM n),
+q AS (SELECT (i*(CASE WHEN p%1000003<>0 THEN 1000003 ELSE 1000033 END)+42*7919)%p AS x, n FROM z, (SELECT unnest(range(0,500)) AS i) r WHERE i<p), w AS (SELECT x//(n-1) AS a, x%(n-1) AS b FROM q)
+SELECT k1.node_id AS s, k2.node_id AS t FROM w JOIN k k1 ON k1.i=a JOIN k k2 ON k2.i=b+(CASE WHEN b>=a THEN 1 ELSE 0 END)""",
     "scalar_functions": """WITH q AS (SELECT s_suppkey AS k, s_nationkey AS m, s_suppkey*7919%360 AS a, s_suppkey*104729%360 AS b FROM supplier)
 SELECT k, 'AOI_'||k||'_tile_'||lpad(CAST(m AS VARCHAR),3,'0')||'.tif' AS tile_name, 'AOI_'||k AS scene_id, CAST(least(abs(a-b),360-abs(a-b)) AS DOUBLE) AS angle, (a+180)%360 AS reverse, CASE WHEN b>0 THEN round(a/b,9) ELSE -1 END AS ratio, round(a/(b+1e-8),6) AS eps,
- CASE WHEN b>0 THEN round((a-b)/b*100,6) ELSE 0 END AS change, round(a/(30*1000/3600),6) AS seconds, round(1/(1+exp(-CAST(m-12 AS DOUBLE))),9) AS sigmoid, CASE WHEN m%5<=1 THEN 'endpoint' WHEN m%5>=3 THEN 'intersection' ELSE 'junction' END AS node_type, CASE WHEN k%3<>0 THEN CAST(7 AS BIGINT) ELSE -1 END AS maybe_id FROM q""",
+ CASE WHEN b>0 THEN round((a-b)/b*100,6) ELSE 0 END AS change, round(a/(30*1000/3600),6) AS seconds, round(1/(1+exp(-CAST(m-12 AS DOUBLE))),9) AS sigmoid, CASE WHEN m%5<=1 THEN 'endpoint' WHEN m%5>=3 THEN 'intersection' ELSE 'junction' END AS node_type, CASE WHEN k%3<>0 THEN '7' ELSE 'x7' END AS maybe_id, CASE WHEN m>12 THEN 1 ELSE 0 END AS binary, round(greatest(0,least(1,(m-3)/20e0))*20,6) AS unscaled, (m%2<>0 OR coalesce(CASE WHEN k%5>0 THEN k%3 END,0)<>0) AS valid FROM q""",
     "positive_tile_stats": f"""WITH {_MOSAIC}, tl AS (SELECT win.scene, win.tile, p, max(truth) OVER (PARTITION BY win.scene, win.tile) AS t FROM win JOIN mask m ON win.scene=m.scene AND m.r BETWEEN row0 AND row0+63 AND m.c BETWEEN col0 AND col0+63)
 SELECT round(min(p),9) AS min_p, round(max(p),9) AS max_p, round(avg(p),9) AS mean_p, round(stddev_samp(p),9) AS std_p FROM tl WHERE t>0""",
     "formatted_balance": f"WITH {_MAN}, c AS (SELECT CAST(sum(road_pixels) AS BIGINT) AS road, CAST(sum(pixels-road_pixels) AS BIGINT) AS background FROM man) SELECT format('{{:,}}', road) AS road, format('{{:,}}', background) AS background, printf('%.6f%%', round(road/(road+background),9)*100) AS road_percent FROM c",
@@ -214,3 +216,12 @@ md AS (SELECT *, (t+lead(t) OVER (PARTITION BY scene, r0, c0, r1, c1 ORDER BY t)
 SELECT scene, count(*) AS pixels, CAST(sum(r) AS BIGINT) AS sum_r, CAST(sum(c) AS BIGINT) AS sum_c FROM px GROUP BY scene""",
     "geodesic_pairs": f"WITH {network_sql('net')}, pq AS (SELECT a.node_id, a.x, a.y, b.x AS x2, b.y AS y2 FROM n a JOIN n b ON b.node_id=a.node_id+13) SELECT node_id, round(dist,6) AS dist, round(azimuth,6) AS azimuth FROM ({geodesic_sql('pq', 'x', 'y', 'x2', 'y2')})",
 }
+_REPORTS = {
+    "edge_length_summary": ("edges", "total_length_m"), "avg_path_efficiency": ("n", "avg_path_m", "efficiency_all"), "class_balance": ("road_fraction",), "healing_report": ("components_before", "components_after", "bridges"),
+    "centrality_summary": ("max_bc",), "path_error_summary": ("mean_abs_m", "max_pct"),
+}
+ORACLES["results_summary"] = "SELECT " + ", ".join(
+    [f"(SELECT {c} FROM ({ORACLES[name]})) AS {c}" for name, columns in _REPORTS.items() for c in columns]
+    + [f"(SELECT count(*) FROM ({ORACLES['node_failure_scenarios']})) AS scenarios", f"(SELECT round(avg(resilience_index),6) FROM ({ORACLES['node_failure_scenarios']})) AS mean_resilience"]
+    + [f"(SELECT CAST(sum({c}) AS BIGINT) FROM ({ORACLES[name]})) AS {kind}_{c}" for kind, name in (("node", "node_rerouting"), ("edge", "edge_failure_rerouting")) for c in ("affected", "reroutable")]
+)

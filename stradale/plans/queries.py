@@ -325,11 +325,26 @@ def highway_histogram(spark, sf_dir):
 
 
 def results_summary(spark, sf_dir):
-    """The reports as one nested document; parts that are missing are null."""
-    doc = lambda df, name: df.limit(1).select(F.struct("*").alias(name))
-    parts = [doc(edge_length_summary(spark, sf_dir), "network"), doc(avg_path_efficiency(spark, sf_dir), "baseline"), doc(class_balance(spark, sf_dir), "tiles")]
-    one = parts[0].crossJoin(parts[1]).crossJoin(parts[2])
-    return one.select("network.edges", "network.total_length_m", "baseline.n", "baseline.avg_path_m", "baseline.efficiency_all", "tiles.road_fraction")
+    """Nine reports as one nested document, its figures as columns; parts that are missing are null."""
+    failed = node_failure_scenarios(spark, sf_dir).agg(F.count("*").alias("scenarios"), F.round(F.avg("resilience_index"), 6).alias("mean_resilience"))
+    detours = lambda rows: rows.agg(F.sum("affected").alias("affected"), F.sum("reroutable").alias("reroutable"))
+    reports = {
+        "network": edge_length_summary(spark, sf_dir), "baseline": avg_path_efficiency(spark, sf_dir), "tiles": class_balance(spark, sf_dir), "healing": healing_report(spark, sf_dir), "centrality": centrality_summary(spark, sf_dir),
+        "node_failures": failed, "node_detours": detours(node_rerouting(spark, sf_dir)), "edge_detours": detours(edge_failure_rerouting(spark, sf_dir)), "validation": path_error_summary(spark, sf_dir),
+    }
+    one = spark.range(1)
+    for name, report in reports.items():
+        one = one.join(report.limit(1).select(F.struct("*").alias(name)), F.lit(True), "left")
+    told = ("network.edges", "network.total_length_m", "baseline.n", "baseline.avg_path_m", "baseline.efficiency_all", "tiles.road_fraction", "healing.components_before", "healing.components_after", "healing.bridges", "centrality.max_bc", "node_failures.scenarios", "node_failures.mean_resilience")
+    return one.select(*told, F.col("node_detours.affected").alias("node_affected"), F.col("node_detours.reroutable").alias("node_reroutable"), F.col("edge_detours.affected").alias("edge_affected"), F.col("edge_detours.reroutable").alias("edge_reroutable"), "validation.mean_abs_m", "validation.max_pct")
+
+
+def mask_algebra(spark, sf_dir):
+    """Predicted and true masks combined: pixels by scene of both, of any, and of the predicted that are not true."""
+    rows = materialize(fx.mask(spark, sf_dir).select("scene", "r", "c", "p", "truth"), "mask")
+    pred, truth = rows.where("p >= 0.5"), rows.where("truth = 1")
+    count = lambda how: raster.combined(pred, truth, how).groupBy("scene").agg(F.count("*").alias("pixels"), F.sum("c").alias("sum_c")).withColumn("how", F.lit(how))
+    return count("and").unionByName(count("or")).unionByName(count("and not"))
 
 
 def scalar_functions(spark, sf_dir):
@@ -338,9 +353,9 @@ def scalar_functions(spark, sf_dir):
     s = spark.table("supplier").select(F.col("s_suppkey").alias("k"), "s_nationkey")
     a, b = F.col("k") * 7919 % 360, F.col("k") * 104729 % 360
     return s.select(
-        "k", F.format_string("%s_tile_%03d.tif", F.concat(F.lit("AOI_"), F.col("k").cast("string")), F.col("s_nationkey")).alias("tile_name"), F.replace(F.concat(F.lit("RGB-PanSharpen_AOI_"), F.col("k").cast("string")), F.lit("RGB-PanSharpen_"), F.lit("")).alias("scene_id"),
+        "k", scalars.tile_name(F.concat(F.lit("AOI_"), F.col("k").cast("string")), F.col("s_nationkey")).alias("tile_name"), scalars.scene_of(F.concat(F.lit("RGB-PanSharpen_AOI_"), F.col("k").cast("string"))).alias("scene_id"),
         angular_difference(a.cast("double"), b.cast("double")).alias("angle"), F.pmod(a + 180, F.lit(360)).alias("reverse"), F.round(scalars.ratio(a, b, -1.0), 9).alias("ratio"), F.round(scalars.epsilon_ratio(a, b), 6).alias("eps"),
-        F.round(scalars.percent_change(b.cast("double"), a.cast("double")), 6).alias("change"), F.round(scalars.travel_seconds(a.cast("double")), 6).alias("seconds"), F.round(1 / (1 + F.exp(-(F.col("s_nationkey") - 12).cast("double"))), 9).alias("sigmoid"), scalars.node_type(F.col("s_nationkey") % 5).alias("node_type"), F.coalesce(F.when(F.col("k") % 3 == 0, F.lit("x")).otherwise(F.lit("7")).try_cast("long"), F.lit(-1).cast("long")).alias("maybe_id"),
+        F.round(scalars.percent_change(b.cast("double"), a.cast("double")), 6).alias("change"), F.round(scalars.travel_seconds(a.cast("double")), 6).alias("seconds"), F.round(scalars.sigmoid(F.col("s_nationkey") - 12), 9).alias("sigmoid"), scalars.node_type(F.col("s_nationkey") % 5).alias("node_type"), scalars.whole_id(F.when(F.col("k") % 3 == 0, F.lit("x7")).otherwise(F.lit("007"))).alias("maybe_id"), scalars.binarized(F.col("s_nationkey") - 12).alias("binary"), F.round(scalars.unscaled(scalars.scaled(F.col("s_nationkey") - 3.0, F.lit(20.0)), F.lit(20.0)), 6).alias("unscaled"), scalars.any_data(F.col("s_nationkey") % 2, F.when(F.col("k") % 5 > 0, F.col("k") % 3)).alias("valid"),
     )
 
 

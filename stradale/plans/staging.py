@@ -11,9 +11,13 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where the session names none (tests)."""
+    """The folder named by ``spark.checkpoint.dir``. Where the session names none, a local one in local mode (tests), else an error:
+    executors would write to their own disks, and later reads would miss the rows."""
     path = spark.conf.get(SETTING, None)
     if not path:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{SETTING} has to name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="stradale-")
         spark.conf.set(SETTING, path)
     return path.rstrip("/")
