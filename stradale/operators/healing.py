@@ -79,7 +79,7 @@ def bridges(candidates: DataFrame, one_task: int = MAX_KRUSKAL) -> DataFrame:
     groups = connected_components(candidates, "ca", "cb", few=FEW).select(F.col("vertex").alias("ca"), F.col("component").alias("grp"))
     rows = candidates.join(groups, "ca")
     if rows.groupBy("grp").count().where(F.col("count") > one_task).isEmpty():
-        return rows.groupBy("grp").applyInPandas(_kruskal, rows.schema).drop("grp")
+        return rows.groupBy("grp").applyInPandas(_kruskal, rows.schema).select(*candidates.columns)
     left = materialize(candidates.select("node_a", "node_b", "cost", F.col("ca").alias("p"), F.col("cb").alias("q")), "left")
     picked = None
     while not left.isEmpty():

@@ -82,7 +82,7 @@ def test_small_rules(spark):
     assert graph.simple_graph(multi, "seq").first().length_m == 3.0 and graph.simple_graph(multi, "seq").count() == 1
 
 
-@pytest.mark.parametrize("name", ["edge_length_summary", "simple_graph_dedup", "component_sizes", "gap_candidates", "confusion_metrics", "split_summary", "band_stats", "dilate_disk", "tile_manifest", "pixel_extent", "scene_split", "node_betweenness_rank", "edge_betweenness_rank", "reroutable_edge"])
+@pytest.mark.parametrize("name", ["edge_length_summary", "simple_graph_dedup", "component_sizes", "gap_candidates", "confusion_metrics", "split_summary", "band_stats", "dilate_disk", "tile_manifest", "pixel_extent", "scene_split", "node_betweenness_rank", "edge_betweenness_rank", "reroutable_edge", "graph_edges", "healed_edges", "weighted_graph_report", "sample_routes", "od_sample", "geotiff_window", "graphml_round_trip", "mask_algebra"])
 def test_query_equals_its_oracle(spark, name):
     con = duckdb.connect()
     for t in ("supplier", "customer", "part", "orders", "lineitem"):
