@@ -25,4 +25,4 @@ def test_every_customer_is_snapped(spark):
 def test_edges_of_every_order(spark):
     names, want = rows_of(ORACLES["simple_graph_dedup"], "lineitem")
     got = [tuple(r) for r in QUERIES["simple_graph_dedup"](spark, SF).select(*names).collect()]
-    assert sorted(got) == sorted(want) and len(want) > 1000
+    assert sorted(got) == sorted(want) and len(want) == 45  # every pair of ten suppliers
