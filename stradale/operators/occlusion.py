@@ -1,92 +1,197 @@
-"""Synthetic occlusion of tiles ``scene, tile, r, c, red, green, blue``: shapes are drawn by hash, then blended pixel by pixel.
+"""Synthetic occlusion of square tiles: shapes are drawn by hash as a small table, then painted tile by tile.
 
-Draws depend on the seed, the tile and the number of the draw only, never on pixels or partitions, so the mask alone can be
-made again. Soft edges fall off linearly over the reach of a blur.
+Tiles have pixels ``tile, r, c, red, green, blue`` with bands from 0 to 1; where there is a column ``scene``, it is part of a
+tile's name. Draws depend on the seed, the tile and the number of the draw only, never on pixels or partitions, so the mask can
+be made again without pixels. A task paints a tile at a time: it holds ``size * size`` pixels at most.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Effect: least and most shapes, least and most half size in pixels, opacity, colour (null: drawn), least and most drawn colour, soft pixels.
+#: Fixed values. Effect: least and most shapes, opacity, colour or bounds of a drawn one, pixels of the blur's kernel (0: hard edges).
 EFFECTS = {
-    "tree_canopy": (3, 8, 8, 28, 0.75, (0.18, 0.24, 0.12), (0.0, 0.0), 10),
-    "vehicles": (2, 10, 2, 9, 0.85, None, (0.05, 0.35), 0),
-    "shadows": (1, 2, 20, 60, 0.55, (0.0, 0.0, 0.0), (0.0, 0.0), 15),
-    "clouds": (1, 3, 25, 70, 0.55, (1.0, 1.0, 1.0), (0.0, 0.0), 25),
-    "urban_clutter": (5, 15, 1, 7, 0.65, None, (0.1, 0.9), 0),
-    "illumination": (0, 0, 0, 0, 0.0, None, (0.0, 0.0), 0),
+    "tree_canopy": (3, 8, 0.75, (0.18, 0.24, 0.12), 21),
+    "vehicles": (2, 10, 0.85, (0.05, 0.35), 0),
+    "shadows": (1, 1, 0.55, (0.0, 0.0, 0.0), 31),
+    "clouds": (1, 3, 0.55, (1.0, 1.0, 1.0), 51),
+    "urban_clutter": (5, 15, 0.65, (0.1, 0.9), 0),
+    "illumination": (1, 1, 0.35, (), 0),
 }
-ROUND = ("tree_canopy", "clouds")
+#: Least and most side of a rectangle, in pixels.
+SIDES = {"vehicles": (4, 18), "urban_clutter": (3, 15)}
+#: Numbers drawn for a shape.
+DRAWS = 8
 BANDS = ("red", "green", "blue")
 
 
+def _key(rows: DataFrame) -> list[str]:
+    return [c for c in ("scene", "tile") if c in rows.columns]
+
+
 def uniform(seed: int, *keys: Column) -> Column:
     """A number in [0, 1) from a hash."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys), 11) / float(1 << 53)
 
 
-def gated(tiles: DataFrame, probability: float, seed: int = 42) -> DataFrame:
-    """Tiles to occlude: with roads, and drawn with this probability."""
-    return tiles.where(F.col("has_road") & (uniform(seed, F.col("tile"), F.lit("gate")) < probability))
-
+def gated(tiles: DataFrame, probability: float, seed: int = 42, enabled: bool = True) -> DataFrame:
+    """Tiles to occlude: with roads, and drawn with this probability; none unless ``enabled``."""
+    return tiles.where(F.lit(enabled) & F.col("has_road") & (uniform(seed, *map(F.col, _key(tiles)), F.lit("gate")) <= probability))
+
+
+def chosen_effects(tiles: DataFrame, seed: int = 42, least: int = 1, most: int = 3) -> DataFrame:
+    """``least`` to ``most`` effects of each tile, in hash order, without repeats: the tile, ``effect``, ``turn``."""
+    key = _key(tiles)
+    rows = tiles.select(*key).distinct().select(*key, F.explode(F.array(*map(F.lit, EFFECTS))).alias("effect"))
+    rows = rows.withColumn("turn", F.row_number().over(W.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed), *key, "effect"), "effect")))
+    return rows.where(F.col("turn") <= F.floor(uniform(seed, *map(F.col, key), F.lit("count")) * (most - least + 1)) + least)
+
+
+def shapes(effects: DataFrame, seed: int = 42) -> DataFrame:
+    """The drawn shapes, few per tile, whatever its pixels: the tile, ``effect, turn, shape`` and ``draws``, numbers in [0, 1)."""
+    bound = lambda k: F.create_map(*(x for name, e in EFFECTS.items() for x in (F.lit(name), F.lit(e[k]))))[F.col("effect")]
+    key = _key(effects)
+    named = [*map(F.col, key), F.col("effect")]
+    n = F.floor(bound(0) + uniform(seed, *named, F.lit("n")) * (bound(1) - bound(0) + 1)).cast("int")
+    rows = effects.select(*key, "effect", F.col("turn").cast("int").alias("turn"), F.explode(F.sequence(F.lit(1), n)).alias("shape"))
+    return rows.withColumn("draws", F.array(*(uniform(seed, *named, F.col("shape"), F.lit(f"draw {k}")) for k in range(DRAWS))))
+
+
+def _between(u: float, low: int, high: int) -> int:
+    return low + int(u * (max(low, high) - low + 1))
+
+
+def _ellipse(size: int, u: list[float], rows: tuple[int, int], cols: tuple[int, int]) -> np.ndarray:
+    y, x = np.ogrid[:size, :size]
+    dx, dy, turn = x - int(u[0] * size), y - int(u[1] * size), np.pi * u[4]
+    along, across = dx * np.cos(turn) + dy * np.sin(turn), dy * np.cos(turn) - dx * np.sin(turn)
+    return (along / _between(u[2], *cols)) ** 2 + (across / _between(u[3], *rows)) ** 2 <= 1
+
+
+def _box(size: int, u: list[float], low: int, high: int) -> np.ndarray:
+    wide, tall = (_between(x, min(low, size), min(high, size)) for x in u[:2])
+    left, top = int(u[2] * (size - wide + 1)), int(u[3] * (size - tall + 1))
+    mask = np.zeros((size, size), bool)
+    mask[top : top + tall, left : left + wide] = True
+    return mask
+
+
+def _polygon(size: int, u: list[float]) -> np.ndarray:
+    """The polygon of four corners, by the even-odd rule, with the pixels of its outline."""
+    y, x = np.mgrid[:size, :size]
+    corners = [(int(a * size), int(b * size)) for a, b in zip(u[0::2], u[1::2])]
+    mask, outline = np.zeros((size, size), bool), np.zeros((size, size), bool)
+    for (x0, y0), (x1, y1) in zip(corners, corners[1:] + corners[:1]):
+        if y0 != y1:
+            mask ^= ((y < y0) != (y < y1)) & (x < x0 + (y - y0) * (x1 - x0) / (y1 - y0))
+        at = np.linspace(0, 1, max(abs(x1 - x0), abs(y1 - y0)) + 1)
+        outline[np.rint(y0 + at * (y1 - y0)).astype(int), np.rint(x0 + at * (x1 - x0)).astype(int)] = True
+    return mask | outline
+
+
+def geometry(effect: str, size: int, u: list[float]) -> np.ndarray:
+    """The pixels that a shape hides. Ellipses grow with the tile; illumination hides none."""
+    if effect in SIDES:
+        return _box(size, u, *SIDES[effect])
+    if effect == "shadows":
+        return _polygon(size, u)
+    if effect == "tree_canopy":
+        radii = max(8, size // 20), max(12, size // 6)
+        return _ellipse(size, u, radii, radii)
+    if effect == "clouds":
+        return _ellipse(size, u, (max(1, size // 10), max(1, size // 4)), (max(1, size // 8), max(1, size // 3)))
+    return np.zeros((size, size), bool)
+
+
+def blurred(mask: np.ndarray, kernel: int) -> np.ndarray:
+    """Shares of 255 steps after a Gaussian blur with a kernel of so many pixels; the tile is mirrored at its border pixels."""
+    far = kernel // 2
+    weights = np.exp(-0.5 * (np.arange(-far, far + 1) / (0.3 * (far - 1) + 0.8)) ** 2)
+    weights /= weights.sum()
+    out = np.pad(mask.astype(float), far, "reflect")
+    for axis in (0, 1):
+        out = np.lib.stride_tricks.sliding_window_view(out, kernel, axis) @ weights
+    return np.rint(out * 255) / 255
+
+
+def hidden(drawn: list[dict], size: int) -> np.ndarray:
+    """The pixels of a tile that its shapes hide."""
+    return np.any([np.zeros((size, size), bool), *(geometry(s["effect"], size, s["draws"]) for s in drawn)], axis=0)
+
+
+def paint(values: np.ndarray, r: np.ndarray, c: np.ndarray, size: int, drawn: list[dict]) -> np.ndarray:
+    """The values (pixels by bands) at rows ``r`` and columns ``c`` under the shapes of their tile.
+
+    Effects follow each other by turn, and values are clipped after each. Boxes blend one by one; other shapes of an effect merge,
+    are blurred and blend once. Illumination changes contrast, then brightness. Missing values stay missing.
+    """
+    drawn = sorted(drawn, key=lambda s: (s["turn"], s["shape"]))
+    for effect in dict.fromkeys(s["effect"] for s in drawn):
+        mine = [s for s in drawn if s["effect"] == effect]
+        _, _, strength, colour, kernel = EFFECTS[effect]
+        if effect == "illumination":
+            brightness, contrast = (1 + strength * (2 * x - 1) for x in mine[0]["draws"][:2])
+            values = ((values - 0.5) * contrast + 0.5) * brightness
+        elif kernel:
+            alpha = strength * blurred(hidden(mine, size), kernel)[r, c, None]
+            values = values * (1 - alpha) + alpha * np.array(colour)
+        else:
+            for s in mine:
+                tint = colour[0] + np.array(s["draws"][4:7]) * (colour[1] - colour[0])
+                values = np.where(hidden([s], size)[r, c, None], values * (1 - strength) + strength * tint, values)
+        values = np.clip(values, 0, 1)
+    return values
 
-def chosen_effects(tiles: DataFrame, seed: int = 42) -> DataFrame:
-    """One to three effects of each tile, in hash order, without repeats: ``tile, effect, turn``."""
-    rows = tiles.select("tile").distinct().select("tile", F.explode(F.array(*map(F.lit, EFFECTS))).alias("effect"))
-    rows = rows.withColumn("turn", F.row_number().over(W.partitionBy("tile").orderBy(F.xxhash64(F.lit(seed), "tile", "effect"), "effect")))
-    return rows.where(F.col("turn") <= F.floor(uniform(seed, F.col("tile"), F.lit("count")) * 3) + 1)
 
+def occlude(pixels: DataFrame, effects: DataFrame, size: int = 256, seed: int = 42) -> DataFrame:
+    """The pixels with the effects of their tile, and ``occluded``: whether a shape hides them.
 
-def shapes(effects: DataFrame, size: int = 256, seed: int = 42) -> DataFrame:
-    """The drawn shapes: ``tile, effect, turn, shape, cr, cc, hr, hc, colours``; few per tile, whatever its pixels."""
-    pick = lambda k: F.create_map(*(x for name, e in EFFECTS.items() for x in (F.lit(name), F.lit(float(e[k])))))[F.col("effect")]
-    lo, hi = (F.create_map(*(x for name, e in EFFECTS.items() for x in (F.lit(name), F.lit(e[6][k])))) for k in (0, 1))
-    u = lambda name: uniform(seed, F.col("tile"), F.col("effect"), F.col("shape"), F.lit(name))
-    n = F.floor(pick(0) + uniform(seed, F.col("tile"), F.col("effect"), F.lit("n")) * (pick(1) - pick(0) + 1)).cast("int")
-    rows = effects.withColumn("n", n).where("n > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("shape"))
-    half = lambda name: pick(2) + u(name) * (pick(3) - pick(2))
-    return rows.select("tile", "effect", "turn", "shape", (u("r") * size).alias("cr"), (u("c") * size).alias("cc"), half("hr").alias("hr"), half("hc").alias("hc"), (lo[F.col("effect")] + u("v") * (hi[F.col("effect")] - lo[F.col("effect")])).alias("colour"))
+    All columns are kept but for an ``occluded`` of their own; tiles without effects are unchanged, missing values stay missing,
+    repeated pixels are each painted, and pixels beyond ``size`` or without a row or column are refused.
+    """
+    key = _key(pixels)
+    rows = pixels.drop("occluded").withColumns({b: F.col(b).cast("double") for b in BANDS})
+    names = rows.columns
 
+    def run(tile: pa.Table, mine: pa.Table) -> pa.Table:
+        r, c = (tile[x].to_numpy().astype(np.int64) for x in ("r", "c"))
+        if not ((0 <= r) & (r < size) & (0 <= c) & (c < size)).all():
+            raise ValueError(f"a pixel lies outside a tile of {size} by {size} pixels")
+        drawn = mine.to_pylist()
+        values = paint(np.stack([tile[b].to_numpy() for b in BANDS], axis=1), r, c, size, drawn)
+        made = {b: pa.array(values[:, k], pa.float64(), from_pandas=True) for k, b in enumerate(BANDS)}
+        return pa.table([*(made[x] if x in made else tile[x] for x in names), pa.array(hidden(drawn, size)[r, c])], [*names, "occluded"])
 
-def coverage(pixels: DataFrame, drawn: DataFrame) -> DataFrame:
-    """Opacity and colour of each effect at each pixel that it reaches: ``tile, r, c, turn, effect, alpha, colour``."""
-    at = pixels.select("tile", "r", "c").join(drawn, "tile")
-    soft = F.create_map(*(x for name, e in EFFECTS.items() for x in (F.lit(name), F.lit(float(max(e[7], 1))))))[F.col("effect")]
-    top = F.create_map(*(x for name, e in EFFECTS.items() for x in (F.lit(name), F.lit(e[4]))))[F.col("effect")]
-    dr, dc = F.abs(F.col("r") - F.col("cr")), F.abs(F.col("c") - F.col("cc"))
-    ring = (F.sqrt((dr / F.col("hr")) ** 2 + (dc / F.col("hc")) ** 2) - 1) * F.least("hr", "hc")
-    beyond = F.when(F.col("effect").isin(*ROUND), ring).otherwise(F.greatest(dr - F.col("hr"), dc - F.col("hc")))
-    alpha = top * F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - beyond / soft))
-    return at.withColumn("alpha", alpha).where("alpha > 0").groupBy("tile", "r", "c", "turn", "effect").agg(F.max("alpha").alias("alpha"), F.max_by("colour", F.struct("alpha", "shape")).alias("colour"))
+    schema = rows.withColumn("occluded", F.lit(True)).schema
+    return rows.groupBy(*key).cogroup(shapes(effects, seed).groupBy(*key)).applyInArrow(run, schema)
 
 
-def occlude(pixels: DataFrame, effects: DataFrame, size: int = 256, seed: int = 42) -> DataFrame:
-    """The pixels blended with the effects in turn, and ``occluded``: whether any effect but illumination reaches them."""
-    mine = coverage(pixels, shapes(effects, size, seed)).groupBy("tile", "r", "c").agg(F.array_sort(F.collect_list(F.struct("turn", "effect", "alpha", "colour"))).alias("layers"))
-    light = effects.where("effect = 'illumination'").select("tile", (0.65 + 0.7 * uniform(seed, F.col("tile"), F.lit("gain"))).alias("gain"))
-    out = pixels.join(mine, ["tile", "r", "c"], "left").join(light, "tile", "left")
-    for k, band in enumerate(BANDS):
-        fixed = F.create_map(*(x for name, e in EFFECTS.items() if e[5] for x in (F.lit(name), F.lit(e[5][k]))))
-        blend = F.aggregate(F.coalesce("layers", F.array()), F.col(band).cast("double"), lambda v, s: v * (1 - s["alpha"]) + s["alpha"] * F.coalesce(F.try_element_at(fixed, s["effect"]), s["colour"]))
-        out = out.withColumn(band, F.greatest(F.lit(0.0), F.least(F.lit(1.0), blend * F.coalesce("gain", F.lit(1.0)))))
-    return out.withColumn("occluded", F.col("layers").isNotNull()).drop("layers", "gain")
+def occlusion_mask(effects: DataFrame, size: int = 256, seed: int = 42) -> DataFrame:
+    """The pixels that :func:`occlude` hides with the same seed, made without pixels: the tile, ``r``, ``c``."""
+    key = _key(effects)
+    drawn = shapes(effects, seed)
 
+    def run(mine: pa.Table) -> pa.Table:
+        r, c = np.nonzero(hidden(mine.to_pylist(), size))
+        whose = mine.select(key).take(np.zeros(len(r), np.int64))
+        return pa.table([*whose.columns, pa.array(r, pa.int32()), pa.array(c, pa.int32())], [*key, "r", "c"])
 
-def occlusion_mask(pixels: DataFrame, effects: DataFrame, size: int = 256, seed: int = 42) -> DataFrame:
-    """The pixels that :func:`occlude` changes with the same seed, without their values."""
-    return coverage(pixels, shapes(effects, size, seed)).select("tile", "r", "c").distinct()
+    schema = drawn.select(*key, F.lit(0).alias("r"), F.lit(0).alias("c")).schema
+    return drawn.groupBy(*key).applyInArrow(run, schema)
 
 
 def single_effect(pixels: DataFrame, effect: str, size: int = 256, seed: int = 42) -> DataFrame:
     """The pixels with one effect on every tile."""
-    return occlude(pixels, pixels.select("tile").distinct().select("tile", F.lit(effect).alias("effect"), F.lit(1).alias("turn")), size, seed).drop("occluded")
+    alone = pixels.select(*_key(pixels)).distinct().withColumns({"effect": F.lit(effect), "turn": F.lit(1)})
+    return occlude(pixels, alone, size, seed).drop("occluded")
 
 
 def difference_mask(clean: DataFrame, changed: DataFrame, least: float = 0.015) -> DataFrame:
     """Pixels of which a band differs by more than ``least``."""
-    on = ["tile", "r", "c"]
+    on = [*_key(clean), "r", "c"]
     d = F.greatest(*(F.abs(F.col(f"a.{b}") - F.col(f"b.{b}")) for b in BANDS))
     return clean.alias("a").join(changed.alias("b"), on).where(d > least).select(*on)

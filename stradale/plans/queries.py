@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stradale.functions import affine, scalars
 from stradale.functions.geo import angular_difference, with_geodesic
-from stradale.operators import failures, graph, healing, metrics, paths, raster, skeleton, validation
+from stradale.operators import failures, graph, healing, metrics, occlusion, paths, raster, skeleton, validation
 from stradale.operators.components import FEW, connected_components
 from stradale.operators.ordinal import numbered
 from stradale.plans.staging import materialize, new_path
@@ -366,14 +368,33 @@ def geodesic_pairs(spark, sf_dir):
     return out.select("node_id", F.round("dist", 6).alias("dist"), F.round("azimuth", 6).alias("azimuth"))
 
 
-def occlude_tiles(spark, sf_dir):
-    """Small tiles from the parts table, occluded: brightness before and after, and occluded pixels, by tile."""
-    from stradale.operators import occlusion
+#: Sides of the tiles of the parts table.
+SIDE = 16
+
 
+def _painted(spark, sf_dir):
+    """Tiles of ``SIDE`` by ``SIDE`` parts, a part a pixel; two of three have roads."""
     fx.tables(spark, sf_dir, "part")
-    rows = spark.sql("SELECT p_partkey DIV 64 AS tile, (p_partkey DIV 8) % 8 AS r, p_partkey % 8 AS c, p_size / 50D AS red, p_retailprice / 2000D AS green, (p_partkey % 10) / 10D AS blue FROM part")
-    out = occlusion.occlude(rows, occlusion.chosen_effects(rows), size=8)
-    return out.groupBy("tile").agg(F.count("*").alias("pixels"), F.count_if("occluded").alias("occluded"), F.round(F.avg("red"), 6).alias("mean_red"))
+    return spark.sql(f"SELECT p_partkey DIV {SIDE * SIDE} AS tile, (p_partkey DIV {SIDE}) % {SIDE} AS r, p_partkey % {SIDE} AS c, (p_partkey DIV {SIDE * SIDE}) % 3 < 2 AS has_road, p_size / 50D AS red, p_retailprice / 2000D AS green, (p_partkey % 10) / 10D AS blue FROM part")
+
+
+def occlude_tiles(spark, sf_dir):
+    """Tiles with roads, half of them occluded: pixels, occluded ones, those that differ, and brightness, by tile."""
+    rows = _painted(spark, sf_dir)
+    out = occlusion.occlude(rows, occlusion.chosen_effects(occlusion.gated(rows.select("tile", "has_road").distinct(), 0.5)), SIDE)
+    differ = occlusion.difference_mask(rows, out).groupBy("tile").agg(F.count("*").alias("changed"))
+    told = out.groupBy("tile").agg(F.count("*").alias("pixels"), F.count_if("occluded").alias("occluded"), F.round(F.avg("red"), 6).alias("mean_red"))
+    return told.join(differ, "tile", "left").withColumn("changed", F.coalesce("changed", F.lit(0)))
+
+
+def single_effects(spark, sf_dir):
+    """Mean of the red band under each effect alone, and the pixels that its mask hides in the same tiles."""
+    rows, out = _painted(spark, sf_dir), []
+    for effect in occlusion.EFFECTS:
+        alone = rows.select("tile").distinct().withColumns({"effect": F.lit(effect), "turn": F.lit(1)})
+        red = occlusion.single_effect(rows, effect, SIDE).agg(F.round(F.avg("red"), 6).alias("mean_red"))
+        out.append(occlusion.occlusion_mask(alone, SIDE).agg(F.lit(effect).alias("effect"), F.count("*").alias("hidden")).join(F.broadcast(red)))
+    return reduce(DataFrame.unionByName, out)
 
 
 def _tiles(spark, sf_dir):

@@ -25,7 +25,8 @@ def test_occlusion(spark):
     rows = spark.range(64).select(F.lit(1).alias("tile"), F.floor(F.col("id") / 8).alias("r"), (F.col("id") % 8).alias("c"), *(F.lit(0.5).alias(b) for b in occlusion.BANDS))
     effects = rows.select("tile").distinct().select("tile", F.lit("vehicles").alias("effect"), F.lit(1).alias("turn"))
     out = occlusion.occlude(rows, effects, 8)
-    mask = {(r.r, r.c) for r in occlusion.occlusion_mask(rows, effects, 8).collect()}
+    mask = {(r.r, r.c) for r in occlusion.occlusion_mask(effects, 8).collect()}
     assert {(r.r, r.c) for r in out.where("occluded").collect()} == mask and mask and out.count() == 64
     assert {(r.r, r.c) for r in occlusion.difference_mask(rows, out).collect()} <= mask
-    assert QUERIES["occlude_tiles"](spark, "/root/testdata/sf0.001").count() > 0
+    for name in ("occlude_tiles", "single_effects"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
