@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from stradale.functions.scalars import ratio, scaled
 from stradale.operators.ordinal import numbered
+from stradale.plans.staging import materialize
 
 
 def tile_windows(scenes: DataFrame, size: int = 256, stride: int = 192) -> DataFrame:
@@ -139,6 +140,37 @@ def weighted_share(tiles: DataFrame, weight: float = 3.0) -> DataFrame:
     return tiles.agg(F.round(F.sum(F.when(F.col("road_pixels") > 0, w).otherwise(0.0)) / F.sum(w), 9).alias("expected_share"))
 
 
+def weighted_draw(tiles: DataFrame, order: list[str], most: int | None = None, weight: float = 3.0, seed: int = 42) -> DataFrame:
+    """``most`` draws with replacement (as many as there are tiles by default), ``weight`` to 1 for tiles with roads: ``draw`` and the tile.
+
+    Tiles with roads are numbered before those without, by ``order``, which should leave no ties; a draw falls on a number by the
+    inverse of the summed weights, so only draws and numbers are joined. Null road pixels count as none; no tiles give no draws.
+    """
+    road = F.coalesce(F.col("road_pixels") > 0, F.lit(False))
+    placed = materialize(numbered(tiles, road.desc(), *order, name="_k"), "placed")
+    n, positive = placed.agg(F.count("*"), F.count_if(road)).first()
+    at = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "draw"), 11) / float(1 << 53) * (weight * positive + n - positive)
+    draws = tiles.sparkSession.range((n if most is None else most) if n else 0).withColumnRenamed("id", "draw")
+    place = F.when(at < weight * positive, F.floor(at / weight)).otherwise(positive + F.floor(at - weight * positive))
+    return draws.withColumn("_k", F.least(place, F.lit(n - 1)) + 1).join(placed, "_k").drop("_k")
+
+
+def paired_manifest(images: DataFrame, masks: DataFrame) -> DataFrame:
+    """Tiles of images with their masks: paths, bands and size of the image, road pixels of the mask, and their share.
+
+    ``images`` has ``split, scene, tile, path, channels, height, width``; ``masks`` the same but for channels, and ``road_pixels``.
+    An image without a mask, or with one of another size, is an error; masks without an image are left out.
+    """
+    key = ["split", "scene", "tile"]
+    own = masks.select(*key, F.col("path").alias("mask_path"), F.col("height").alias("_h"), F.col("width").alias("_w"), F.col("road_pixels").cast("long").alias("road_pixels"))
+    rows = images.select(*key, F.col("path").alias("image_path"), "channels", "height", "width").join(own, key, "left")
+    fail = lambda what: F.raise_error(F.concat(F.lit(what), F.col("image_path"))).cast("boolean")
+    same = (F.col("_h") == F.col("height")) & (F.col("_w") == F.col("width"))
+    rows = rows.where(F.when(F.col("mask_path").isNull(), fail("no mask for ")).when(~F.coalesce(same, F.lit(False)), fail("mask of another size for ")).otherwise(True))
+    share = ratio(F.col("road_pixels"), F.col("height").cast("long") * F.col("width"))
+    return rows.select(*key, "image_path", "mask_path", "channels", "height", "width", "road_pixels", F.round(share, 9).alias("road_fraction"), (F.col("road_pixels") > 0).alias("has_road"))
+
+
 def _thin(mask: np.ndarray) -> np.ndarray:
     """Zhang-Suen thinning."""
     img = np.pad(mask.astype(np.uint8), 1)

@@ -172,6 +172,7 @@ SELECT scene, n, count(*) AS pixels, round(sum(CASE WHEN (r+c)%5=0 OR p IS NULL
     "split_summary": f"WITH {_MAN}, {_SPLIT} SELECT split, count(*) AS tiles, count(*) FILTER (WHERE road_pixels>0) AS with_road, count(*) FILTER (WHERE road_pixels=0) AS empty, round(avg(road_pixels/pixels),9) AS mean_road_fraction FROM man JOIN sp USING (scene) GROUP BY split",
     "class_balance": f"WITH {_MAN}, c AS (SELECT CAST(sum(road_pixels) AS BIGINT) AS road, CAST(sum(pixels-road_pixels) AS BIGINT) AS background FROM man) SELECT road, background, round(road/(road+background),9) AS road_fraction, round(background/road,6) AS pos_weight FROM c",
     "positive_sampling_share": f"WITH {_MAN} SELECT round(3e0*count(*) FILTER (WHERE road_pixels>0)/(3e0*count(*) FILTER (WHERE road_pixels>0)+count(*) FILTER (WHERE road_pixels=0)),9) AS expected_share FROM man",
+    "image_mask_manifest": f"WITH {_MAN}, {_SPLIT}, nm AS (SELECT *, scene||'/'||scene||'_tile_'||lpad(CAST(tile AS VARCHAR),3,'0')||'.tif' AS nm FROM man JOIN sp USING (scene)) SELECT split, scene, tile, split||'/images/'||nm AS image_path, split||'/masks/'||nm AS mask_path, 3 AS channels, 256 AS height, 256 AS width, CAST(road_pixels AS BIGINT) AS road_pixels, round(road_pixels/65536,9) AS road_fraction, road_pixels>0 AS has_road FROM nm",
     "band_stats": f"WITH {_BANDS}, {_STATS} SELECT * FROM st",
     "normalize_pixels": f"WITH {_BANDS}, {_STATS} SELECT tile, pixel, " + ", ".join(f"round(({b}-(SELECT mean FROM st WHERE band='{b}'))/(SELECT std FROM st WHERE band='{b}'),6) AS {b}_z, round(greatest(0e0,least(1e0,{b}/(SELECT max FROM st WHERE band='{b}'))),6) AS {b}_u" for b in "rgb")
     + ", round((g-min(g) OVER (PARTITION BY tile))/(max(g) OVER (PARTITION BY tile)-min(g) OVER (PARTITION BY tile)+1e-8),6) AS g_m FROM px",

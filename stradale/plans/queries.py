@@ -258,6 +258,20 @@ def positive_sampling_share(spark, sf_dir):
     return raster.weighted_share(_manifest(spark, sf_dir))
 
 
+def positive_sampling(spark, sf_dir):
+    """As many weighted draws as there are tiles: how many of them have roads, and how many different ones were drawn."""
+    out = raster.weighted_draw(_manifest(spark, sf_dir), ["scene", "tile"])
+    return out.agg(F.count("*").alias("draws"), F.count_if(F.col("road_pixels") > 0).alias("with_road"), F.count_distinct("scene", "tile").alias("different"))
+
+
+def image_mask_manifest(spark, sf_dir):
+    """Tiles of the parts table, an image and a mask each, joined by split, scene and tile."""
+    rows = _manifest(spark, sf_dir)
+    rows = rows.join(raster.split_scenes(rows), "scene").withColumns({"height": F.lit(256), "width": F.lit(256), "channels": F.lit(3)})
+    at = lambda kind: F.format_string(f"%s/{kind}/%s/%s", "split", F.col("scene").cast("string"), scalars.tile_name(F.col("scene").cast("string"), F.col("tile")))
+    return raster.paired_manifest(rows.withColumn("path", at("images")), rows.withColumn("path", at("masks")))
+
+
 def _bands(spark, sf_dir):
     fx.tables(spark, sf_dir, "part")
     return spark.sql(fx.BAND)

@@ -5,5 +5,5 @@ from __future__ import annotations
 from stradale.plans import queries
 from stradale.plans.oracles import ORACLES
 
-_EXTRA = ("skeletonize", "occlude_tiles", "single_effects")
+_EXTRA = ("skeletonize", "occlude_tiles", "single_effects", "positive_sampling")
 QUERIES = {name: getattr(queries, name) for name in (*ORACLES, *_EXTRA)}
