@@ -186,3 +186,19 @@ def test_masks_combined(spark):
     a, b = (spark.createDataFrame([(0, *x) for x in sets[k]] * 2, "scene int, r int, c int") for k in "ab")
     for how, want in (("and", sets["a"] & sets["b"]), ("or", sets["a"] | sets["b"]), ("and not", sets["a"] - sets["b"])):
         assert {(x.r, x.c) for x in raster.combined(a, b, how).collect()} == want
+
+
+def test_graphs_in_arrays(spark):
+    rows = [(-4, -2, 1.0), (-2, 9, 2.0), (9, -4, 4.0), (9, 7, 1.0), (7, 7, 1.0), (7, 5, None), (None, 5, 1.0)]
+    edges = spark.createDataFrame(rows, "src long, dst long, length_m double")
+    nodes = spark.createDataFrame([(k,) for k in (-4, -2, 9, 7, 5)], "node_id long")
+    got = {(r.s, r.t): r.dist for r in paths.distances(edges, paths.all_sources(nodes)).collect()}
+    assert got[-4, 9] == 3 and got[-4, 7] == 4 and got[5, 5] == 0 and (5, 7) not in got and len(got) == 17
+    by_node, by_edge = (x.collect() for x in paths.betweenness(nodes, edges.where("src <> dst and length_m is not null")))
+    assert {r.node_id: round(r.bc * 12) for r in by_node} == {-4: 0, -2: 4, 9: 4, 7: 0, 5: 0}
+    assert {(r.src, r.dst): round(r.bc * 20) for r in by_edge} == {(-4, -2): 6, (-2, 9): 8, (-4, 9): 0, (7, 9): 6}
+    assert paths.distances(edges.limit(0), paths.all_sources(nodes)).where("s = t").count() == 5
+    kept, paths.KNOWN = paths.KNOWN, 2
+    graph = paths.Graph(*(np.array(x) for x in zip(*[(k, k + 1, 1.0) for k in range(9)])))
+    assert graph.dijkstra(0)[0][9] == 9 and len(graph.known) <= 2
+    paths.KNOWN = kept
