@@ -109,7 +109,10 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def read_manifest(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    rows = spark.read.schema(MANIFEST).csv(path, header=True)
+    """The columns of a manifest by the names in its header, in any order; others are left out, a missing one is an error."""
+    columns = [c.split() for c in MANIFEST.split(", ")]
+    told = require_columns(spark.read.csv(path, header=True), [name for name, _ in columns])
+    rows = told.select(*(F.col(name).try_cast(kind).alias(name) for name, kind in columns))
     return rows if split is None else rows.where(F.col("split") == split)
 
 

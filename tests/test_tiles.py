@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stradale.operators import raster
+from stradale.sources import documents
 
 
 def test_draws_are_those_of_summed_weights(spark):
@@ -38,3 +39,16 @@ def test_images_need_masks_of_their_size(spark):
         raster.paired_manifest(images, spark.createDataFrame(masks[:1], shape)).count()
     with pytest.raises(Exception, match="another size for i/2"):
         raster.paired_manifest(images, spark.createDataFrame([masks[0], (*masks[1][:4], 4, 8, 0)], shape)).count()
+
+
+def test_manifests_are_read_by_the_names_in_their_header(spark, tmp_path):
+    images = spark.createDataFrame([("train", "a", "t1", "i/1", 3, 8, 4), ("val", "a", "t2", "i/2", 3, 8, 4)], "split string, scene string, tile string, path string, channels int, height int, width int")
+    masks = images.select("split", "scene", "tile", F.concat(F.lit("m"), "path").alias("path"), "height", "width", F.lit(8).alias("road_pixels"))
+    want = raster.paired_manifest(images, masks).withColumnRenamed("scene", "scene_id")
+    documents.write_manifest(want.select("has_road", F.lit("x").alias("note"), *reversed(want.columns[:-1])), str(tmp_path / "m"))
+    got = documents.read_manifest(spark, str(tmp_path / "m"))
+    assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
+    assert [r.tile for r in documents.read_manifest(spark, str(tmp_path / "m"), "val").collect()] == ["t2"]
+    documents.write_manifest(want.drop("width"), str(tmp_path / "short"))
+    with pytest.raises(ValueError, match="width"):
+        documents.read_manifest(spark, str(tmp_path / "short"))
