@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stradale.functions.scalars import floor_percentile, path_uses_edge, percent_change, ratio, travel_seconds
-from stradale.operators.paths import cut_edges, reroutes, survival
+from stradale.functions.scalars import path_uses_edge, percent_change, ratio, travel_seconds
+from stradale.operators import quantiles
+from stradale.operators.paths import cut_edges, increases, reroute_sums, reroutes, survival, with_paths
 from stradale.plans.staging import materialize
 
 #: Edges that are tried at once for a detour.
@@ -55,6 +56,21 @@ def sample_routes(routes: DataFrame, most: int = 10) -> DataFrame:
     return ok.orderBy("scenario", "s", "t").limit(most)
 
 
+def first_routes(nodes: DataFrame, edges: DataFrame, cuts: DataFrame, most: int = 10) -> DataFrame:
+    """:func:`sample_routes` of the whole ``reroutes(..., paths=True)``: every task tells its own first pairs, and only those that are
+    first of all get paths."""
+    cuts = materialize(cuts, "cuts")
+    first = materialize(sample_routes(reroutes(nodes, edges, cuts, first=most), most).drop("increase_m"), "first")
+    return sample_routes(with_paths(first, edges, cuts), most)
+
+
+def reroute_totals(nodes: DataFrame, edges: DataFrame, cuts: DataFrame) -> DataFrame:
+    """As :func:`reroute_summary` of all reroutes, from sums by source."""
+    total = lambda c: F.sum(c) / F.sum("reroutable")
+    out = reroute_sums(nodes, edges, cuts).groupBy("scenario").agg(F.sum("affected").alias("affected"), F.sum("reroutable").alias("reroutable"), total("before").alias("b"), total("after").alias("a"), F.round(total("more"), 6).alias("mean_increase_m"), F.round(F.max("most"), 6).alias("max_increase_m"), F.round(F.max("most_pct"), 6).alias("max_increase_pct"))
+    return _told(out)
+
+
 def reroute_summary(routes: DataFrame) -> DataFrame:
     """Per scenario: affected and reroutable pairs, mean lengths, and increases over the reroutable ones (nulls if there are none)."""
     ok = F.col("after").isNotNull()
@@ -63,6 +79,10 @@ def reroute_summary(routes: DataFrame) -> DataFrame:
         F.count("*").alias("affected"), F.count_if(ok).alias("reroutable"), F.avg(F.when(ok, F.col("before"))).alias("b"), F.avg("after").alias("a"),
         F.round(F.avg(more), 6).alias("mean_increase_m"), F.round(F.max(more), 6).alias("max_increase_m"), F.round(F.max(percent_change(F.col("before"), F.col("after"))), 6).alias("max_increase_pct"),
     )
+    return _told(out)
+
+
+def _told(out: DataFrame) -> DataFrame:
     return out.select("scenario", "affected", "reroutable", (F.col("affected") - F.col("reroutable")).alias("unreachable"), F.round(ratio(F.col("reroutable"), F.col("affected")), 9).alias("reroutable_fraction"), F.round("b", 6).alias("mean_before_m"), F.round("a", 6).alias("mean_after_m"), "mean_increase_m", F.round(percent_change(F.col("b"), F.col("a"), None), 6).alias("mean_increase_pct"), "max_increase_m", "max_increase_pct")
 
 
@@ -71,19 +91,31 @@ def number_edges(ranked: DataFrame) -> DataFrame:
 
 
 def first_reroutable_edge(nodes: DataFrame, edges: DataFrame, bc: DataFrame) -> DataFrame:
-    """The edge with the largest betweenness that is no cut edge and has pairs to reroute, with the increases of their paths."""
+    """The edge with the largest betweenness that is no cut edge and has pairs to reroute, with the increases of their paths.
+
+    Whether an edge has pairs is first asked of the ends of the edges tried, of other sources only where that leaves it open; the
+    increases of the one edge are counted in the tasks.
+    """
     open_edges = bc.join(cut_edges(nodes, edges), ["src", "dst"], "left_anti")
     order = F.desc(F.round("bc", 9)), F.desc("src"), F.desc("dst")
     open_edges = materialize(open_edges, "open")
-    for at in range(0, max(1, open_edges.count()), TRIED):
+    row = None
+    for at in range(0, open_edges.count(), TRIED):
         some = open_edges.orderBy(*order).offset(at).limit(TRIED)
         cuts = some.withColumn("scenario", F.row_number().over(W.orderBy(*order)).cast("long")).select("scenario", F.col("src").alias("cut_u"), F.col("dst").alias("cut_v"), "bc")
         cuts = materialize(cuts, "cuts")
-        routes = reroutes(nodes, edges, cuts.drop("bc")).where("after IS NOT NULL").withColumn("more", F.col("after") - F.col("before"))
-        routes = materialize(routes, "routes")
-        if not routes.isEmpty():
+        first = lambda sources, tried: reroutes(sources, edges, tried.drop("bc"), first=1).where("after IS NOT NULL").agg(F.min("scenario")).first()[0]
+        ends = cuts.select(F.explode(F.array("cut_u", "cut_v")).alias("node_id"))
+        found = first(nodes.join(ends, "node_id", "left_semi"), cuts)
+        before = cuts if found is None else cuts.where(F.col("scenario") < found)
+        found = (first(nodes, before) if found != 1 else None) or found
+        if found is not None:
+            edge = cuts.where(F.col("scenario") == found)
+            u, v, bc_of = edge.select("cut_u", "cut_v", "bc").first()
+            high = lambda n: int(0.95 * (n - 1))
+            more = increases(nodes, edges, edge.drop("bc"), lambda _, n: [*quantiles.middle(n), high(n)])["more"]
+            row = (u, v, bc_of, more["n"], more["total"] / more["n"], quantiles.median(more), more["at"][high(more["n"])], more["most"])
             break
-    first = routes.agg(F.min("scenario").alias("scenario"))
-    one = routes.join(F.broadcast(first), "scenario").groupBy("scenario").agg(F.count("*").alias("rerouted"), F.avg("more").alias("mean"), F.median("more").alias("median"), floor_percentile(F.collect_list("more"), 0.95).alias("p95"), F.max("more").alias("max"))
+    one = edges.sparkSession.createDataFrame([row] if row else [], "src long, dst long, bc double, rerouted long, mean double, median double, p95 double, max double")
     told = {f"{k}_increase_m": F.round(k, 6) for k in ("mean", "median", "p95", "max")} | {"mean_increase_s": F.round(travel_seconds(F.col("mean")), 6)}
-    return one.join(cuts, "scenario").select(F.col("cut_u").alias("src"), F.col("cut_v").alias("dst"), F.round("bc", 9).alias("bc"), "rerouted", *(v.alias(k) for k, v in told.items()))
+    return one.select("src", "dst", F.round("bc", 9).alias("bc"), "rerouted", *(v.alias(k) for k, v in told.items()))

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stradale.operators import quantiles
 from stradale.operators.components import FEW, connected_components
 from stradale.operators.ordinal import numbered
+from stradale.plans.staging import materialize
 
 #: Edges that are broadcast at most.
 MAX_EDGES = 5_000_000
@@ -19,6 +22,8 @@ MAX_EDGES = 5_000_000
 KNOWN = 200_000
 #: Scenarios (four numbers each) that go to every task at most.
 MAX_CUTS = 10_000
+#: Distances (8 bytes each) that a task holds at once, and sources that are searched together at most.
+HELD, WIDE = 1 << 24, 256
 
 
 class Graph:
@@ -31,6 +36,138 @@ class Graph:
         self.nodes, start = np.unique(u[order], return_index=True)
         self.start = np.append(start, len(u))
         self.known: dict[int, list[tuple[int, float]]] = {}
+        self.steps: dict[int, list[tuple[int, float]]] = {}
+        self.rank: list[int] | None = None
+        self.positive = bool((np.isfinite(self.length) & (self.length > 0)).all())
+        self.place = self._places()
+
+    def _places(self) -> np.ndarray:
+        """Places of the nodes in breadth-first order, so that sources with places next to each other are near."""
+        head = np.searchsorted(self.nodes, self.to)
+        place, at = np.full(len(self.nodes), -1), 0
+        for root in range(len(self.nodes)):
+            queue = [root] if place[root] < 0 else []
+            for u in queue:
+                if place[u] < 0:
+                    place[u], at = at, at + 1
+                    queue += [v for v in head[self.start[u] : self.start[u + 1]].tolist() if place[v] < 0]
+        return place
+
+    #: Arcs by the index of the node they leave and the one they reach; made in the tasks, not sent.
+    @cached_property
+    def tail(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.nodes)), np.diff(self.start))
+
+    @cached_property
+    def head(self) -> np.ndarray:
+        return np.searchsorted(self.nodes, self.to)
+
+    def index(self, ids: np.ndarray) -> np.ndarray:
+        """Indices of nodes; -1 for those without edges."""
+        if not len(self.nodes):
+            return np.full(len(ids), -1)
+        at = np.minimum(np.searchsorted(self.nodes, ids), len(self.nodes) - 1)
+        return np.where(self.nodes[at] == ids, at, -1)
+
+    def sources(self, frames: Iterator[pd.DataFrame], tables: int = 1) -> tuple[list[np.ndarray], list[int]]:
+        """Of the column ``s`` those with edges, near ones together, as few as :meth:`table` may hold ``tables`` times, and those without."""
+        ids = np.concatenate([np.zeros(0, np.int64), *(f["s"].to_numpy(np.int64) for f in frames)])
+        at = self.index(ids)
+        known = ids[at >= 0][np.argsort(self.place[at[at >= 0]], kind="stable")]
+        wide = max(1, min(WIDE, 1 + int((2 * len(self.nodes)) ** 0.5), HELD // (tables * max(1, len(self.nodes)))))
+        return [known[k : k + wide] for k in range(0, len(known), wide)], ids[at < 0].tolist()
+
+    def table(self, sources: np.ndarray, node: int | None = None, edge: tuple[int, int] | None = None) -> np.ndarray:
+        """Distances to every node (rows) from every one of ``sources`` (columns, nodes with edges), infinite where there is no way.
+
+        Each source is searched alone until it has met the others, then all together: of the nodes whose row has changed the one
+        nearest to the sources goes on to its neighbours, until no row changes, so the distances are those of single searches.
+        Where the sources are near each other, few nodes come twice. How near is told by a search from the middle one, which is
+        kept while it lies in the middle (an order from elsewhere would be right, but slow).
+        """
+        out = np.full((len(self.nodes), len(sources)), np.inf)
+        if not self.positive:
+            for k, s in enumerate(sources.tolist()):
+                dist = self.dijkstra(s, node, edge)[0]
+                out[np.searchsorted(self.nodes, list(dist)), k] = list(dist.values())
+            return out
+        at = np.searchsorted(self.nodes, sources)
+        middle = len(sources) // 2
+        if self.rank is None or self.rank[at[middle]] > len(sources) // 2:
+            self._order_from(int(sources[middle]))
+        gone = -1 if node is None else int(self.index(np.array([node]))[0])
+        cut = set() if edge is None else {tuple(self.index(np.array(x)).tolist()) for x in (edge, edge[::-1])}
+        rank, ranked, met = self.rank, self.ranked, set()
+        for k, s in enumerate(at.tolist()):
+            dist = self._until(s, set(at.tolist()), gone, cut)
+            out[list(dist), k] = list(dist.values())
+            met.update(dist)
+        waiting, waits = sorted(rank[k] for k in met), bytearray(len(self.nodes))
+        for k in waiting:
+            waits[k] = 1
+        x, less = np.empty(len(sources)), np.empty(len(sources), bool)
+        while waiting:
+            k = heapq.heappop(waiting)
+            waits[k] = 0
+            u = ranked[k]
+            row = out[u]
+            for v, w in self._steps(u):
+                if v == gone or (u, v) in cut:
+                    continue
+                old = out[v]
+                np.add(row, w, out=x)
+                np.less(x, old, out=less)
+                if less.any():
+                    np.minimum(x, old, out=old)
+                    k = rank[v]
+                    if not waits[k]:
+                        waits[k] = 1
+                        heapq.heappush(waiting, k)
+        return out
+
+    def _steps(self, u: int) -> list[tuple[int, float]]:
+        if u not in self.steps:
+            if len(self.steps) >= KNOWN:
+                self.steps.clear()
+            a, b = self.start[u : u + 2]
+            self.steps[u] = list(zip(self.head[a:b].tolist(), self.length[a:b].tolist()))
+        return self.steps[u]
+
+    def _until(self, source: int, others: set[int], gone: int, cut: set) -> dict[int, float]:
+        """Distances by index, in a search that ends with the last of ``others``."""
+        dist, heap, done = {source: 0.0}, [(0.0, source)], set()
+        while heap and others:
+            d, u = heapq.heappop(heap)
+            if u in done:
+                continue
+            done.add(u)
+            others.discard(u)
+            for v, w in self._steps(u):
+                if v != gone and (u, v) not in cut and d + w < dist.get(v, np.inf):
+                    dist[v] = d + w
+                    heapq.heappush(heap, (d + w, v))
+        return dist
+
+    def _order_from(self, source: int) -> None:
+        """Ranks of the nodes by their distance from a source; those it does not reach come last."""
+        dist, far = self.dijkstra(source)[0], np.full(len(self.nodes), np.inf)
+        far[np.searchsorted(self.nodes, list(dist))] = list(dist.values())
+        ranked = np.argsort(far, kind="stable")
+        rank = np.empty(len(ranked), np.int64)
+        rank[ranked] = np.arange(len(ranked))
+        self.ranked, self.rank = ranked.tolist(), rank.tolist()
+
+    def tight(self, d: np.ndarray) -> np.ndarray:
+        """Arcs of the shortest paths that ``d``, the distances from one source, stand for."""
+        x = d[self.tail] + self.length
+        return np.flatnonzero((x <= d[self.head] + 1e-12) & np.isfinite(x))
+
+    def parents(self, d: np.ndarray, root: int) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes before each one, the smallest of several (where there is none: the number of nodes, which follows itself), and the tight arcs."""
+        arcs, out = self.tight(d), np.full(len(d) + 1, len(d))
+        out[self.head[arcs[::-1]]] = self.tail[arcs[::-1]]
+        out[root] = len(d)
+        return out, arcs
 
     def near(self, u: int) -> list[tuple[int, float]]:
         if u not in self.known:
@@ -77,6 +214,95 @@ def _spread(sources: DataFrame) -> DataFrame:
     return sources.repartition(n)
 
 
+def _dealt(sources: DataFrame, graph) -> DataFrame:
+    """Sources ``s`` in four tasks a core, those that are near in the graph together."""
+
+    def place(s: pd.Series) -> pd.Series:
+        ids = s.to_numpy(np.int64)
+        at = graph.value.index(ids)
+        return pd.Series(np.where(at >= 0, graph.value.place[at] if len(graph.value.place) else 0, len(graph.value.place) + ids % 4096))
+
+    n = 4 * max(1, sources.sparkSession.sparkContext.defaultParallelism)
+    return sources.withColumn("_at", F.pandas_udf(place, "long")("s")).repartitionByRange(n, "_at").drop("_at")
+
+
+def by_source(table: np.ndarray) -> Iterator[np.ndarray]:
+    """The columns of a table of distances, as arrays."""
+    for k in range(0, table.shape[1], 16):
+        yield from np.ascontiguousarray(table[:, k : k + 16].T)
+
+
+def _below(parent: np.ndarray, load: np.ndarray) -> np.ndarray:
+    """``load`` of every node summed with those of all nodes after it in the tree, by steps of doubled length."""
+    n = len(parent) - 1
+    load = np.append(load, 0.0)
+    while (parent < n).any():
+        load = load + np.bincount(parent, load, n + 1)
+        load[n] = 0.0
+        parent = parent[parent]
+    return load[:n]
+
+
+def _tree_loads(g: Graph, ids: np.ndarray, by_node: np.ndarray, by_arc: np.ndarray) -> list[int]:
+    """Adds the loads of nodes and arcs in the trees of shortest paths from near sources; gives back those that have ties, and so no tree.
+
+    The load of an arc is the number of nodes behind it. Far from the sources their trees agree: those parts are summed once, and
+    only what is left of each tree by itself.
+    """
+    n, left, arcs = len(g.nodes), [], []
+    for s, d in zip(ids.tolist(), by_source(g.table(ids))):
+        tight = g.tight(d)
+        if not g.positive or len(tight) != np.isfinite(d).sum() - 1:
+            left.append(s)
+            continue
+        arcs.append(np.full(n, -1, np.int32))
+        arcs[-1][g.head[tight]] = tight
+    if not arcs:
+        return left
+    roots = g.index(ids[~np.isin(ids, left)])
+    by = np.stack(arcs)
+    own = (by != by[0]).any(axis=0)
+    own[roots] = True
+    edge = np.flatnonzero(own)
+    while len(edge):  # all nodes before one that differs
+        used = np.unique(by[:, edge])
+        edge = np.unique(g.tail[used[used >= 0]])
+        edge = edge[~own[edge]]
+        own[edge] = True
+    parent = np.append(np.where(by[0] >= 0, g.tail[by[0]], n), n)
+    parent[:n][own] = n
+    alike = np.flatnonzero(~own & (by[0] >= 0))
+    load = np.zeros(n)
+    load[alike] = 1.0
+    load = _below(parent, load)
+    load[own] = 0.0
+    top = alike[own[g.tail[by[0][alike]]]]
+    hung = np.bincount(g.tail[by[0][top]], load[top], n)
+    by_node[alike] += len(by) * (load[alike] - 1)
+    by_arc[by[0][alike]] += len(by) * load[alike]
+    some = np.flatnonzero(own)
+    place = np.full(n, len(some))
+    place[some] = np.arange(len(some))
+    for row, root in zip(by[:, some], roots):
+        there = row >= 0
+        load = hung[some] + there
+        load[place[root]] = hung[root] + 1.0
+        load = _below(np.append(np.where(there, place[g.tail[row]], len(some)), len(some)), load)
+        by_arc[row[there]] += load[there]
+        by_node[some[there]] += load[there] - 1
+    return left
+
+
+def _down(parent: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Bits of every node and of all nodes before it in the tree."""
+    n = len(parent) - 1
+    flags = np.append(flags, 0)
+    while (parent < n).any():
+        flags = flags | flags[parent]
+        parent = parent[parent]
+    return flags[:n]
+
+
 def _path(prev: dict, target: int) -> list[int]:
     out = [target]
     while prev[out[-1]]:
@@ -107,16 +333,6 @@ def distances(edges: DataFrame, sources: DataFrame, paths: bool = False) -> Data
     return _spread(sources.select("scenario", "s", "cut_node", "cut_u", "cut_v")).mapInPandas(run, schema)
 
 
-def _tree_flags(prev: dict, order: list[int], hit) -> list[int]:
-    """Settled nodes whose path, by smallest predecessors, meets ``hit(parent, node)`` at some step."""
-    flagged: set[int] = set()
-    for t in order[1:]:
-        parent = min(prev[t])
-        if parent in flagged or hit(parent, t):
-            flagged.add(t)
-    return [t for t in order if t in flagged]
-
-
 def cut_list(cuts: DataFrame) -> list[tuple]:
     """``(scenario, cut_node, cut_u, cut_v)`` of a table of scenarios, which has to be short: it goes to every task."""
     rows = cuts.select("scenario", *(F.col(c) if c in cuts.columns else F.lit(None).cast("long").alias(c) for c in ("cut_node", "cut_u", "cut_v"))).limit(MAX_CUTS + 1).collect()
@@ -125,37 +341,139 @@ def cut_list(cuts: DataFrame) -> list[tuple]:
     return sorted((tuple(r) for r in rows), key=lambda r: r[0])
 
 
-def reroutes(nodes: DataFrame, edges: DataFrame, cuts: DataFrame, paths: bool = False) -> DataFrame:
+def _detours(g: Graph, ids: np.ndarray, listed: list[tuple]) -> Iterator[tuple]:
+    """``(scenario, node, edge), [(s, targets, before, after), ...]`` of the sources of a batch that a scenario affects, scenario by
+    scenario: the targets ``> s``, as indices, whose path by smallest predecessors uses what is removed."""
+    base, found = g.table(ids), {}
+    for s, d in zip(ids.tolist(), by_source(base)):
+        root = int(np.searchsorted(g.nodes, s))
+        if g.positive:
+            parent = g.parents(d, root)[0]
+        else:
+            parent = np.full(len(d) + 1, len(d))
+            for t, by in g.dijkstra(s)[1].items():
+                parent[np.searchsorted(g.nodes, t)] = np.searchsorted(g.nodes, min(by)) if by else len(d)
+        for start in range(0, len(listed), 60):
+            some, flags = listed[start : start + 60], np.zeros(len(d), np.int64)
+            for k, (_, node, u, v) in enumerate(some):
+                if node is not None:
+                    x = int(g.index(np.array([node]))[0])
+                    if x >= 0 and x != root:
+                        flags[parent[:-1] == x] |= 1 << k
+                else:
+                    a, b = g.index(np.array([u, v])).tolist()
+                    for p, t in ((a, b), (b, a)):
+                        if min(a, b) >= 0 and parent[t] == p:
+                            flags[t] |= 1 << k
+            if flags.any():
+                flags = _down(parent, flags)
+                for k in range(len(some)):
+                    touched = np.flatnonzero(flags >> k & 1)
+                    touched = touched[g.nodes[touched] > s]
+                    if len(touched):
+                        found.setdefault(start + k, []).append((s, touched, d[touched]))
+    for k in sorted(found):
+        scenario, node, u, v = listed[k]
+        edge = None if node is not None else (u, v)
+        after = by_source(g.table(np.array([s for s, _, _ in found[k]]), node, edge))
+        yield (scenario, node, edge), [(s, t, was, now[t]) for (s, t, was), now in zip(found[k], after)]
+
+
+def reroutes(nodes: DataFrame, edges: DataFrame, cuts: DataFrame, paths: bool = False, first: int | None = None) -> DataFrame:
     """``scenario, s, t, before, after[, path_before, path_after]`` of the pairs ``s < t`` whose path uses what a scenario removes
     (a node inside it, or an edge); ``after`` is null where there is no way around.
 
     Each source is searched once as it is and once for each scenario that meets its tree of paths; pairs that are not affected
-    never leave the task.
+    never leave the task. ``first``: of the pairs with a way around, at least the ``first`` ones by scenario, source and target.
     """
     graph, listed = _sent(edges), cut_list(cuts)
+    names = ["scenario", "s", "t", "before", "after", *(["path_before", "path_after"] if paths else [])]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for s in map(int, frame.s):
-                dist, prev, order, _ = graph.value.dijkstra(s)
-                for scenario, node, u, v in listed:
-                    if node is not None:
-                        hit = lambda parent, t, x=node: parent == x and x != s  # noqa: E731, B023
-                    else:
-                        hit = lambda parent, t, pair=frozenset((u, v)): {parent, t} == pair
-                    touched = [t for t in _tree_flags(prev, order, hit) if t > s]
-                    if touched:
-                        after, back, _, _ = graph.value.dijkstra(s, node, None if node is not None else (u, v))
-                        out += [(scenario, s, t, dist[t], after.get(t), *([_path(prev, t), _path(back, t) if t in after else None] if paths else [])) for t in touched]
-            names = ["scenario", "s", "t", "before", "after", *(["path_before", "path_after"] if paths else [])]
-            yield pd.DataFrame(out, columns=names).astype({"scenario": "int64", "s": "int64", "t": "int64", "before": "float64", "after": "float64"})
+        g = graph.value
+        for ids in g.sources(frames, 2)[0]:
+            left = first
+            for (scenario, node, edge), rows in _detours(g, ids, listed):
+                for s, t, before, after in sorted(rows, key=lambda r: r[0]):
+                    if first is not None:
+                        way = np.flatnonzero(np.isfinite(after))[:left]
+                        t, before, after, left = t[way], before[way], after[way], left - len(way)
+                    out = pd.DataFrame({"scenario": scenario, "s": s, "t": g.nodes[t], "before": before, "after": np.where(np.isfinite(after), after, np.nan)})
+                    if paths and len(t):
+                        prev, back = g.dijkstra(s)[1], g.dijkstra(s, node, edge)[1]
+                        out["path_before"] = [_path(prev, x) for x in out["t"]]
+                        out["path_after"] = [_path(back, x) if x in back else None for x in out["t"]]
+                    if len(t):
+                        yield out[names]
+                    if left == 0:
+                        break
+                if left == 0:
+                    break
 
     schema = "scenario long, s long, t long, before double, after double" + (", path_before array<long>, path_after array<long>" if paths else "")
-    out = _spread(nodes.select(F.col("node_id").alias("s"))).mapInPandas(run, schema)
+    out = _dealt(nodes.select(F.col("node_id").alias("s")), graph).mapInPandas(run, schema)
     return out.withColumn("after", F.when(~F.isnan("after"), F.col("after")))
 
 
+def with_paths(rows: DataFrame, edges: DataFrame, cuts: DataFrame) -> DataFrame:
+    """A few rows of :func:`reroutes` with ``path_before, path_after``."""
+    graph, listed = _sent(edges), {r[0]: r[1:] for r in cut_list(cuts)}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for scenario, s, t in zip(frame["scenario"].tolist(), frame["s"].tolist(), frame["t"].tolist()):
+                node, u, v = listed[scenario]
+                back = graph.value.dijkstra(s, node, None if node is not None else (u, v))[1]
+                out.append((_path(graph.value.dijkstra(s)[1], t), _path(back, t) if t in back else None))
+            yield frame.assign(path_before=[x for x, _ in out], path_after=[x for _, x in out])
+
+    return rows.mapInPandas(run, "scenario long, s long, t long, before double, after double, path_before array<long>, path_after array<long>")
+
+
+def reroute_sums(nodes: DataFrame, edges: DataFrame, cuts: DataFrame) -> DataFrame:
+    """:func:`reroutes` summed by scenario and source: ``scenario, affected, reroutable, before, after, more, most, most_pct``; lengths are
+    of the pairs with a way around, ``more`` the increases."""
+    graph, listed = _sent(edges), cut_list(cuts)
+    names = ["scenario", "affected", "reroutable", "before", "after", "more", "most", "most_pct"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = graph.value
+        for ids in g.sources(frames, 2)[0]:
+            out = []
+            for (scenario, _, _), rows in _detours(g, ids, listed):
+                for _, t, before, after in rows:
+                    way = np.isfinite(after)
+                    x, y = before[way], after[way]
+                    most = ((y - x).max(), np.where(x > 0, (y - x) / np.where(x > 0, x, 1) * 100, 0.0).max()) if len(x) else (np.nan, np.nan)
+                    out.append((scenario, len(t), len(x), x.sum(), y.sum(), (y - x).sum(), *most))
+            yield pd.DataFrame(out, columns=names).astype({k: "int64" if k in names[:3] else "float64" for k in names})
+
+    out = _dealt(nodes.select(F.col("node_id").alias("s")), graph).mapInPandas(run, "scenario long, affected long, reroutable long, before double, after double, more double, most double, most_pct double")
+    return out.withColumns({c: F.when(F.col("reroutable") > 0, F.col(c)) for c in names[3:]})
+
+
+def increases(nodes: DataFrame, edges: DataFrame, cuts: DataFrame, ranks) -> dict[str, dict]:
+    """:func:`quantiles.order_statistics` of the increases, ``after - before``, of all pairs with a way around."""
+    graph, listed = _sent(edges), cut_list(cuts)
+
+    def count(wanted: dict | None) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            counted = quantiles.Counted(wanted)
+            for ids in graph.value.sources(frames, 2)[0]:
+                for _, rows in _detours(graph.value, ids, listed):
+                    for _, _, before, after in rows:
+                        way = np.isfinite(after)
+                        counted.add("more", after[way] - before[way])
+                        if counted.full:
+                            yield counted.take()
+            yield counted.take()
+
+        return _dealt(nodes.select(F.col("node_id").alias("s")), graph).mapInPandas(run, quantiles.SCHEMA)
+
+    return quantiles.order_statistics(count, ranks)
+
+
 def survival(nodes: DataFrame, edges: DataFrame, cuts: DataFrame) -> DataFrame:
     """A row per scenario and source: ``scenario, s, near, low, pairs, before, after, inverse``, and for scenario null the whole graph.
 
@@ -165,19 +483,21 @@ def survival(nodes: DataFrame, edges: DataFrame, cuts: DataFrame) -> DataFrame:
     graph, listed = _sent(edges), cut_list(cuts)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for s in map(int, frame.s):
-                base = graph.value.dijkstra(s)[0]
-                for scenario, node, u, v in [(None, None, None, None), *listed]:
-                    if node == s and node is not None:
-                        continue
-                    left = base if scenario is None else graph.value.dijkstra(s, node, None if u is None else (u, v))[0]
-                    ahead = [(base[t], d) for t, d in left.items() if t > s]
-                    out.append((scenario, s, len(left) - 1, min(left), len(ahead), sum(b for b, _ in ahead), sum(d for _, d in ahead), sum(1 / d for _, d in ahead)))
-            yield pd.DataFrame(out, columns=["scenario", "s", "near", "low", "pairs", "before", "after", "inverse"]).astype({"scenario": "Int64"})
-
-    return _spread(nodes.select(F.col("node_id").alias("s"))).mapInPandas(run, "scenario long, s long, near long, low long, pairs long, before double, after double, inverse double")
+        g = graph.value
+        batches, alone = g.sources(frames, 2)
+        out = [(k, s, 0, s, 0, 0.0, 0.0, 0.0) for s in alone for k, node, _, _ in [(None,) * 4, *listed] if node != s or k is None]
+        for ids in batches:
+            base = g.table(ids)
+            for scenario, node, u, v in [(None, None, None, None), *listed]:
+                kept = np.flatnonzero(ids != node) if node is not None else np.arange(len(ids))
+                left = base if scenario is None else g.table(ids[kept], node, None if u is None else (u, v))
+                for s, was, now in zip(ids[kept].tolist(), by_source(base[:, kept]), by_source(left)):
+                    there = np.flatnonzero(np.isfinite(now))
+                    ahead = there[g.nodes[there] > s]
+                    out.append((scenario, s, len(there) - 1, g.nodes[there[0]], len(ahead), was[ahead].sum(), now[ahead].sum(), (1 / now[ahead]).sum()))
+        yield pd.DataFrame(out, columns=["scenario", "s", "near", "low", "pairs", "before", "after", "inverse"]).astype({"scenario": "Int64", "s": "int64", "near": "int64", "low": "int64", "pairs": "int64", "before": "float64", "after": "float64", "inverse": "float64"})
+
+    return _dealt(nodes.select(F.col("node_id").alias("s")), graph).mapInPandas(run, "scenario long, s long, near long, low long, pairs long, before double, after double, inverse double")
 
 
 def efficiency(nodes: DataFrame, edges: DataFrame, connected: bool = False) -> DataFrame:
@@ -185,14 +505,15 @@ def efficiency(nodes: DataFrame, edges: DataFrame, connected: bool = False) -> D
     graph = _sent(edges)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for s in map(int, frame.s):
-                far = [d for t, d in graph.value.dijkstra(s)[0].items() if t != s and d > 0]
-                out.append((len(far), sum(far), sum(1 / d for d in far)))
-            yield pd.DataFrame(out, columns=["pairs", "dist", "inverse"]).astype({"pairs": "int64", "dist": "float64", "inverse": "float64"})
-
-    sums = _spread(nodes.select(F.col("node_id").alias("s"))).mapInPandas(run, "pairs long, dist double, inverse double")
+        batches, alone = graph.value.sources(frames)
+        out = [(0, 0.0, 0.0) for _ in alone]
+        for ids in batches:
+            for d in by_source(graph.value.table(ids)):
+                far = d[np.isfinite(d) & (d > 0)]
+                out.append((len(far), far.sum(), (1 / far).sum()))
+        yield pd.DataFrame(out, columns=["pairs", "dist", "inverse"]).astype({"pairs": "int64", "dist": "float64", "inverse": "float64"})
+
+    sums = _dealt(nodes.select(F.col("node_id").alias("s")), graph).mapInPandas(run, "pairs long, dist double, inverse double")
     one = sums.agg(F.count("*").alias("n"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.sum("dist").alias("a"), F.sum("inverse").alias("x"))
     all_pairs = F.col("n") * (F.col("n") - 1)
     pairs = F.when(F.lit(not connected) | (F.col("pairs") == all_pairs), F.col("pairs")).otherwise(F.raise_error(F.lit("the graph is not connected")).cast("long"))
@@ -214,8 +535,6 @@ def all_sources(nodes: DataFrame) -> DataFrame:
 
 def relaxed_distances(edges: DataFrame, sources: DataFrame, max_rounds: int = 1000) -> DataFrame:
     """``s, t, dist`` by rounds of joins, for graphs too large to send; as many rounds as the longest path has edges."""
-    from stradale.plans.staging import materialize
-
     both = edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), "length_m").unionAll(edges.select("dst", "src", "length_m"))
     known = materialize(sources.select(F.col("s"), F.col("s").alias("t"), F.lit(0.0).alias("dist")), "dist")
     sign = None
@@ -242,10 +561,12 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     graph = _sent(edges)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = graph.value
+        by_node, by_arc = np.zeros(len(g.nodes)), np.zeros(len(g.to))
         total: dict[tuple[int, int | None], float] = {}
-        for frame in frames:
-            for s in frame.s:
-                _, prev, order, ways = graph.value.dijkstra(int(s))
+        for ids in g.sources(frames)[0]:
+            for s in _tree_loads(g, ids, by_node, by_arc):
+                _, prev, order, ways = g.dijkstra(s)
                 load = dict.fromkeys(order, 0.0)
                 for v in reversed(order):
                     for u in prev[v]:
@@ -255,9 +576,14 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
                     if v != s:
                         total[v, None] = total.get((v, None), 0.0) + load[v]
         yield pd.DataFrame([(*k, x) for k, x in total.items()], columns=["u", "v", "x"]).astype({"u": "int64", "v": "Int64", "x": "float64"})
+        some = np.flatnonzero(by_node)
+        yield pd.DataFrame({"u": g.nodes[some], "v": pd.array([None] * len(some), "Int64"), "x": by_node[some]})
+        some = np.flatnonzero(by_arc)
+        u, v = g.nodes[g.tail[some]], g.to[some]
+        yield pd.DataFrame({"u": np.minimum(u, v), "v": pd.array(np.maximum(u, v), "Int64"), "x": by_arc[some]})
 
     n = F.broadcast(nodes.agg(F.count("*").cast("double").alias("n")))
-    parts = _spread(nodes.select(F.col("node_id").alias("s"))).mapInPandas(run, "u long, v long, x double").groupBy("u", "v").agg(F.sum("x").alias("x"))
+    parts = materialize(_dealt(nodes.select(F.col("node_id").alias("s")), graph).mapInPandas(run, "u long, v long, x double").groupBy("u", "v").agg(F.sum("x").alias("x")), "loads")
     scale = F.when(F.col("n") > 2, 1 / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(1.0)
     by_node = nodes.select("node_id").join(parts.where("v is null").select(F.col("u").alias("node_id"), "x"), "node_id", "left").crossJoin(n).select("node_id", (F.coalesce("x", F.lit(0.0)) * scale).alias("bc"))
     by_edge = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).join(parts.where("v is not null").withColumnsRenamed({"u": "src", "v": "dst"}), ["src", "dst"], "left").crossJoin(n)

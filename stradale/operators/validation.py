@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stradale.functions.geo import _inverse, with_geodesic
+from stradale.operators import quantiles
 from stradale.operators.ordinal import numbered
+from stradale.operators.paths import _dealt, _sent, by_source
 from stradale.plans.staging import materialize
 
 
@@ -118,7 +122,7 @@ STRIDES = (1_000_003, 1_000_033, 1_000_037, 1_000_039)
 
 def path_errors(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """``s, t, length_m, reference_m, abs_error_m, error_pct`` of pairs with both paths; empty references are left out."""
-    both = ours.where("s < t").select("s", "t", F.col("dist").alias("length_m")).join(theirs.select("s", "t", F.col("dist").alias("reference_m")), ["s", "t"]).where("reference_m > 0")
+    both = ours.hint("merge").where("s < t").select("s", "t", F.col("dist").alias("length_m")).join(theirs.select("s", "t", F.col("dist").alias("reference_m")), ["s", "t"]).where("reference_m > 0")
     error = F.abs(F.col("length_m") - F.col("reference_m"))
     return both.withColumns({"abs_error_m": error, "error_pct": error / F.col("reference_m") * 100})
 
@@ -128,6 +132,67 @@ def error_summary(errors: DataFrame) -> DataFrame:
     return errors.agg(F.count("*").alias("pairs"), r(F.avg, "abs_error_m", "mean_abs_m"), r(F.median, "abs_error_m", "median_abs_m"), r(F.avg, "error_pct", "mean_pct"), r(F.median, "error_pct", "median_pct"), r(F.max, "error_pct", "max_pct"), r(F.avg, "length_m", "mean_length_m"), r(F.avg, "reference_m", "mean_reference_m"))
 
 
+def _both_ways(nodes: DataFrame, edges: DataFrame, other: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``run`` over an iterator of ``s, t, length_m, reference_m``: a source, and arrays of the targets ``> s`` that both networks reach
+    by paths with a length in the second. Both networks are sent; a task searches some sources in both, so no pairs are joined."""
+    ours, theirs = _sent(edges), _sent(other)
+
+    def pairs(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        a, b = ours.value, theirs.value
+        ids, at, there = np.intersect1d(a.nodes, b.nodes, return_indices=True)
+        for some in a.sources(frames, 3)[0]:
+            some = some[np.isin(some, ids)]
+            if len(some):
+                for s, x, y in zip(some.tolist(), by_source(a.table(some)), by_source(b.table(some))):
+                    k = int(np.searchsorted(ids, s, "right"))
+                    x, y = x[at[k:]], y[there[k:]]
+                    good = np.isfinite(x) & np.isfinite(y) & (y > 0)
+                    yield s, ids[k:][good], x[good], y[good]
+
+    return _dealt(nodes.select(F.col("node_id").alias("s")), ours).mapInPandas(lambda frames: run(pairs(frames)), schema)
+
+
+def network_errors(nodes: DataFrame, edges: DataFrame, other: DataFrame) -> DataFrame:
+    """As :func:`path_errors` of the distances between all nodes of two networks; a row per pair leaves the task that searched its source."""
+
+    def run(pairs: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        for s, t, x, y in pairs:
+            if len(t):
+                yield pd.DataFrame({"s": s, "t": t, "length_m": x, "reference_m": y, "abs_error_m": np.abs(x - y), "error_pct": np.abs(x - y) / y * 100})
+
+    return _both_ways(nodes, edges, other, run, "s long, t long, length_m double, reference_m double, abs_error_m double, error_pct double")
+
+
+def network_error_summary(nodes: DataFrame, edges: DataFrame, other: DataFrame) -> DataFrame:
+    """As :func:`error_summary` of :func:`network_errors`: sums, maxima and counts leave the tasks, and the medians are exact."""
+    spark, plain = nodes.sparkSession, ("length_m", "reference_m")
+
+    def count(wanted: dict | None) -> DataFrame:
+        def run(pairs: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+            counted, n, sums = quantiles.Counted(wanted), 0, np.zeros(2)
+            for _, _, x, y in pairs:
+                error = np.abs(x - y)
+                counted.add("abs_error_m", error)
+                counted.add("error_pct", error / y * 100)
+                n, sums = n + len(x), sums + (x.sum(), y.sum())
+                if counted.full:
+                    yield counted.take()
+            yield counted.take()
+            if wanted is None and n:
+                yield pd.DataFrame({"name": plain, "key": 0, "n": n, "total": sums, "most": 0.0})
+
+        return _both_ways(nodes, edges, other, run, quantiles.SCHEMA)
+
+    found = quantiles.order_statistics(count, lambda name, n: [] if name in plain else quantiles.middle(n))
+    mean = lambda name: found[name]["total"] / found[name]["n"]
+    schema = "pairs long, " + ", ".join(f"{c} double" for c in ("mean_abs_m", "median_abs_m", "mean_pct", "median_pct", "max_pct", "mean_length_m", "mean_reference_m"))
+    row = (0, *[None] * 7)
+    if found:
+        row = (found["length_m"]["n"], mean("abs_error_m"), quantiles.median(found["abs_error_m"]), mean("error_pct"), quantiles.median(found["error_pct"]), found["error_pct"]["most"], mean("length_m"), mean("reference_m"))
+    one = spark.createDataFrame([row], schema)
+    return one.select("pairs", *(F.round(c, 6).alias(c) for c in one.columns[1:]))
+
+
 def tag_histogram(rows: DataFrame, column: str) -> DataFrame:
     """Counts of the values of a multi-valued attribute, nulls left out."""
     return rows.select(F.explode(column).alias("tag")).where("tag IS NOT NULL").groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag")

@@ -26,7 +26,8 @@ TOP = 10
 def _net(spark, sf_dir):
     """The largest component of the supplier lattice: path analyses are of connected graphs. Written once, as they read it often."""
     nodes, edges = fx.network(spark, sf_dir, "net")
-    return graph.largest_component(nodes, materialize(edges, "edges"))
+    nodes, edges = graph.largest_component(nodes, materialize(edges, "edges"))
+    return materialize(nodes, "nodes"), materialize(edges, "edges")
 
 
 def edge_length_summary(spark, sf_dir):
@@ -122,42 +123,49 @@ def edge_betweenness_rank(spark, sf_dir):
     return paths.ranked(paths.betweenness(*_net(spark, sf_dir))[1], "src", "dst", top=TOP).select("rank", "src", "dst", "bc")
 
 
+def _central(by_node):
+    return by_node.agg(F.count("*").alias("nodes"), F.round(F.max("bc"), 9).alias("max_bc"), F.round(F.avg("bc"), 9).alias("mean_bc"))
+
+
 def centrality_summary(spark, sf_dir):
-    return paths.betweenness(*_net(spark, sf_dir))[0].agg(F.count("*").alias("nodes"), F.round(F.max("bc"), 9).alias("max_bc"), F.round(F.avg("bc"), 9).alias("mean_bc"))
+    return _central(paths.betweenness(*_net(spark, sf_dir))[0])
 
 
 def bridge_edges(spark, sf_dir):
     return paths.cut_edges(*_net(spark, sf_dir)).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
 
 
-def _gatekeepers(nodes, edges):
-    return paths.ranked(paths.betweenness(nodes, edges)[0], "node_id", top=TOP).where("gatekeeper").select("node_id")
+def _gatekeepers(by_node):
+    return paths.ranked(by_node, "node_id", top=TOP).where("gatekeeper").select("node_id")
 
 
 def node_failure_scenarios(spark, sf_dir):
     nodes, edges = _net(spark, sf_dir)
-    return failures.node_failures(nodes, edges, _gatekeepers(nodes, edges))
+    return failures.node_failures(nodes, edges, _gatekeepers(paths.betweenness(nodes, edges)[0]))
+
+
+def _node_cuts(gatekeepers):
+    return gatekeepers.select(F.col("node_id").alias("scenario"), F.col("node_id").alias("cut_node"))
 
 
 def node_rerouting(spark, sf_dir):
     nodes, edges = _net(spark, sf_dir)
-    cuts = _gatekeepers(nodes, edges).select(F.col("node_id").alias("scenario"), F.col("node_id").alias("cut_node"))
-    return failures.reroute_summary(paths.reroutes(nodes, edges, cuts))
+    return failures.reroute_totals(nodes, edges, _node_cuts(_gatekeepers(paths.betweenness(nodes, edges)[0])))
 
 
-def _critical(nodes, edges):
-    return failures.number_edges(paths.ranked(paths.betweenness(nodes, edges)[1], "src", "dst", top=TOP).where("gatekeeper"))
+def _critical(by_edge):
+    return failures.number_edges(paths.ranked(by_edge, "src", "dst", top=TOP).where("gatekeeper"))
 
 
 def edge_failure_rerouting(spark, sf_dir):
     nodes, edges = _net(spark, sf_dir)
-    return failures.reroute_summary(paths.reroutes(nodes, edges, _critical(nodes, edges)))
+    return failures.reroute_totals(nodes, edges, _critical(paths.betweenness(nodes, edges)[1]))
 
 
 def sample_routes(spark, sf_dir):
     """The first ten rerouted pairs of the critical edges, with the nodes on their paths."""
     nodes, edges = _net(spark, sf_dir)
-    rows = failures.sample_routes(paths.reroutes(nodes, edges, _critical(nodes, edges), paths=True))
+    rows = failures.first_routes(nodes, edges, _critical(paths.betweenness(nodes, edges)[1]))
     return rows.select("scenario", "s", "t", *(F.round(c, 6).alias(c) for c in ("before", "after", "increase_m")), F.element_at("path_after", 1).alias("first"), F.element_at("path_after", -1).alias("last"), F.size("path_before").cast("long").alias("nodes_before"))
 
 
@@ -317,18 +325,18 @@ def nearest_snap(spark, sf_dir):
     return validation.nearest(points, nodes).select("point_id", "node_id", F.round("dist", 6).alias("dist"))
 
 
-def _path_errors(spark, sf_dir):
+def _two_networks(spark, sf_dir):
     nodes, edges = _net(spark, sf_dir)
-    other = edges.withColumn("length_m", F.col("length_m") * (1 + (F.col("src") % 7) * F.expr("1e-2")))
-    return validation.path_errors(*(paths.distances(e, paths.all_sources(nodes)) for e in (edges, other)))
+    return nodes, edges, edges.withColumn("length_m", F.col("length_m") * (1 + (F.col("src") % 7) * F.expr("1e-2")))
 
 
 def od_path_error(spark, sf_dir):
-    return _path_errors(spark, sf_dir).select("s", "t", *(F.round(c, 6).alias(c) for c in ("length_m", "reference_m", "abs_error_m", "error_pct")))
+    rows = validation.network_errors(*_two_networks(spark, sf_dir))
+    return rows.select("s", "t", *(F.round(c, 6).alias(c) for c in ("length_m", "reference_m", "abs_error_m", "error_pct")))
 
 
 def path_error_summary(spark, sf_dir):
-    return validation.error_summary(_path_errors(spark, sf_dir))
+    return validation.network_error_summary(*_two_networks(spark, sf_dir))
 
 
 def od_sample(spark, sf_dir):
@@ -342,11 +350,14 @@ def highway_histogram(spark, sf_dir):
 
 def results_summary(spark, sf_dir):
     """Nine reports as one nested document, its figures as columns; parts that are missing are null."""
-    failed = node_failure_scenarios(spark, sf_dir).agg(F.count("*").alias("scenarios"), F.round(F.avg("resilience_index"), 6).alias("mean_resilience"))
-    detours = lambda rows: rows.agg(F.sum("affected").alias("affected"), F.sum("reroutable").alias("reroutable"))
+    nodes, edges = _net(spark, sf_dir)
+    by_node, by_edge = paths.betweenness(nodes, edges)
+    gates = materialize(_gatekeepers(by_node), "gatekeepers")
+    failed = failures.node_failures(nodes, edges, gates).agg(F.count("*").alias("scenarios"), F.round(F.avg("resilience_index"), 6).alias("mean_resilience"))
+    detours = lambda cuts: failures.reroute_totals(nodes, edges, cuts).agg(F.sum("affected").alias("affected"), F.sum("reroutable").alias("reroutable"))
     reports = {
-        "network": edge_length_summary(spark, sf_dir), "baseline": avg_path_efficiency(spark, sf_dir), "tiles": class_balance(spark, sf_dir), "healing": healing_report(spark, sf_dir), "centrality": centrality_summary(spark, sf_dir),
-        "node_failures": failed, "node_detours": detours(node_rerouting(spark, sf_dir)), "edge_detours": detours(edge_failure_rerouting(spark, sf_dir)), "validation": path_error_summary(spark, sf_dir),
+        "network": edge_length_summary(spark, sf_dir), "baseline": paths.efficiency(nodes, edges, connected=True), "tiles": class_balance(spark, sf_dir), "healing": healing_report(spark, sf_dir), "centrality": _central(by_node),
+        "node_failures": failed, "node_detours": detours(_node_cuts(gates)), "edge_detours": detours(_critical(by_edge)), "validation": path_error_summary(spark, sf_dir),
     }
     one = spark.range(1)
     for name, report in reports.items():
