@@ -93,8 +93,8 @@ class Graph:
             return out
         at = np.searchsorted(self.nodes, sources)
         middle = len(sources) // 2
-        if self.rank is None or self.rank[at[middle]] > len(sources) // 2:
-            self._order_from(int(sources[middle]))
+        if self.rank is None or self.ordered != (node, edge) or self.rank[at[middle]] > len(sources) // 2:
+            self._order_from(int(sources[middle]), node, edge)
         gone = -1 if node is None else int(self.index(np.array([node]))[0])
         cut = set() if edge is None else {tuple(self.index(np.array(x)).tolist()) for x in (edge, edge[::-1])}
         rank, ranked, met = self.rank, self.ranked, set()
@@ -148,9 +148,10 @@ class Graph:
                     heapq.heappush(heap, (d + w, v))
         return dist
 
-    def _order_from(self, source: int) -> None:
+    def _order_from(self, source: int, node: int | None, edge: tuple[int, int] | None) -> None:
         """Ranks of the nodes by their distance from a source; those it does not reach come last."""
-        dist, far = self.dijkstra(source)[0], np.full(len(self.nodes), np.inf)
+        self.ordered = node, edge
+        dist, far = self.dijkstra(source, node, edge)[0], np.full(len(self.nodes), np.inf)
         far[np.searchsorted(self.nodes, list(dist))] = list(dist.values())
         ranked = np.argsort(far, kind="stable")
         rank = np.empty(len(ranked), np.int64)
