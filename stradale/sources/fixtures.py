@@ -78,14 +78,20 @@ def for_duck(text: str) -> str:
     return text.format(**_DUCK).replace(" DIV ", "//")
 
 
+def _merged(text: str, start: str, *names: str) -> str:
+    """``text`` with the joins of the selects that begin with ``start`` as merges: what ``explode`` makes of few rows is taken for as few
+    rows, and would be broadcast."""
+    return text.replace(f"SELECT {start}", f"SELECT /*+ MERGE({', '.join(names)}) */ {start}")
+
+
 def skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables(spark, sf_dir, "customer")
-    return spark.sql(for_spark(SKELETON))
+    return spark.sql(_merged(for_spark(SKELETON), "a.c_custkey", "a", "b"))
 
 
 def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     skeleton(spark, sf_dir).createOrReplaceTempView("skel")
-    return spark.sql(for_spark(MASK))
+    return spark.sql(_merged(for_spark(MASK), "g.scene", "g", "t"))
 
 
 SKELETON_CTE = f"skel AS ({for_duck(SKELETON)})"
