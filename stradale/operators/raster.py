@@ -22,24 +22,25 @@ def tile_windows(scenes: DataFrame, size: int = 256, stride: int = 192) -> DataF
 
 
 def cut_tiles(pixels: DataFrame, windows: DataFrame, size: int = 256, stride: int = 192) -> DataFrame:
-    """The pixels of every window that covers them: a pixel is sent to its few windows by arithmetic, not by a range join."""
+    """The pixels of every window that covers them: a pixel is sent to its few windows by arithmetic, not by a range join. Tables of
+    pixels are merged: the sizes that Spark takes rows from ``explode`` to have are far too small, and it would broadcast them."""
     reach = (size - 1) // stride
     first = lambda c: F.sequence(F.greatest(F.floor(F.col(c) / stride) - reach, F.lit(0)), F.floor(F.col(c) / stride))
     at = pixels.withColumn("row0", F.explode(first("r"))).withColumn("col0", F.explode(first("c")))
     at = at.withColumns({"row0": F.col("row0") * stride, "col0": F.col("col0") * stride}).where((F.col("r") < F.col("row0") + size) & (F.col("c") < F.col("col0") + size))
-    return at.join(windows, ["scene", "row0", "col0"])
+    return at.hint("merge").join(windows, ["scene", "row0", "col0"])
 
 
 def stitch(tiles: DataFrame, grid: DataFrame) -> DataFrame:
     """Mean of overlapping tile values at each pixel of ``grid(scene, r, c)``; 0 where no tile reaches."""
     mean = tiles.groupBy("scene", "r", "c").agg(F.avg(F.col("p").cast("double")).alias("p"), F.count("*").alias("n"))
-    return grid.join(mean, ["scene", "r", "c"], "left").select("scene", "r", "c", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return grid.join(mean.hint("merge"), ["scene", "r", "c"], "left").select("scene", "r", "c", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def mask_nodata(pixels: DataFrame, valid: DataFrame) -> DataFrame:
     """``p`` is 0 where no band has data."""
     seen = valid.select("scene", "r", "c", F.lit(True).alias("_v"))
-    return pixels.join(seen, ["scene", "r", "c"], "left").withColumn("p", F.when(F.col("_v"), F.col("p")).otherwise(0.0)).drop("_v")
+    return pixels.join(seen.hint("merge"), ["scene", "r", "c"], "left").withColumn("p", F.when(F.col("_v"), F.col("p")).otherwise(0.0)).drop("_v")
 
 
 def dilate(pixels: DataFrame, radius: int, disk: bool = False, bounds: DataFrame | None = None) -> DataFrame:

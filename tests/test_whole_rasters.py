@@ -11,7 +11,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["skeletonize"])
+@pytest.mark.parametrize("name", ["skeletonize", "stitch_mosaic"])
 def test_pixels_of_masks_are_not_broadcast(spark, name):
     df = QUERIES[name](spark, SF)
     assert "BroadcastHashJoin" not in plan(df) and df.count() > 0
