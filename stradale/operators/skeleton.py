@@ -36,6 +36,11 @@ class Parts:
     cross: DataFrame
 
 
+def _merged(table: DataFrame) -> DataFrame:
+    """A table of pixels, nodes or corridors, to be merged: by the size of its compressed file it might be broadcast."""
+    return table.hint("merge")
+
+
 def _parts(pixels: DataFrame) -> Parts:
     scenes = numbered(pixels.select("scene").distinct(), "scene", name="_s")
     inside = (F.col("r") >= 0) & (F.col("c") >= 0) & (F.col("r") < STRIDE - 1) & (F.col("c") < STRIDE - 1)
@@ -44,31 +49,31 @@ def _parts(pixels: DataFrame) -> Parts:
     every = materialize(every, "pixels")
     around = F.array(*(F.lit(dr * STRIDE + dc).cast("long") for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc))
     near = every.select("id", F.explode(around).alias("step")).select("id", (F.col("id") + F.col("step")).alias("id2"))
-    near = materialize(near.join(every.select(F.col("id").alias("id2")), "id2").select("id", "id2"), "touching")
+    near = materialize(near.join(_merged(every.select(F.col("id").alias("id2"))), "id2").select("id", "id2"), "touching")
     degree = near.groupBy("id").agg(F.count("*").alias("degree"))
-    kinds = every.join(degree, "id", "left").withColumn("kind", F.when(F.col("degree") == 2, _INNER).when(F.col("degree").isNotNull(), _NODE).otherwise(0)).drop("degree")
+    kinds = every.join(_merged(degree), "id", "left").withColumn("kind", F.when(F.col("degree") == 2, _INNER).when(F.col("degree").isNotNull(), _NODE).otherwise(0)).drop("degree")
     # a pixel without neighbours is neither
     kinds = materialize(kinds.where("kind > 0"), "kinds")
     kind = kinds.select("id", "kind")
-    alike = near.where("id < id2").join(kind, "id").join(kind.select(F.col("id").alias("id2"), F.col("kind").alias("kind2")), "id2").where("kind = kind2")
+    alike = near.where("id < id2").join(_merged(kind), "id").join(_merged(kind.select(F.col("id").alias("id2"), F.col("kind").alias("kind2"))), "id2").where("kind = kind2")
     links = alike.select("id", "id2").unionAll(kind.select("id", F.col("id").alias("id2")))
     label = connected_components(links, "id", "id2", few=FEW).select(F.col("vertex").alias("id"), F.col("component").alias("label"))
-    labelled = materialize(kinds.join(label, "id"), "labelled")
+    labelled = materialize(kinds.join(_merged(label), "id"), "labelled")
     discard(every), discard(kinds)
     clusters = labelled.where(F.col("kind") == _NODE)
     ids = clusters.select("scene", "label").distinct().withColumn("node_id", F.row_number().over(W.partitionBy("scene").orderBy("label")).cast("long"))
-    member = materialize(clusters.join(ids, ["scene", "label"]).select("id", "scene", "node_id"), "member")
+    member = materialize(clusters.join(_merged(ids), ["scene", "label"]).select("id", "scene", "node_id"), "member")
     inner = labelled.where(F.col("kind") == _INNER).select(F.col("id").alias("id2"), "label")
-    cross = materialize(near.join(member, "id").join(inner, "id2").select("scene", "node_id", "id", "id2", "label"), "cross")
+    cross = materialize(near.join(_merged(member), "id").join(_merged(inner), "id2").select("scene", "node_id", "id", "id2", "label"), "cross")
     discard(near)
     return Parts(labelled, member, cross)
 
 
 def _nodes(parts: Parts) -> DataFrame:
-    at = parts.member.join(parts.pixels.select("id", "r", "c"), "id")
+    at = parts.member.join(_merged(parts.pixels.select("id", "r", "c")), "id")
     nodes = at.groupBy("scene", "node_id").agg(F.count("*").alias("pixels"), F.avg("r").alias("row"), F.avg("c").alias("col"))
     outside = parts.cross.groupBy("scene", "node_id").agg(F.count_distinct("id2").alias("degree"))
-    nodes = nodes.join(outside, ["scene", "node_id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
+    nodes = nodes.join(_merged(outside), ["scene", "node_id"], "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("long")))
     return nodes.withColumn("node_type", node_type(F.col("degree")))
 
 
@@ -79,13 +84,13 @@ def node_clusters(pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
     pixels outside that touch it.
     """
     parts = _parts(pixels)
-    return _nodes(parts), parts.member.join(parts.pixels.select("id", "r", "c"), "id").select("scene", "r", "c", "node_id")
+    return _nodes(parts), parts.member.join(_merged(parts.pixels.select("id", "r", "c")), "id").select("scene", "r", "c", "node_id")
 
 
 def _corridors(parts: Parts) -> DataFrame:
     ends = parts.cross.groupBy("scene", "label").agg(F.min("node_id").alias("start_node"), F.max("node_id").alias("end_node"), F.min(F.struct("node_id", "id2"))["id2"].alias("first")).where("start_node <> end_node")
     size = parts.pixels.where(F.col("kind") == _INNER).groupBy("label").agg(F.count("*").alias("pixels"), F.collect_list("id").alias("ids"))
-    return ends.join(size, "label")
+    return ends.join(_merged(size), "label")
 
 
 def corridors(pixels: DataFrame) -> DataFrame:
@@ -132,7 +137,7 @@ def graph_edges(pixels: DataFrame, transform: tuple[float, float, float, float,
     x, y = pixel_centre(F.col("row"), F.col("col"), transform)
     nodes = _nodes(parts).select("scene", "node_id", x.alias("x"), y.alias("y"), "node_type", "degree")
     end = lambda k: nodes.select("scene", F.col("node_id").alias(("start_node", "end_node")[k - 1]), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
-    rows = _corridors(parts).join(end(1), ["scene", "start_node"]).join(end(2), ["scene", "end_node"])
+    rows = _corridors(parts).join(_merged(end(1)), ["scene", "start_node"]).join(_merged(end(2)), ["scene", "end_node"])
     drawn = rows.withColumn("g", F.pandas_udf(line, "coordinates array<array<double>>, length_m double")("ids", "first", "x1", "y1", "x2", "y2"))
     drawn = materialize(drawn.select("scene", "start_node", "end_node", F.col("pixels").alias("pixel_count"), "g.length_m", "g.coordinates", "label"), "lines").where("length_m > 0")
     order = F.row_number().over(W.partitionBy("scene").orderBy("start_node", "end_node", "label")) - 1
