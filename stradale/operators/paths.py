@@ -86,6 +86,8 @@ class Graph:
         kept while it lies in the middle (an order from elsewhere would be right, but slow).
         """
         out = np.full((len(self.nodes), len(sources)), np.inf)
+        if not len(sources):
+            return out
         if not self.positive:
             for k, s in enumerate(sources.tolist()):
                 dist = self.dijkstra(s, node, edge)[0]
@@ -203,11 +205,17 @@ class Graph:
 
 
 def _sent(edges: DataFrame):
-    """The graph, sent to every task: at most 32 bytes for each of ``MAX_EDGES`` edges. Edges without an end or a length are left out."""
+    """The graph, sent to every task, once for each table that is written: at most 32 bytes for each of ``MAX_EDGES`` edges. Edges without
+    an end or a length are left out."""
+    if "sent" in vars(edges):
+        return edges.sent
     if edges.count() > MAX_EDGES:
         raise ValueError(f"more than {MAX_EDGES} edges; use relaxed_distances")
     rows = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), F.col("length_m").cast("double")).dropna().toArrow()
-    return edges.sparkSession.sparkContext.broadcast(Graph(*(c.to_numpy() for c in rows.columns)))
+    graph = edges.sparkSession.sparkContext.broadcast(Graph(*(c.to_numpy() for c in rows.columns)))
+    if "staged_path" in vars(edges):  # its rows stay as they are
+        edges.sent = graph
+    return graph
 
 
 def _spread(sources: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stradale.functions import affine, scalars
 from stradale.functions.geo import angular_difference, with_geodesic
@@ -359,9 +360,9 @@ def results_summary(spark, sf_dir):
         "network": edge_length_summary(spark, sf_dir), "baseline": paths.efficiency(nodes, edges, connected=True), "tiles": class_balance(spark, sf_dir), "healing": healing_report(spark, sf_dir), "centrality": _central(by_node),
         "node_failures": failed, "node_detours": detours(_node_cuts(gates)), "edge_detours": detours(_critical(by_edge)), "validation": path_error_summary(spark, sf_dir),
     }
-    one = spark.range(1)
-    for name, report in reports.items():
-        one = one.join(report.limit(1).select(F.struct("*").alias(name)), F.lit(True), "left")
+    # a row each, told one after the other: in one plan the driver would hold the broadcasts of all nine at once
+    kinds = T.StructType([T.StructField(name, report.schema) for name, report in reports.items()])
+    one = spark.createDataFrame([tuple(report.first() for report in reports.values())], kinds)
     told = ("network.edges", "network.total_length_m", "baseline.n", "baseline.avg_path_m", "baseline.efficiency_all", "tiles.road_fraction", "healing.components_before", "healing.components_after", "healing.bridges", "centrality.max_bc", "node_failures.scenarios", "node_failures.mean_resilience")
     return one.select(*told, F.col("node_detours.affected").alias("node_affected"), F.col("node_detours.reroutable").alias("node_reroutable"), F.col("edge_detours.affected").alias("edge_affected"), F.col("edge_detours.reroutable").alias("edge_reroutable"), "validation.mean_abs_m", "validation.max_pct")
 

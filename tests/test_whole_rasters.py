@@ -25,3 +25,8 @@ def test_pixels_of_skeletons_are_not_broadcast(spark, monkeypatch):
     assert QUERIES["graph_edges"](spark, SF).count() > 0
     assert set(seen) == {"pixels", "touching", "kinds", "labelled", "member", "cross", "lines"}
     assert all("SortMergeJoin" in p and "BroadcastHashJoin" not in p for name, p in seen.items() if name != "pixels")
+
+
+def test_reports_are_told_one_after_the_other(spark):
+    df = QUERIES["results_summary"](spark, SF)
+    assert "Join" not in plan(df) and df.count() == 1

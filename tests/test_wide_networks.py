@@ -73,3 +73,8 @@ def test_totals_of_reroutes_and_their_increases(spark):
     more = sorted(r.after - r.before for r in routes.where("after is not null").collect())
     got = paths.increases(nodes, edges, cuts, lambda _, n: [0, n // 3, n - 1])["more"]
     assert got["n"] == len(more) > 100 and [got["at"][k] for k in (0, len(more) // 3, len(more) - 1)] == [more[0], more[len(more) // 3], more[-1]]
+
+
+def test_a_batch_may_hold_only_the_node_that_is_removed(spark):
+    graph = paths.Graph(*(np.array(x) for x in zip(*strip(40)[1])))
+    assert graph.table(graph.nodes[:0], 5).shape == (len(graph.nodes), 0)
