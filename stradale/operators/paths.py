@@ -37,6 +37,7 @@ class Graph:
         self.start = np.append(start, len(u))
         self.known: dict[int, list[tuple[int, float]]] = {}
         self.steps: dict[int, list[tuple[int, float]]] = {}
+        self.sided: dict[tuple[int, int], tuple | None] = {}
         self.rank: list[int] | None = None
         self.positive = bool((np.isfinite(self.length) & (self.length > 0)).all())
         self.place = self._places()
@@ -165,6 +166,25 @@ class Graph:
         x = d[self.tail] + self.length
         return np.flatnonzero((x <= d[self.head] + 1e-12) & np.isfinite(x))
 
+    def sides(self, u: int, v: int) -> tuple | None:
+        """``sides, w, slack`` of the edge between two nodes: the indices, in order, of the nodes whose shortest paths may enter it at ``u``
+        and at ``v``, each with their distances to that end; its length; and by how much, at most, two ways of one length differ by rounding.
+        None where there is no such edge, or it is so short that rounding hides it."""
+        if (u, v) not in self.sided:
+            if len(self.sided) * len(self.nodes) >= HELD // 4:
+                self.sided.clear()
+            a, b = self.index(np.array([u, v])).tolist()
+            arcs = np.flatnonzero((self.tail == a) & (self.head == b)) if self.positive and min(a, b) >= 0 else []
+            self.sided[u, v] = None
+            if len(arcs):
+                d, w = self.table(np.array([u, v])).T, float(self.length[arcs].min())
+                there = np.isfinite(d).all(axis=0)
+                slack = 4 * len(self.nodes) * np.finfo(float).eps * (float(d[:, there].max()) + w)
+                entered = [np.flatnonzero(there & (x + w <= y + slack)) for x, y in (d, d[::-1])]
+                if w > 2 * slack:
+                    self.sided[u, v] = [(k, x[k]) for k, x in zip(entered, d)], w, slack
+        return self.sided[u, v]
+
     def parents(self, d: np.ndarray, root: int) -> tuple[np.ndarray, np.ndarray]:
         """The nodes before each one, the smallest of several (where there is none: the number of nodes, which follows itself), and the tight arcs."""
         arcs, out = self.tight(d), np.full(len(d) + 1, len(d))
@@ -462,23 +482,75 @@ def reroute_sums(nodes: DataFrame, edges: DataFrame, cuts: DataFrame) -> DataFra
     return out.withColumns({c: F.when(F.col("reroutable") > 0, F.col(c)) for c in names[3:]})
 
 
+def _crossing(g: Graph, ids: np.ndarray, sides: list) -> Iterator[tuple]:
+    """Of each side of an edge (:meth:`Graph.sides`) the sources, as indices, with targets ``> s`` on the other side; and both sides."""
+    at = g.index(ids)
+    for (own, near), (other, far) in (sides, sides[::-1]):
+        some = own[: np.searchsorted(own, other[-1])] if len(other) else own[:0]
+        yield at[np.isin(at, some)], (own, near), (other, far)
+
+
+def _increases(g: Graph, ids: np.ndarray, listed: list[tuple]) -> Iterator[np.ndarray]:
+    """``after - before`` of the pairs with a way around that :func:`_detours` tells of a batch.
+
+    A path over an edge is as long as the distances of its ends tell, so one search without the edge tells whether a pair needs it, and
+    only sources on one side of it are searched. Sources of which some pair has two ways of one length are left to :func:`_detours`.
+    """
+    plain = []
+    for cut in listed:
+        known = g.sides(*cut[2:]) if cut[1] is None else None
+        if known is None:
+            plain.append(cut)
+            continue
+        (sides, w, slack), alike = known, []
+        for at, (own, near), (other, far) in _crossing(g, ids, sides):
+            start = near[np.searchsorted(own, at)] + w
+            for k, x, now in zip(at.tolist(), start.tolist(), by_source(g.table(g.nodes[at], None, cut[2:]))):
+                ahead = int(np.searchsorted(other, k))
+                more = now[other[ahead:]] - (x + far[ahead:])
+                longer = more > slack
+                if (more[~longer] >= -slack).any():
+                    alike.append(k)
+                else:
+                    yield more[longer & (more < np.inf)]
+        yield from _plain_increases(g, g.nodes[alike], [cut])
+    yield from _plain_increases(g, ids, plain)
+
+
+def _plain_increases(g: Graph, ids: np.ndarray, listed: list[tuple]) -> Iterator[np.ndarray]:
+    for some in np.array_split(ids, 2) if listed else ():  # two tables are held
+        for _, rows in _detours(g, some, listed) if len(some) else ():
+            for _, _, before, after in rows:
+                way = np.isfinite(after)
+                yield after[way] - before[way]
+
+
 def increases(nodes: DataFrame, edges: DataFrame, cuts: DataFrame, ranks) -> dict[str, dict]:
     """:func:`quantiles.order_statistics` of the increases, ``after - before``, of all pairs with a way around."""
     graph, listed = _sent(edges), cut_list(cuts)
 
+    def meeting(frame: pd.DataFrame) -> pd.DataFrame:
+        """Sources that a scenario may affect, so that batches are full."""
+        g, ids = graph.value, frame["s"].to_numpy(np.int64)
+        meets = np.zeros(len(ids), bool)
+        for _, node, u, v in listed:
+            known = g.sides(u, v) if node is None else None
+            for at, _, _ in _crossing(g, ids, known[0]) if known else ():
+                meets |= np.isin(ids, g.nodes[at])
+            meets |= known is None
+        return frame[meets]
+
     def count(wanted: dict | None) -> DataFrame:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            counted = quantiles.Counted(wanted)
-            for ids in graph.value.sources(frames, 2)[0]:
-                for _, rows in _detours(graph.value, ids, listed):
-                    for _, _, before, after in rows:
-                        way = np.isfinite(after)
-                        counted.add("more", after[way] - before[way])
-                        if counted.full:
-                            yield counted.take()
+            counted = quantiles.Counted(wanted, repeats=True)
+            for ids in graph.value.sources(map(meeting, frames))[0]:
+                for more in _increases(graph.value, ids, listed):
+                    counted.add("more", more)
+                    if counted.full:
+                        yield counted.take()
             yield counted.take()
 
-        return _dealt(nodes.select(F.col("node_id").alias("s")), graph).mapInPandas(run, quantiles.SCHEMA)
+        return _dealt(nodes.select(F.col("node_id").alias("s")), graph).mapInPandas(run, quantiles.WHOLE_SCHEMA if wanted is None else quantiles.SCHEMA)
 
     return quantiles.order_statistics(count, ranks)
 
